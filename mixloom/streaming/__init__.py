@@ -1,0 +1 @@
+"""Empty on purpose: every source of the engine is a finished dataset, so no operator streams."""
