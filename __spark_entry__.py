@@ -340,16 +340,16 @@ def capped_budgets(spark, sf):
 def task_budgets(objective):
     def run(spark, sf):
         prof = profile(spark, sf)
-        given, _ = mixture.group_budgets(prof, config(objective, "random"))
-        return mixture.all_task_budgets(prof, given, config(objective, "random"))
+        given = mixture.group_budgets(prof, config(objective, "random"))
+        return mixture.all_task_budgets(prof, given.tasks, config(objective, "random"))
 
     return run
 
 
 def template_budgets(spark, sf):
     prof = profile(spark, sf)
-    _, split = mixture.group_budgets(prof, config("gc", "random"))
-    return split.select(*GROUP_KEY, "rows", "budget")
+    given = mixture.group_budgets(prof, config("gc", "random"))
+    return given.split.select(*GROUP_KEY, "rows", "budget")
 
 
 # Selection and assembly -------------------------------------------------------------------------
@@ -358,10 +358,10 @@ def template_budgets(spark, sf):
 def group_subsets(spark, sf):
     rows = instances(spark, sf)
     prof = profile(spark, sf, vectors=False)
-    _, split = mixture.group_budgets(prof, config("random", "random"))
-    return selection.select_subset(ordering.order_instances(rows, "random"), split).select(
-        *GROUP_KEY, "rank", "row_idx"
-    )
+    given = mixture.group_budgets(prof, config("random", "random"))
+    split = given.split.select(*GROUP_KEY, "budget")
+    chosen = selection.select_subset(ordering.order_instances(rows, "random"), split, given.groups)
+    return chosen.select(*GROUP_KEY, "rank", "row_idx")
 
 
 def assembled(spark, sf):

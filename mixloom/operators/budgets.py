@@ -32,10 +32,8 @@ def taylor_softmax(
     for k in range(1, order + 1):
         terms.append(terms[-1] * x / float(k))
     weight = reduce(lambda a, b: a + b, terms)
-    share = F.col("_weight") / F.sum("_weight").over(Window.partitionBy(*by))
-    return (
-        df.withColumn("_weight", weight).withColumn("prob", F.log(share) if log else share).drop("_weight")
-    )
+    share = weight / F.sum(weight).over(Window.partitionBy(*by))
+    return df.withColumn("prob", F.log(share) if log else share)
 
 
 def budget_split(
@@ -48,12 +46,10 @@ def budget_split(
     """
     everyone = Window.partitionBy(*by)
     exact = total.cast("double") * F.col(ratio) / F.sum(ratio).over(everyone)
-    parts = df.withColumn("_total", total.cast("bigint")).withColumn(
-        "_part", F.floor(F.round(exact, GAIN_DIGITS)).cast("bigint")
-    )
-    left = F.col("_total") - F.sum("_part").over(everyone)
+    parts = df.withColumn("_part", F.floor(F.round(exact, GAIN_DIGITS)).cast("bigint"))
+    left = total.cast("bigint") - F.sum("_part").over(everyone)
     extra = F.row_number().over(everyone.orderBy(order)) <= left
-    return parts.withColumn(name, F.col("_part") + extra.cast("bigint")).drop("_total", "_part")
+    return parts.withColumn(name, F.col("_part") + extra.cast("bigint")).drop("_part")
 
 
 def cap_redistribute(
@@ -71,33 +67,28 @@ def cap_redistribute(
     group = Window.partitionBy(*by)
     rising = group.orderBy(F.col("_room") <= 0, "_room", order)
     before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    clipped = (
-        df.withColumn("_kept", F.least(budget, cap))
-        .withColumn("_room", F.col(cap) - F.col("_kept"))
-        .withColumn("_excess", F.sum(F.col(budget) - F.col("_kept")).over(group))
-        .withColumn("_fuller", F.count_if(F.col("_room") > 0).over(group) - F.row_number().over(rising) + 1)
-        .withColumn("_below", F.coalesce(F.sum("_room").over(before), F.lit(0)))
+    kept = F.least(budget, cap)
+    ranked = df.withColumns({"_kept": kept, "_room": F.col(cap) - kept}).withColumns(
+        {
+            "_excess": F.sum(F.col(budget) - F.col("_kept")).over(group),
+            "_rooms": F.count_if(F.col("_room") > 0).over(group),
+            "_nth": F.row_number().over(rising),
+            "_below": F.coalesce(F.sum("_room").over(before), F.lit(0)),
+        }
     )
+    fuller = F.col("_rooms") - F.col("_nth") + 1
     missing = F.col("_excess") - F.col("_below")
-    reaches = (F.col("_room") > 0) & (F.col("_room") * F.col("_fuller") >= missing)
+    reaches = (F.col("_room") > 0) & (F.col("_room") * fuller >= missing)
     # The first room, rising, that holds the level; `_below` rises along.
-    level = F.when(
-        reaches,
-        F.struct("_below", _div(missing, F.col("_fuller")).alias("level"), (missing % F.col("_fuller")).alias("rest")),
-    )
-    filled = clipped.withColumn("_level", F.min(level).over(group)).withColumn(
-        "_more", F.coalesce(F.col("_room") > F.col("_level.level"), F.lit(False))
-    )
-    turn = F.count_if("_more").over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    level = F.struct("_below", _div(missing, fuller).alias("level"), (missing % F.nullif(fuller, F.lit(0))).alias("rest"))
+    filled = ranked.withColumn("_level", F.min(F.when(reaches, level)).over(group))
+    more = F.coalesce(F.col("_room") > F.col("_level.level"), F.lit(False))
+    turn = F.count_if(more).over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     # Without a level the excess exceeds all rooms: everything is filled up.
-    gained = F.least(F.coalesce(F.col("_level.level"), F.col("_room")), F.col("_room")) + (
-        F.col("_more") & (turn <= F.col("_level.rest"))
-    ).cast("bigint")
-    scratch = ["_kept", "_room", "_excess", "_fuller", "_below", "_level", "_more", "_gained"]
-    return (
-        filled.withColumn("_gained", F.coalesce(gained, F.lit(0)))
-        .withColumn(budget, F.col("_kept") + F.col("_gained"))
-        .drop(*scratch)
+    even = F.least(F.coalesce(F.col("_level.level"), F.col("_room")), F.col("_room"))
+    extra = F.coalesce((more & (turn <= F.col("_level.rest"))).cast("bigint"), F.lit(0))
+    return filled.withColumn(budget, F.col("_kept") + even + extra).drop(
+        "_kept", "_room", "_excess", "_rooms", "_nth", "_below", "_level"
     )
 
 
@@ -144,7 +135,7 @@ def template_budgets(budgets: DataFrame, counts: DataFrame, budget_rows: int | N
     zs_opt, zs_noopt, fs_opt, fs_noopt = (F.col(t) for t in TEMPLATE_TYPES)
     sized = counts.select(*TASK_KEY, *TEMPLATE_TYPES).join(small(budgets, budget_rows), list(TASK_KEY))
     zs, fs = _split2(F.col("budget"), zs_opt + zs_noopt, fs_opt + fs_noopt)
-    halves = sized.withColumn("_zs", zs).withColumn("_fs", fs)
+    halves = sized.withColumns({"_zs": zs, "_fs": fs})
     parts = [*_split2(F.col("_zs"), zs_opt, zs_noopt), *_split2(F.col("_fs"), fs_opt, fs_noopt)]
     cells = F.array(
         *[

@@ -27,7 +27,7 @@ def order_instances(
     objective: str,
     quotas: DataFrame | None = None,
     quota_groups: int | None = None,
-    sizes: DataFrame | None = None,
+    largest: int | None = None,
     seed: int = ORDERING_SEED,
     threshold: int = CHUNK_THRESHOLD,
     chunk_rows: int = CHUNK_ROWS,
@@ -36,8 +36,8 @@ def order_instances(
 
     Every row is ranked, unless `quotas` (group..., quota) asks for the first ranks of some groups
     only: greedy orders are nested, so ordering stops there, and rows of other groups are dropped
-    before any embedding is shuffled. `quota_groups` is a proven bound on the rows of `quotas`;
-    `sizes` (group..., rows), if already stored, saves a scan of the keys.
+    before any embedding is shuffled. `quota_groups` bounds the rows of `quotas`; `largest` bounds
+    the rows of a group and saves counting them.
     """
     if objective == "random":
         return random_ordering(df, quotas, quota_groups, seed)
@@ -46,11 +46,32 @@ def order_instances(
         rows = rows.join(small(quotas.select(*GROUP_KEY, "quota"), quota_groups), list(GROUP_KEY))
     else:
         rows = rows.withColumn("quota", F.lit(None).cast("bigint"))
-    chunked = with_chunks(rows, threshold, chunk_rows, sizes)
+    chunked = with_chunks(rows, threshold, chunk_rows, largest)
     ranked = interleave(_order_chunks(chunked, objective))
     return ranked.where("quota IS NULL OR rank <= quota").select(*ORDERING_COLUMNS)
 
 
+def _shuffled(df: DataFrame, seed: int) -> DataFrame:
+    return known_templates(df).select(
+        *GROUP_KEY, "row_idx", seeded_digest(seed, "row_idx").alias("_digest")
+    )
+
+
+def random_leaders(
+    df: DataFrame, quotas: DataFrame, quota_groups: int | None = None, seed: int = ORDERING_SEED
+) -> DataFrame:
+    """(group..., row_idx): the first `quota` rows of each group in random order, unranked."""
+    rows = leading_rows(
+        _shuffled(df, seed),
+        quotas.select(*GROUP_KEY, "quota"),
+        GROUP_KEY,
+        digest_bucket("_digest"),
+        ["_digest", "row_idx"],
+        quota_groups,
+    )
+    return rows.select(*GROUP_KEY, "row_idx")
+
+
 def random_ordering(
     df: DataFrame,
     quotas: DataFrame | None = None,
@@ -58,13 +79,8 @@ def random_ordering(
     seed: int = ORDERING_SEED,
 ) -> DataFrame:
     """A shuffle of each group, keyed by row and so stable under repartitioning; all gains 1."""
-    rows = known_templates(df).select(
-        *GROUP_KEY, "row_idx", seeded_digest(seed, "row_idx").alias("_digest")
-    )
+    rows = _shuffled(df if quotas is None else random_leaders(df, quotas, quota_groups, seed), seed)
     order = ["_digest", "row_idx"]
-    if quotas is not None:
-        quotas = quotas.select(*GROUP_KEY, "quota")
-        rows = leading_rows(rows, quotas, GROUP_KEY, digest_bucket("_digest"), order, quota_groups)
     placed = positions(rows, GROUP_KEY, digest_bucket("_digest"), order, "_place")
     return placed.select(
         *GROUP_KEY, (F.col("_place") + 1).alias("rank"), "row_idx", F.lit(1.0).alias("gain")
@@ -75,31 +91,35 @@ def with_chunks(
     rows: DataFrame,
     threshold: int = CHUNK_THRESHOLD,
     chunk_rows: int = CHUNK_ROWS,
-    sizes: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add `chunk_id`, the group's number of `chunks` and the rows of the last one.
 
     Chunk c holds positions c * chunk_rows and up; groups within the threshold are one chunk.
-    Positions are worked out for the large groups only.
+    Groups are counted unless `largest` rules out large ones, and positions are worked out for the
+    large groups only.
     """
-    if sizes is None:
-        sizes = stored(rows.groupBy(*GROUP_KEY).agg(F.count(F.lit(1)).alias("rows")))
-    plan = sizes.select(
-        *GROUP_KEY,
-        "rows",
-        F.when(F.col("rows") <= threshold, 1).otherwise(F.ceil(F.col("rows") / chunk_rows)).alias("chunks"),
-    ).withColumn("last_rows", F.col("rows") - (F.col("chunks") - 1) * chunk_rows)
-    groups, large = plan.agg(F.count(F.lit(1)), F.count_if(F.col("chunks") > 1)).head()
-    shape = [*GROUP_KEY, "chunks", "last_rows"]
-    if not large:
-        return rows.join(small(plan.select(*shape), groups), list(GROUP_KEY)).withColumn(
-            "chunk_id", F.lit(0).cast("bigint")
-        )
-    fits = plan.where("chunks = 1").select(*shape)
-    whole = rows.join(small(fits, groups - large), list(GROUP_KEY))
-    hot = rows.join(small(plan.where("chunks > 1").select(*shape), large), list(GROUP_KEY))
+    single = {
+        "chunk_id": F.lit(0).cast("bigint"),
+        "chunks": F.lit(1).cast("bigint"),
+        "last_rows": F.lit(threshold).cast("bigint"),
+    }
+    if largest is not None and largest <= threshold:
+        return rows.withColumns(single)
+    counted = rows.groupBy(*GROUP_KEY).agg(F.count(F.lit(1)).alias("_rows"))
+    large = stored(counted.where(F.col("_rows") > threshold))
+    groups = large.count()
+    if not groups:
+        return rows.withColumns(single)
+    chunks = F.ceil(F.col("_rows") / chunk_rows)
+    shape = large.select(
+        *GROUP_KEY, chunks.alias("chunks"), (F.col("_rows") - (chunks - 1) * chunk_rows).alias("last_rows")
+    )
+    shape = small(shape, groups)
+    whole = rows.join(shape, list(GROUP_KEY), "left_anti").withColumns(single)
+    hot = rows.join(shape, list(GROUP_KEY))
     placed = positions(hot, GROUP_KEY, index_bucket(), ["row_idx"], "_place")
-    return whole.withColumn("chunk_id", F.lit(0).cast("bigint")).unionByName(
+    return whole.unionByName(
         placed.withColumn("chunk_id", F.floor(F.col("_place") / chunk_rows)).drop("_place")
     )
 

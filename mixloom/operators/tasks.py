@@ -43,10 +43,14 @@ def select_tasks(
     `profile` is a stored task profile. Its size decides where the greedy runs; both ways take
     the same picks.
     """
-    if objective == "random":
+    random = objective == "random"
+    width = F.lit(0) if random else F.max(F.size("embedding"))
+    tasks, width = profile.agg(F.count(F.lit(1)), width).head()
+    if num_tasks >= tasks:
+        raise ValueError(f"num_tasks must be below the {tasks} tasks there are")
+    if random:
         return random_tasks(profile, num_tasks, seed)
     vectors = profile.select(*TASK_KEY, "submixture_ord", "first_row", "embedding")
-    tasks, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).head()
     if tasks * (width or 0) * 8 <= one_task_bytes:
         return _picks_in_one_task(vectors, objective, num_tasks)
     return picks_by_jobs(vectors, objective, num_tasks)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixloom.cluster import small, stored
-from mixloom.config import GROUP_KEY, ROW_KEY, TASK_KEY, TEMPLATE_TYPES, MixtureConfig
+from mixloom.config import GROUP_KEY, TASK_KEY, TEMPLATE_TYPES, MixtureConfig
 from mixloom.operators.budgets import (
     budget_split,
     cap_redistribute,
@@ -18,10 +18,10 @@ from mixloom.operators.budgets import (
     template_budgets,
     zero_fill,
 )
-from mixloom.operators.checks import conservation, feasibility, require, require_columns
-from mixloom.operators.ordering import order_instances
+from mixloom.operators.checks import require_columns
+from mixloom.operators.ordering import order_instances, random_leaders
 from mixloom.operators.prepare import task_profile
-from mixloom.operators.selection import select_rows, select_subset, train_split, validation_split, whole_groups
+from mixloom.operators.selection import select_subset, train_split, validation_split, whole_groups
 from mixloom.operators.tasks import select_tasks
 
 GROUPS_PER_TASK = len(TEMPLATE_TYPES)
@@ -29,66 +29,95 @@ GROUPS_PER_TASK = len(TEMPLATE_TYPES)
 
 @dataclass
 class Mixture:
-    """What a run produced. `picks` and `budgets` are stored and small; the splits are lazy."""
+    """What a run produced. `budgets` is small and stored, `rows` are narrow and stored, the splits
+    are lazy."""
 
-    picks: DataFrame
     budgets: DataFrame
     rows: DataFrame
     train: DataFrame
     validation: DataFrame | None = None
 
 
+@dataclass
+class GroupBudgets:
+    """Stored (pick, task..., gain, task_budget, template_type, rows, budget) of the picked tasks,
+    with what is known about it."""
+
+    split: DataFrame
+    partial: DataFrame
+    groups: int
+    largest: int
+
+    @property
+    def tasks(self) -> DataFrame:
+        """(pick, task..., gain, budget) of the picked tasks."""
+        return self.split.select("pick", *TASK_KEY, "gain", F.col("task_budget").alias("budget")).distinct()
+
+
 def profile_of(instances: DataFrame, cfg: MixtureConfig) -> DataFrame:
     """Stored profile of all tasks. Everything about tasks is derived from it, not from the rows."""
     needs_vectors = cfg.task_objective != "random"
     return stored(task_profile(instances, cfg.submixtures, vectors=needs_vectors))
 
 
-def group_budgets(profile: DataFrame, cfg: MixtureConfig) -> tuple[DataFrame, DataFrame]:
-    """Stored (pick, task..., gain, budget) and (group..., rows, budget) under the settings."""
-    tasks = profile.count()
-    if cfg.num_tasks >= tasks:
-        raise ValueError(f"num_tasks must be below the {tasks} tasks there are")
-    picks = stored(select_tasks(profile, cfg.task_objective, cfg.num_tasks, cfg.task_seed))
-    require(
-        feasibility(picks, profile, cfg.num_instances),
-        "feasible",
-        "the picked tasks hold fewer rows than wanted",
-    )
-    budgets = stored(
-        task_budgets(
-            picks, profile, cfg.num_instances, cfg.taylor_order, cfg.temperature, picks_bound=cfg.num_tasks
-        )
+def checked_budgets(split: DataFrame, num_instances: int) -> GroupBudgets:
+    """Run the checks on the stored template budgets of one setting: feasible and conserved."""
+    in_part = (F.col("budget") > 0) & (F.col("budget") < F.col("rows"))
+    held, given, groups, largest = split.agg(
+        F.sum("rows"), F.sum("budget"), F.count(F.lit(1)), F.max(F.when(in_part, F.col("rows")))
+    ).head()
+    if (held or 0) < num_instances:
+        raise ValueError(f"the picked tasks hold {held or 0} rows, {num_instances} are wanted")
+    if given != num_instances:
+        raise ValueError(f"template budgets add up to {given} instead of {num_instances}")
+    return GroupBudgets(split, split.where(in_part), groups, largest or 0)
+
+
+def group_budgets(profile: DataFrame, cfg: MixtureConfig) -> GroupBudgets:
+    """Pick tasks and split the rows wanted over them and their templates."""
+    picks = select_tasks(profile, cfg.task_objective, cfg.num_tasks, cfg.task_seed)
+    given = task_budgets(
+        picks, profile, cfg.num_instances, cfg.taylor_order, cfg.temperature, picks_bound=cfg.num_tasks
     )
-    split = template_budgets(budgets.select(*TASK_KEY, "budget"), profile, cfg.num_tasks)
-    split = stored(split.where("rows > 0"))
-    require(conservation(budgets, split), "conserved", "template budgets do not add up")
-    return budgets, split
+    given = given.select("pick", *TASK_KEY, "gain", F.col("budget").alias("task_budget"), "budget")
+    split = template_budgets(given, profile, cfg.num_tasks).where("rows > 0")
+    return checked_budgets(stored(split), cfg.num_instances)
 
 
 def pick_rows(
-    instances: DataFrame, split: DataFrame, cfg: MixtureConfig, groups: int
+    instances: DataFrame,
+    budgets: GroupBudgets,
+    cfg: MixtureConfig,
+    ordering: DataFrame | None = None,
 ) -> DataFrame:
-    """(group..., row_idx) of the mixture. Only groups taken in part are ordered."""
-    partial = split.where("budget > 0 AND budget < rows")
-    quotas = partial.select(*GROUP_KEY, F.col("budget").alias("quota"))
-    sizes = partial.select(*GROUP_KEY, "rows")
-    ordering = order_instances(
-        instances,
-        cfg.instance_objective,
-        quotas,
-        groups,
-        sizes,
-        cfg.ordering_seed,
-        cfg.chunk_threshold,
-        cfg.chunk_rows,
-    )
-    ordered = select_subset(ordering, partial, groups).select(*GROUP_KEY, "row_idx")
-    return whole_groups(instances, split, groups).unionByName(ordered)
+    """(group..., row_idx) of the mixture. Only groups taken in part are ordered.
+
+    A loaded `ordering` is cut to the budgets; without one, rows are ordered up to the budgets.
+    """
+    quotas = budgets.partial.select(*GROUP_KEY, F.col("budget").alias("quota"))
+    if ordering is not None:
+        ordered = select_subset(ordering, budgets.partial.select(*GROUP_KEY, "budget"), budgets.groups)
+    elif cfg.instance_objective == "random":
+        ordered = random_leaders(instances, quotas, budgets.groups, cfg.ordering_seed)
+    else:
+        ordered = order_instances(
+            instances,
+            cfg.instance_objective,
+            quotas,
+            budgets.groups,
+            budgets.largest,
+            threshold=cfg.chunk_threshold,
+            chunk_rows=cfg.chunk_rows,
+        )
+    whole = whole_groups(instances, budgets.split, budgets.groups)
+    return whole.unionByName(ordered.select(*GROUP_KEY, "row_idx"))
 
 
 def build_mixture(
-    instances: DataFrame, cfg: MixtureConfig, validation: DataFrame | None = None
+    instances: DataFrame,
+    cfg: MixtureConfig,
+    validation: DataFrame | None = None,
+    ordering: DataFrame | None = None,
 ) -> Mixture:
     """Pick `num_instances` rows of `num_tasks` tasks and shuffle them.
 
@@ -96,18 +125,16 @@ def build_mixture(
     texts of the picked rows. What lies between is stored, so nothing is worked out twice.
     """
     wanted = ["submixture", "task_name", "template_type", "row_idx", "inputs", "targets"]
-    if (cfg.task_objective, cfg.instance_objective) != ("random", "random"):
-        wanted.append("embedding")
-    require_columns(instances, wanted)
-    profile = profile_of(instances, cfg)
-    budgets, split = group_budgets(profile, cfg)
-    rows = stored(pick_rows(instances, split, cfg, GROUPS_PER_TASK * cfg.num_tasks))
+    vectors = cfg.task_objective != "random" or (ordering is None and cfg.instance_objective != "random")
+    require_columns(instances, [*wanted, "embedding"] if vectors else wanted)
+    budgets = group_budgets(profile_of(instances, cfg), cfg)
+    rows = stored(pick_rows(instances, budgets, cfg, ordering))
     picked = rows.count()
     if picked != cfg.num_instances:
         raise ValueError(f"the mixture has {picked} rows instead of {cfg.num_instances}")
     train = train_split(instances, rows, cfg.shuffle_seed, picks_bound=cfg.num_instances)
     held_out = None if validation is None else validation_split(validation)
-    return Mixture(budgets.select("pick", *TASK_KEY, "gain", "budget"), split, rows, train, held_out)
+    return Mixture(budgets.tasks, rows, train, held_out)
 
 
 def sweep(instances: DataFrame, grid: Iterable[MixtureConfig]) -> DataFrame:
@@ -121,22 +148,19 @@ def sweep(instances: DataFrame, grid: Iterable[MixtureConfig]) -> DataFrame:
     base = grid[0]
     needs_vectors = any(c.task_objective != "random" for c in grid)
     profile = stored(task_profile(instances, base.submixtures, vectors=needs_vectors))
-    tasks = profile.count()
-    if max(c.num_tasks for c in grid) >= tasks:
-        raise ValueError(f"num_tasks must be below the {tasks} tasks there are")
     split = stored(_sweep_budgets(spark, profile, grid))
     bound = GROUPS_PER_TASK * sum(c.num_tasks for c in grid)
     parts = [whole_of_sweep(instances, split, bound)]
     partial = split.where("budget > 0 AND budget < rows")
     for objective in sorted({c.instance_objective for c in grid}):
         given = partial.where(F.col("instance_objective") == objective)
-        quotas = stored(given.groupBy(*GROUP_KEY).agg(F.max("budget").alias("quota"), F.first("rows").alias("rows")))
+        quotas = given.groupBy(*GROUP_KEY).agg(F.max("budget").alias("quota"))
         ordering = order_instances(
             instances,
             objective,
-            quotas.select(*GROUP_KEY, "quota"),
+            quotas,
             bound,
-            quotas.select(*GROUP_KEY, "rows"),
+            given.agg(F.max("rows")).head()[0] or 0,
             base.ordering_seed,
             base.chunk_threshold,
             base.chunk_rows,
@@ -191,7 +215,7 @@ def _sweep_budgets(spark: SparkSession, profile: DataFrame, grid: Sequence[Mixtu
 
 
 def baseline_budgets(profile: DataFrame, kind: str, num_instances: int) -> DataFrame:
-    """(task..., total, budget) of all tasks, mixed equally or in proportion to their rows.
+    """(pick, task..., total, gain, budget) of all tasks, mixed equally or in proportion to their rows.
 
     Leftovers and redistribution follow the order of the tasks.
     """
@@ -199,34 +223,22 @@ def baseline_budgets(profile: DataFrame, kind: str, num_instances: int) -> DataF
         raise ValueError(f"unknown baseline {kind!r}")
     place = F.struct("submixture_ord", "submixture", "first_row", "task_name")
     ratio = F.lit(1.0) if kind == "equal" else F.col("total").cast("double")
-    tasks = profile.select(*TASK_KEY, "total", place.alias("place"), ratio.alias("ratio"))
-    split = budget_split(tasks, F.lit(num_instances), "ratio", "place")
-    return cap_redistribute(split, order="place").drop("place", "ratio")
+    tasks = profile.select(
+        F.row_number().over(Window.orderBy(place)).alias("pick"), *TASK_KEY, "total", ratio.alias("gain")
+    )
+    return cap_redistribute(budget_split(tasks, F.lit(num_instances), "gain", "pick"))
 
 
 def baseline_mixture(instances: DataFrame, kind: str, cfg: MixtureConfig) -> DataFrame:
-    """(group..., row_idx) of a baseline mixture of all tasks."""
+    """(group..., row_idx) of a baseline mixture of all tasks, with random rows of each group."""
     profile = stored(task_profile(instances, cfg.submixtures, vectors=False))
-    tasks = profile.count()
-    budgets = baseline_budgets(profile, kind, cfg.num_instances)
-    split = stored(template_budgets(budgets.select(*TASK_KEY, "budget"), profile, tasks).where("rows > 0"))
-    return pick_rows(instances, split, replace(cfg, instance_objective="random"), GROUPS_PER_TASK * tasks)
+    given = baseline_budgets(profile, kind, cfg.num_instances)
+    given = given.select("pick", *TASK_KEY, "gain", F.col("budget").alias("task_budget"), "budget")
+    split = stored(template_budgets(given, profile, profile.count()).where("rows > 0"))
+    budgets = checked_budgets(split, cfg.num_instances)
+    return pick_rows(instances, budgets, replace(cfg, instance_objective="random"))
 
 
 def all_task_budgets(profile: DataFrame, budgets: DataFrame, cfg: MixtureConfig) -> DataFrame:
     """Budgets of every task, 0 for those not picked."""
-    return zero_fill(profile.select(*TASK_KEY), budgets, cfg.num_tasks)
-
-
-__all__ = [
-    "Mixture",
-    "all_task_budgets",
-    "baseline_budgets",
-    "baseline_mixture",
-    "build_mixture",
-    "group_budgets",
-    "pick_rows",
-    "profile_of",
-    "select_rows",
-    "sweep",
-]
+    return zero_fill(profile.select(*TASK_KEY), budgets.select(*TASK_KEY, "budget"), cfg.num_tasks)

@@ -20,10 +20,10 @@ SELECT e.vec_id AS row_idx,
                            WHEN 2 THEN 'fs_opt' ELSE 'fs_noopt' END END AS template_type,
  e.label AS task_label,
  'embeddings' AS task_source,
- coalesce(d.text, '') AS inputs,
- coalesce(d.source, '') AS targets,
+ concat('vector ', CAST(e.vec_id AS STRING)) AS inputs,
+ concat('label ', CAST(e.label AS STRING)) AS targets,
  e.embedding
-FROM {embeddings} e LEFT JOIN {documents} d ON d.doc_id = e.vec_id
+FROM {embeddings} e
 """
 
 DOCUMENT_INSTANCES = """
@@ -59,7 +59,7 @@ def _view(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
 
 def vector_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10 tasks with given vectors, every case of missing templates and one unknown template."""
-    return _view(spark, sf_dir, VECTOR_INSTANCES, "embeddings", "documents")
+    return _view(spark, sf_dir, VECTOR_INSTANCES, "embeddings")
 
 
 def document_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
