@@ -2,7 +2,7 @@
 
 All take unit vectors (zero rows stay zero), pick `k` rows one by one and return their places and
 marginal gains. None of them needs the n x n similarity matrix: graph cut and log-determinant
-keep a d-sized state, facility location evaluates similarities in slabs. Gains are compared after
+keep a d-sized state, facility location evaluates similarities in blocks. Gains are compared after
 rounding, and the lower place wins a tie, so that float noise never decides.
 """
 
@@ -14,7 +14,8 @@ from mixloom.config import GAIN_DIGITS, GRAPH_CUT_LAMBDA, LOG_DET_LAMBDA
 
 # Similarity columns are cached as one matrix up to this many rows (128 MB), else made on demand.
 CACHED_ROWS = 4096
-SLAB_CELLS = 16_000_000
+# Facility location: side of a block of similarities (2 MB), gains refreshed at a time.
+BLOCK = 512
 REFRESH = 64
 
 
@@ -67,21 +68,42 @@ def log_determinant(x: np.ndarray, k: int, weight: float = LOG_DET_LAMBDA):
     return places, gains
 
 
+def _clipped_sums(cells, at: np.ndarray, rows: np.ndarray, low: np.ndarray, gap=None) -> np.ndarray:
+    """For each j in `at`, the sum over i in `rows` of s(i, j) - low(i), clipped to [0, gap(i)].
+
+    `cells(at, rows)` gives similarities; they are made and summed up in small blocks.
+    """
+    sums = np.zeros(len(at))
+    for start in range(0, len(rows), BLOCK):
+        part = slice(start, start + BLOCK)
+        for first in range(0, len(at), BLOCK):
+            block = cells(at[first : first + BLOCK], rows[part])
+            block -= low[part]
+            np.maximum(block, 0.0, out=block)
+            if gap is not None:
+                np.minimum(block, gap[part], out=block)
+            sums[first : first + BLOCK] += block.sum(axis=1)
+    return sums
+
+
 def facility_location(x: np.ndarray, k: int):
     """f(X) = sum over i of the best s(i, j), j in X, at least 0.
 
-    Gains only shrink, so an old gain bounds the new one from above; a pick is final once no
-    outdated bound reaches it, otherwise the highest bounds are brought up to date.
+    Gains only shrink, so an outdated gain bounds the new one from above; a pick is final once no
+    outdated bound reaches it. Otherwise the highest bounds are worked out anew or, where that
+    would cost more, all bounds are lowered by what the rows covered better since then explain.
     """
-    similar = _similarity(x)
-    covered = np.zeros(len(x))
+    n = len(x)
+    every = np.arange(n)
+    covered = np.zeros(n)
+    full = x @ x.T if n <= CACHED_ROWS else None
 
-    def gain_of(at):
-        return np.maximum(similar(at) - covered[:, None], 0.0).sum(axis=0)
+    def cells(at, rows):
+        return x[at] @ x[rows].T if full is None else full[np.ix_(at, rows)]
 
-    n = len(x)
-    slab = max(1, SLAB_CELLS // n)
-    gain = np.concatenate([gain_of(np.arange(s, min(s + slab, n))) for s in range(0, n, slab)])
+    bound = _clipped_sums(cells, every, every, covered)
+    # `base` holds bounds for the coverage `base_covered`; `spent` counts gains refreshed since.
+    base, base_covered, spent = bound.copy(), covered.copy(), 0
     taken = np.zeros(n, dtype=bool)
     fresh = np.ones(n, dtype=bool)
     slack = 2.0 * 10.0**-GAIN_DIGITS
@@ -89,20 +111,28 @@ def facility_location(x: np.ndarray, k: int):
     for step in range(k):
         while True:
             known = fresh & ~taken
-            floor = gain[known].max() if known.any() else -np.inf
-            doubtful = np.flatnonzero(~fresh & ~taken & (gain >= floor - slack))
+            floor = bound[known].max() if known.any() else -np.inf
+            doubtful = np.flatnonzero(~fresh & ~taken & (bound >= floor - slack))
             if not len(doubtful):
                 break
             if len(doubtful) > REFRESH:
-                doubtful = doubtful[np.argpartition(-gain[doubtful], REFRESH)[:REFRESH]]
-            gain[doubtful] = gain_of(doubtful)
+                better = np.flatnonzero(covered > base_covered)
+                if 0 < len(better) <= spent:
+                    gap = covered[better] - base_covered[better]
+                    base -= _clipped_sums(cells, every, better, base_covered[better], gap)
+                    bound = np.where(fresh, bound, np.minimum(bound, base + slack))
+                    base_covered, spent = covered.copy(), 0
+                    continue
+                doubtful = doubtful[np.argpartition(-bound[doubtful], REFRESH)[:REFRESH]]
+            bound[doubtful] = _clipped_sums(cells, doubtful, every, covered)
             fresh[doubtful] = True
+            spent += len(doubtful)
         # What is still outdated lies below the best fresh gain by more than a rounding step.
-        j = _best(gain, taken | ~fresh)
-        places[step], gains[step], taken[j] = j, gain[j], True
-        covered = np.maximum(covered, similar(j))
+        j = _best(bound, taken | ~fresh)
+        places[step], gains[step], taken[j] = j, bound[j], True
+        covered = np.maximum(covered, x @ x[j])
         # A bound that rounds to zero can only stand for a zero gain.
-        fresh = np.round(gain, GAIN_DIGITS) <= 0.0
+        fresh = np.round(bound, GAIN_DIGITS) <= 0.0
     return places, gains
 
 

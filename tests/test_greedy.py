@@ -55,7 +55,7 @@ def test_similarities_on_demand_change_nothing(objective, monkeypatch):
     x = vectors(1, 300, 16, 40)
     cached = g.greedy(x, objective, 300)
     monkeypatch.setattr(g, "CACHED_ROWS", 0)
-    monkeypatch.setattr(g, "SLAB_CELLS", 1000)
+    monkeypatch.setattr(g, "BLOCK", 64)
     monkeypatch.setattr(g, "REFRESH", 7)
     fresh = g.greedy(x, objective, 300)
     assert cached[0].tolist() == fresh[0].tolist()
