@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import registered_sql
-from mixloom.cluster import scratch_path, stored
+from mixloom.cluster import scratch_path, spread, stored
 from mixloom.config import GROUP_KEY, SHUFFLE_SEED, SUBMIXTURES, TASK_KEY, TEMPLATE_TYPES, MixtureConfig
 from mixloom.operators import budgets as bud
 from mixloom.operators import checks, metrics, ordering, prepare, selection, similarity, tasks, tuning
@@ -395,8 +395,9 @@ mixture_gc_fl = mixture_of("gc", "fl")
 
 def document_mixture(f1, f2):
     def run(spark, sf):
-        docs = embed(samples.document_instances(spark, sf))
-        return _train(mixture.build_mixture(docs, document_config(f1, f2)))
+        docs = samples.document_instances(spark, sf)
+        vectors = stored(embed(spread(docs)).select(*GROUP_KEY, "row_idx", "embedding"))
+        return _train(mixture.build_mixture(docs, document_config(f1, f2), vectors=vectors))
 
     return run
 
@@ -425,7 +426,7 @@ def baseline_mixture(kind):
 
 
 def embedded_prompts(spark, sf):
-    vectors = embed(samples.document_instances(spark, sf).repartition(8))
+    vectors = embed(spread(samples.document_instances(spark, sf)))
     long = vectors.select("row_idx", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
     return long.select("row_idx", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 

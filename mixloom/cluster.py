@@ -44,3 +44,9 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     if rows is None:
         rows = df.limit(limit + 1).count()
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan of so few splits that it would leave cores idle in front of Python work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

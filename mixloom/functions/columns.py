@@ -12,6 +12,11 @@ def seeded_digest(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
+def whole(a: Column, b: int) -> Column:
+    """Integer division."""
+    return F.call_function("div", a, F.lit(b))
+
+
 def ordinal(column: str, values: tuple[str, ...]) -> Column:
     """Place of a value in a short declared list; values outside it come last."""
     place = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))

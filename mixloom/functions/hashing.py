@@ -27,28 +27,32 @@ def token_ids(text: Column, max_len: int, vocabulary: int = VOCABULARY) -> Colum
     return F.transform(tokens, token_id)
 
 
+class _Buckets(dict):
+    """Hash bucket by token, worked out at first sight."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= CACHE_TOKENS:
+            self.clear()
+        bucket = int(hashlib.md5(token).hexdigest()[:DIGEST_HEX], 16) % self.width
+        self[token] = bucket
+        return bucket
+
+
 class HashingEncoder:
     """Texts to L2-normalised token counts in `width` hash buckets; an empty text gives zeros."""
 
     def __init__(self, width: int = 256):
         self.width = width
-        self._buckets: dict[bytes, int] = {}
-
-    def _bucket(self, token: bytes) -> int:
-        bucket = self._buckets.get(token)
-        if bucket is None:
-            if len(self._buckets) >= CACHE_TOKENS:
-                self._buckets.clear()
-            bucket = int(hashlib.md5(token).hexdigest()[:DIGEST_HEX], 16) % self.width
-            self._buckets[token] = bucket
-        return bucket
+        self._bucket = _Buckets(width).__getitem__
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         counts = np.zeros((len(texts), self.width))
         for row, text in enumerate(texts):
-            tokens = [self._bucket(t) for t in text.encode().split()]
-            if tokens:
-                counts[row] = np.bincount(tokens, minlength=self.width)
+            buckets = np.fromiter(map(self._bucket, text.encode().split()), dtype=np.int64)
+            counts[row] = np.bincount(buckets, minlength=self.width)
         length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = np.divide(counts, length, out=np.zeros_like(counts), where=length > 0)
         return unit.astype(np.float32)

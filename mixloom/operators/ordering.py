@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mixloom.cluster import small, stored
 from mixloom.config import CHUNK_ROWS, CHUNK_THRESHOLD, GROUP_KEY, ORDERING_SEED
-from mixloom.functions.columns import seeded_digest
+from mixloom.functions.columns import seeded_digest, whole
 from mixloom.functions.greedy import greedy
 from mixloom.operators.prepare import known_templates
 from mixloom.operators.ranking import digest_bucket, index_bucket, leading_rows, positions
@@ -28,6 +28,7 @@ def order_instances(
     quotas: DataFrame | None = None,
     quota_groups: int | None = None,
     largest: int | None = None,
+    sizes: DataFrame | None = None,
     seed: int = ORDERING_SEED,
     threshold: int = CHUNK_THRESHOLD,
     chunk_rows: int = CHUNK_ROWS,
@@ -36,8 +37,8 @@ def order_instances(
 
     Every row is ranked, unless `quotas` (group..., quota) asks for the first ranks of some groups
     only: greedy orders are nested, so ordering stops there, and rows of other groups are dropped
-    before any embedding is shuffled. `quota_groups` bounds the rows of `quotas`; `largest` bounds
-    the rows of a group and saves counting them.
+    before any embedding is shuffled. `quota_groups` bounds the rows of `quotas`; `largest` (a bound
+    on the rows of a group) and `sizes` (a stored frame of group..., rows) save counting them.
     """
     if objective == "random":
         return random_ordering(df, quotas, quota_groups, seed)
@@ -46,7 +47,7 @@ def order_instances(
         rows = rows.join(small(quotas.select(*GROUP_KEY, "quota"), quota_groups), list(GROUP_KEY))
     else:
         rows = rows.withColumn("quota", F.lit(None).cast("bigint"))
-    chunked = with_chunks(rows, threshold, chunk_rows, largest)
+    chunked = with_chunks(rows, threshold, chunk_rows, largest, sizes)
     ranked = interleave(_order_chunks(chunked, objective))
     return ranked.where("quota IS NULL OR rank <= quota").select(*ORDERING_COLUMNS)
 
@@ -92,6 +93,7 @@ def with_chunks(
     threshold: int = CHUNK_THRESHOLD,
     chunk_rows: int = CHUNK_ROWS,
     largest: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add `chunk_id`, the group's number of `chunks` and the rows of the last one.
 
@@ -106,21 +108,24 @@ def with_chunks(
     }
     if largest is not None and largest <= threshold:
         return rows.withColumns(single)
-    counted = rows.groupBy(*GROUP_KEY).agg(F.count(F.lit(1)).alias("_rows"))
-    large = stored(counted.where(F.col("_rows") > threshold))
+    if sizes is None:
+        counted = rows.groupBy(*GROUP_KEY).agg(F.count(F.lit(1)).alias("rows"))
+        large = stored(counted.where(F.col("rows") > threshold))
+    else:
+        large = sizes.where(F.col("rows") > threshold)
     groups = large.count()
     if not groups:
         return rows.withColumns(single)
-    chunks = F.ceil(F.col("_rows") / chunk_rows)
+    chunks = whole(F.col("rows") + (chunk_rows - 1), chunk_rows)
     shape = large.select(
-        *GROUP_KEY, chunks.alias("chunks"), (F.col("_rows") - (chunks - 1) * chunk_rows).alias("last_rows")
+        *GROUP_KEY, chunks.alias("chunks"), (F.col("rows") - (chunks - 1) * chunk_rows).alias("last_rows")
     )
     shape = small(shape, groups)
-    whole = rows.join(shape, list(GROUP_KEY), "left_anti").withColumns(single)
+    exact = rows.join(shape, list(GROUP_KEY), "left_anti").withColumns(single)
     hot = rows.join(shape, list(GROUP_KEY))
     placed = positions(hot, GROUP_KEY, index_bucket(), ["row_idx"], "_place")
-    return whole.unionByName(
-        placed.withColumn("chunk_id", F.floor(F.col("_place") / chunk_rows)).drop("_place")
+    return exact.unionByName(
+        placed.withColumn("chunk_id", whole(F.col("_place"), chunk_rows)).drop("_place")
     )
 
 
@@ -151,7 +156,8 @@ def chunked_random_ordering(
 def _quota_of_chunk() -> Column:
     """Ranks each chunk must give so that the first `quota` merged ranks are covered."""
     chunks, even = F.col("chunks"), F.col("chunks") * F.col("last_rows")
-    beyond = F.col("last_rows") + F.ceil((F.col("quota") - even) / F.nullif(chunks - 1, F.lit(0)))
+    others = F.nullif(chunks - 1, F.lit(0))
+    beyond = F.col("last_rows") + F.ceil((F.col("quota") - even) / others)
     return F.when(F.col("quota") <= even, F.ceil(F.col("quota") / chunks)).otherwise(
         F.coalesce(beyond, F.col("quota"))
     )

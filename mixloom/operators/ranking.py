@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixloom.cluster import small, stored
-from mixloom.functions.columns import monotone_double
+from mixloom.functions.columns import monotone_double, whole
 
 # Digests are cut by their leading hex digits: 16^3 even buckets per group.
 DIGEST_DIGITS = 3
@@ -28,7 +28,7 @@ def digest_bucket(digest: str) -> Column:
 
 
 def index_bucket(row_idx: str = "row_idx") -> Column:
-    return F.floor(F.col(row_idx) / BUCKET_ROWS)
+    return whole(F.col(row_idx), BUCKET_ROWS)
 
 
 def positions(

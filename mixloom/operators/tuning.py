@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixloom.config import IGNORE_INDEX, UNSET_MAX_LENGTH
-from mixloom.functions.columns import seeded_digest
+from mixloom.functions.columns import seeded_digest, whole
 from mixloom.functions.hashing import token_ids
-from mixloom.operators.ranking import BUCKET_ROWS, digest_bucket, positions
+from mixloom.operators.ranking import digest_bucket, index_bucket, positions
 
 Tokenizer = Callable[[list[str]], list[list[int]]]
 
@@ -97,23 +97,18 @@ def batch_plan(
         "epoch",
         *keys,
         "place",
-        _whole(F.col("place"), batch_size).alias("batch_id"),
+        whole(F.col("place"), batch_size).alias("batch_id"),
     ).select(
         "*",
         (F.col("batch_id") % devices).alias("device"),
-        _whole(F.col("batch_id"), devices).alias("step"),
-        _whole(F.col("batch_id"), devices * accumulation).alias("update"),
+        whole(F.col("batch_id"), devices).alias("step"),
+        whole(F.col("batch_id"), devices * accumulation).alias("update"),
     )
 
 
-def _whole(a: Column, b: int) -> Column:
-    return F.call_function("div", a, F.lit(b))
-
-
 def given_order(df: DataFrame, order: str, name: str = "place") -> DataFrame:
     """Dense positions along a unique integer column, e.g. for eval rows."""
-    bucket = F.floor(F.col(order) / BUCKET_ROWS)
-    return positions(df, [], bucket, [order], name)
+    return positions(df, [], index_bucket(order), [order], name)
 
 
 def collate(df: DataFrame, pad_id: int, by: Sequence[str] = ("epoch", "batch_id")) -> DataFrame:
@@ -154,7 +149,7 @@ def step_summary(
     """
 
     def ceil_div(a: Column, b: int) -> Column:
-        return _whole(a + (b - 1), b)
+        return whole(a + (b - 1), b)
 
     rows = df.agg(F.count(F.lit(1)).alias("rows"))
     sized = rows.withColumn("batches", ceil_div(F.col("rows"), batch_size)).withColumn(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixloom.cluster import small, stored
-from mixloom.config import GROUP_KEY, TASK_KEY, TEMPLATE_TYPES, MixtureConfig
+from mixloom.config import GROUP_KEY, ROW_KEY, TASK_KEY, TEMPLATE_TYPES, MixtureConfig
 from mixloom.operators.budgets import (
     budget_split,
     cap_redistribute,
@@ -106,6 +106,7 @@ def pick_rows(
             quotas,
             budgets.groups,
             budgets.largest,
+            budgets.partial.select(*GROUP_KEY, "rows"),
             threshold=cfg.chunk_threshold,
             chunk_rows=cfg.chunk_rows,
         )
@@ -117,18 +118,21 @@ def build_mixture(
     instances: DataFrame,
     cfg: MixtureConfig,
     validation: DataFrame | None = None,
+    vectors: DataFrame | None = None,
     ordering: DataFrame | None = None,
 ) -> Mixture:
     """Pick `num_instances` rows of `num_tasks` tasks and shuffle them.
 
     Scans: one for the task profile, one for the ordered groups (keys and vectors), one for the
     texts of the picked rows. What lies between is stored, so nothing is worked out twice.
+    `vectors` (group..., row_idx, embedding) stands in for `instances` wherever no text is needed.
     """
-    wanted = ["submixture", "task_name", "template_type", "row_idx", "inputs", "targets"]
-    vectors = cfg.task_objective != "random" or (ordering is None and cfg.instance_objective != "random")
-    require_columns(instances, [*wanted, "embedding"] if vectors else wanted)
-    budgets = group_budgets(profile_of(instances, cfg), cfg)
-    rows = stored(pick_rows(instances, budgets, cfg, ordering))
+    keyed = instances if vectors is None else vectors
+    needs_vectors = cfg.task_objective != "random" or (ordering is None and cfg.instance_objective != "random")
+    require_columns(instances, [*ROW_KEY, "inputs", "targets"])
+    require_columns(keyed, [*GROUP_KEY, "row_idx", *(["embedding"] if needs_vectors else [])])
+    budgets = group_budgets(profile_of(keyed, cfg), cfg)
+    rows = stored(pick_rows(keyed, budgets, cfg, ordering))
     picked = rows.count()
     if picked != cfg.num_instances:
         raise ValueError(f"the mixture has {picked} rows instead of {cfg.num_instances}")
@@ -161,6 +165,7 @@ def sweep(instances: DataFrame, grid: Iterable[MixtureConfig]) -> DataFrame:
             quotas,
             bound,
             given.agg(F.max("rows")).head()[0] or 0,
+            given.select(*GROUP_KEY, "rows").distinct(),
             base.ordering_seed,
             base.chunk_threshold,
             base.chunk_rows,

@@ -48,7 +48,7 @@ def test_every_row_is_ranked_once(spark, objective):
     }
 
 
-@pytest.mark.parametrize("objective", ["fl", "gc", "logdet", "random"])
+@pytest.mark.parametrize("objective", ["fl", "random"])
 def test_partitioning_does_not_matter(spark, objective):
     df = spark.createDataFrame(rows_of({"a": 30, "b": 50}), SCHEMA)
     assert in_order(ordering.order_instances(df.repartition(1), objective)) == in_order(
@@ -66,7 +66,7 @@ def merged_by_hand(x, idx, objective, size, quota=None):
 
 
 @pytest.mark.parametrize("objective", ["fl", "gc", "logdet"])
-@pytest.mark.parametrize("n", [21, 32, 33, 47])
+@pytest.mark.parametrize("n", [21, 32])
 def test_chunks_keep_all_rows_and_interleave(spark, objective, n):
     rows = rows_of({"small": 9, "large": n})
     df = spark.createDataFrame(rows, SCHEMA)
@@ -79,8 +79,8 @@ def test_chunks_keep_all_rows_and_interleave(spark, objective, n):
     assert got["s", "small", "zs_opt"] == whole["s", "small", "zs_opt"]
 
 
-@pytest.mark.parametrize("objective", ["fl", "gc", "logdet", "random"])
-@pytest.mark.parametrize("quota", [1, 2, 3, 9, 20, 33, 40, 41])
+@pytest.mark.parametrize("objective", ["fl", "random"])
+@pytest.mark.parametrize("quota", [2, 33, 40])
 def test_budget_stops_the_same_ordering(spark, objective, quota):
     df = spark.createDataFrame(rows_of({"large": 41, "unused": 30}), SCHEMA)
     kw = {} if objective == "random" else {"threshold": 20, "chunk_rows": 16}
