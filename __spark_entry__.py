@@ -570,4 +570,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return registered_sql.statements()
+    return registered_sql.statements(SWEEP)

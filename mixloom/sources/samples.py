@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DOCUMENT_SUBMIXTURES = ("en", "de", "fr", "es")
 
@@ -34,14 +35,6 @@ SELECT doc_id AS row_idx, lang AS submixture, source AS task_name,
 FROM {documents}
 """
 
-CONVERSATION_PAIRS = """
-SELECT conv_id, turn, conv_id * 1000 + turn AS row_idx, text AS inputs, nxt AS targets,
- 'conversations' AS submixture, 'conversations' AS task_source, 'dialog' AS task_name, 'zs_noopt' AS template_type
-FROM (SELECT conv_id, turn, role, text, lead(text) OVER w AS nxt, lead(role) OVER w AS nrole
-      FROM {conversations} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) z
-WHERE role = 'user' AND nrole = 'assistant'
-"""
-
 BATCH_LOSSES = """
 SELECT l_linenumber AS epoch, l_orderkey AS batch_id, CAST(l_quantity AS BIGINT) AS n,
  CAST(l_extendedprice AS DOUBLE) / 10000 AS loss
@@ -68,8 +61,27 @@ def document_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str, validation: bool | None = None) -> DataFrame:
-    """User turns with the assistant's answers; every tenth conversation is for validation."""
-    pairs = _view(spark, sf_dir, CONVERSATION_PAIRS, "conversations")
+    """User turns with the assistant's answers; every tenth conversation is for validation.
+
+    Turns are numbered without gaps, so an answer is found by a join on (conv_id, turn), which
+    spreads a long conversation, unlike a window over it.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("inputs"))
+    answers = turns.where("role = 'assistant'").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("targets")
+    )
+    pairs = asked.join(answers, ["conv_id", "turn"]).select(
+        "conv_id",
+        "turn",
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_idx"),
+        "inputs",
+        "targets",
+        F.lit("conversations").alias("submixture"),
+        F.lit("conversations").alias("task_source"),
+        F.lit("dialog").alias("task_name"),
+        F.lit("zs_noopt").alias("template_type"),
+    )
     if validation is None:
         return pairs
     return pairs.where("conv_id % 10 = 0" if validation else "conv_id % 10 <> 0")

@@ -8,6 +8,14 @@ from __future__ import annotations
 from mixloom.config import SUBMIXTURES, TEMPLATE_TYPES
 from mixloom.sources import samples
 
+CONVERSATION_PAIRS = """
+SELECT conv_id, turn, conv_id * 1000 + turn AS row_idx, text AS inputs, nxt AS targets,
+ 'conversations' AS submixture, 'conversations' AS task_source, 'dialog' AS task_name, 'zs_noopt' AS template_type
+FROM (SELECT conv_id, turn, role, text, lead(text) OVER w AS nxt, lead(role) OVER w AS nrole
+      FROM {conversations} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) z
+WHERE role = 'user' AND nrole = 'assistant'
+"""
+
 KNOWN = ", ".join(f"'{t}'" for t in TEMPLATE_TYPES)
 GROUP = "submixture, task_name, template_type"
 TASK = "submixture, task_name"
@@ -25,7 +33,7 @@ def _source(template: str) -> str:
 
 INST = f"inst AS ({_source(samples.VECTOR_INSTANCES)})"
 DOCS = f"docs AS ({_source(samples.DOCUMENT_INSTANCES)})"
-PAIRS = f"pairs AS ({_source(samples.CONVERSATION_PAIRS)})"
+PAIRS = f"pairs AS ({_source(CONVERSATION_PAIRS)})"
 TRAIN = "train AS (SELECT conv_id, turn, row_idx, inputs AS prompt, targets AS response FROM pairs WHERE conv_id % 10 <> 0)"
 LOSSES = f"losses AS ({_source(samples.BATCH_LOSSES)})"
 KNOWN_ROWS = f"known AS (SELECT * FROM inst WHERE template_type IN ({KNOWN}))"
@@ -248,12 +256,9 @@ wts AS (SELECT row_idx, bucket, (n::DOUBLE / sqrt(sum(n * n) OVER (PARTITION BY
 
 DOCUMENT_BASE = f"""{DOCS},{EMBEDDED},
 dims AS (SELECT row_idx, list(coalesce(weight, 0::FLOAT) ORDER BY b) AS embedding
-  FROM (SELECT row_idx, b FROM docs, range(256) x(b)) LEFT JOIN wts ON wts.bucket = b AND wts.row_idx = row_idx GROUP BY row_idx),
+  FROM (SELECT docs.row_idx, b, weight FROM docs CROSS JOIN range(256) x(b)
+        LEFT JOIN wts ON wts.bucket = b AND wts.row_idx = docs.row_idx) GROUP BY row_idx),
 inst AS (SELECT docs.*, dims.embedding FROM docs JOIN dims USING (row_idx)), {KNOWN_ROWS}"""
-DOCUMENT_BASE = DOCUMENT_BASE.replace(
-    "FROM (SELECT row_idx, b FROM docs, range(256) x(b)) LEFT JOIN wts ON wts.bucket = b AND wts.row_idx = row_idx GROUP BY row_idx",
-    "FROM (SELECT docs.row_idx, b, weight FROM docs CROSS JOIN range(256) x(b) LEFT JOIN wts ON wts.bucket = b AND wts.row_idx = docs.row_idx) GROUP BY row_idx",
-)
 
 PLAN = """
 plan AS (SELECT *, (place // 4)::BIGINT AS batch_id FROM (
@@ -272,12 +277,10 @@ def _padded(column: str, fill_value: int, missing: str) -> str:
 GAINS = f"gains AS (SELECT {TASK}, avg(length(inputs)) / 1000 - 1 AS gain, count(*) AS total FROM docs GROUP BY {TASK})"
 
 
-def _sweep() -> str:
+def _sweep(grid) -> str:
     """Every setting on its own, from the same parts."""
-    from __spark_entry__ import SWEEP
-
     parts = []
-    for i, cfg in enumerate(SWEEP):
+    for i, cfg in enumerate(grid):
         body = ",\n".join(
             x.strip()
             for x in (
@@ -293,7 +296,7 @@ def _sweep() -> str:
     orders = [
         row_order(f).strip().replace("ro AS (", f"ro_{f} AS MATERIALIZED (", 1) for f in ("random", "fl")
     ]
-    union = " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(SWEEP)))
+    union = " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(grid)))
     return _with(BASE, totals().strip(), *orders, *parts, recursive=True) + union
 
 
@@ -327,7 +330,8 @@ def _chunked(objective: str) -> str:
     return _with(BASE, chunk_order(objective, 20, 16).strip(), recursive=True) + f"SELECT {GROUP}, rank, row_idx, {GAIN} FROM co"
 
 
-def statements() -> dict[str, str]:
+def statements(grid) -> dict[str, str]:
+    """All statements; `grid` holds the settings of the sweep."""
     index = _with(BASE) + (
         f"SELECT {GROUP}, row_idx, row_number() OVER (PARTITION BY {GROUP} ORDER BY row_idx) - 1 AS place FROM known"
     )
@@ -450,7 +454,7 @@ WHERE task_name <> 'src0' AND row_idx IN (SELECT vec_id FROM embeddings)""",
         "document_mixture_gc_fl": mixture(
             "gc", "fl", 24, 80, samples.DOCUMENT_SUBMIXTURES, DOCUMENT_BASE
         ),
-        "mixture_sweep": _sweep(),
+        "mixture_sweep": _sweep(grid),
         "baseline_equal": _baseline("1.0::DOUBLE"),
         "baseline_proportional": _baseline("total::DOUBLE"),
         "embedded_prompts": _with(DOCS, EMBEDDED.strip())

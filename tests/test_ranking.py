@@ -78,6 +78,20 @@ def test_row_idx_along_any_type(spark, kind):
         assert [r["row_idx"] for r in part] == list(range(len(part)))
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_row_idx_with_one_value_on_a_third_of_the_rows(spark, monkeypatch, kind):
+    monkeypatch.setattr(prepare, "HEAVY_ROWS", 60)
+    rng = random.Random(8)
+    rows = [("s", i, 5 if i % 3 == 0 else rng.randint(0, 9) * rng.randint(1, 400)) for i in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "submixture string, id bigint, v bigint")
+    df = df.withColumn("k", F.col("v") if kind == "int" else F.format_string("text %05d", "v"))
+    got = sorted(prepare.with_row_idx(df, ["k", "id"]).collect(), key=lambda r: (r["k"], r["id"]))
+    assert [r["row_idx"] for r in got] == list(range(3000))
+    plan = prepare.with_row_idx(df, ["k", "id"])
+    assert plan.columns == ["submixture", "id", "v", "k", "row_idx"]
+
+
 def test_no_window_over_a_whole_group(skewed):
     """Windows partition by group and bucket; only counts are summed per group."""
     placed = ranking.positions(skewed, ["g"], ranking.digest_bucket("digest"), ["digest", "row_idx"])
