@@ -396,7 +396,13 @@ mixture_gc_fl = mixture_of("gc", "fl")
 def document_mixture(f1, f2):
     def run(spark, sf):
         docs = samples.document_instances(spark, sf)
-        vectors = stored(embed(spread(docs)).select(*GROUP_KEY, "row_idx", "embedding"))
+        vectors = artifacts.stage(
+            spark,
+            "vectors",
+            lambda: embed(spread(docs)).select(*GROUP_KEY, "row_idx", "embedding"),
+            scratch_path(spark, "document_vectors"),
+            samples.DOCUMENT_SUBMIXTURES,
+        )
         return _train(mixture.build_mixture(docs, document_config(f1, f2), vectors=vectors))
 
     return run

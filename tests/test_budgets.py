@@ -10,11 +10,10 @@ from mixloom.config import TEMPLATE_TYPES
 from mixloom.operators import budgets
 
 
-def split_by_loop(total, ratio):
-    parts = [math.floor(round(total * r / sum(ratio), 9)) for r in ratio]
-    for i in range(total - sum(parts)):
-        parts[i % len(parts)] += 1
-    return parts
+def split_by_hand(total, ratio):
+    floors = [math.floor(round(total * r / sum(ratio), 9)) for r in ratio]
+    left = total - sum(floors)
+    return [f + (place < left) for place, f in enumerate(floors)]
 
 
 def fill_by_passes(given, caps):
@@ -39,7 +38,7 @@ def test_split_of_many_ratios(spark):
     got = budgets.budget_split(df, F.col("t"), "ratio", "i", ["c"]).collect()
     parts = {(r["c"], r["i"]): r["budget"] for r in got}
     for c, t, ratio in cases:
-        assert [parts[c, i] for i in range(len(ratio))] == split_by_loop(t, ratio)
+        assert [parts[c, i] for i in range(len(ratio))] == split_by_hand(t, ratio)
 
 
 def test_redistribution_equals_the_passes(spark):
@@ -48,7 +47,7 @@ def test_redistribution_equals_the_passes(spark):
     for case in range(400):
         caps = [rng.randint(0, 12) for _ in range(rng.randint(1, 9))]
         total = rng.randint(0, sum(caps))
-        given = split_by_loop(total, [rng.random() + 0.01 for _ in caps])
+        given = split_by_hand(total, [rng.random() + 0.01 for _ in caps])
         cases.append((case, given, caps))
     rows = [(c, i, b, t) for c, given, caps in cases for i, (b, t) in enumerate(zip(given, caps))]
     df = spark.createDataFrame(rows, "c int, pick int, budget bigint, total bigint")
@@ -58,11 +57,10 @@ def test_redistribution_equals_the_passes(spark):
         assert [kept[c, i] for i in range(len(caps))] == fill_by_passes(given, caps)
 
 
-def templates_by_branches(budget, counts):
-    """The split as written out for each case of missing templates."""
+def templates_by_hand(budget, counts):
 
     def split2(total, a, b):
-        return split_by_loop(total, [a, b]) if a + b else [0, 0]
+        return split_by_hand(total, [a, b]) if a + b else [0, 0]
 
     zs, fs = split2(budget, counts[0] + counts[1], counts[2] + counts[3])
     return split2(zs, *counts[:2]) + split2(fs, *counts[2:])
@@ -83,7 +81,7 @@ def test_template_budgets_of_all_shapes(spark):
     parts = {(r["task_name"], r["template_type"]): (r["budget"], r["rows"]) for r in split.collect()}
     for task, budget in zip(tasks, given):
         got = [parts[task[1], t][0] for t in TEMPLATE_TYPES]
-        assert got == templates_by_branches(budget[2], list(task[2:]))
+        assert got == templates_by_hand(budget[2], list(task[2:]))
         assert sum(got) == budget[2]
         assert all(b <= n for b, n in zip(got, task[2:]))
 
