@@ -17,7 +17,7 @@ from mixloom.config import GROUP_KEY, SHUFFLE_SEED, SUBMIXTURES, TASK_KEY, TEMPL
 from mixloom.operators import budgets as bud
 from mixloom.operators import checks, metrics, ordering, prepare, selection, similarity, tasks, tuning
 from mixloom.operators.embed import embed
-from mixloom.plans import mixture
+from mixloom.plans import mixture, training
 from mixloom.sources import artifacts, datasets, samples
 
 NUM_TASKS = 6
@@ -25,7 +25,6 @@ NUM_INSTANCES = 250
 DOCUMENT_TASKS = 24
 DOCUMENT_ROWS = 80
 MAX_LEN = 64
-PAD = 0
 TRAIN_RUN = {"batch_size": 4, "devices": 2, "accumulation": 4, "epochs": 2, "seed": 23}
 
 
@@ -477,9 +476,16 @@ def eval_batch_plan(spark, sf):
 
 
 def padded_batches(spark, sf):
-    plan = tuning.batch_plan(train_pairs(spark, sf), ["row_idx"], **TRAIN_RUN)
-    masked = tuning.mask_labels(_tokenized(spark, sf))
-    batches = tuning.collate(plan.join(masked, "row_idx"), PAD)
+    cfg = training.TuningConfig(MAX_LEN, devices=2, accumulation=4, epochs=2, seed=23)
+    return _strings(training.training_batches(train_pairs(spark, sf), ["row_idx"], cfg))
+
+
+def padded_eval_batches(spark, sf):
+    held_out = prepare.as_pairs(samples.conversation_pairs(spark, sf, validation=True))
+    return _strings(training.eval_batches(held_out, "row_idx", training.TuningConfig(MAX_LEN)))
+
+
+def _strings(batches):
     return batches.select(
         "epoch", "batch_id", "row_idx", joined("input_ids"), joined("attention_mask"), joined("labels")
     )
@@ -495,7 +501,7 @@ def sampled_rows(spark, sf):
 
 
 def step_counts(spark, sf):
-    return tuning.step_summary(train_pairs(spark, sf), 4, 2, 16, 3, 0.01)
+    return training.run_steps(train_pairs(spark, sf), training.TuningConfig(devices=2))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -569,6 +575,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "batch_plan": batch_plan,
         "eval_batch_plan": eval_batch_plan,
         "padded_batches": padded_batches,
+        "padded_eval_batches": padded_eval_batches,
         "resumed_plan": resumed_plan,
         "sampled_rows": sampled_rows,
         "step_counts": step_counts,

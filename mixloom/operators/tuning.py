@@ -139,26 +139,44 @@ def peek(df: DataFrame, keys: Sequence[str], rows: int = 3, seed: int = 0) -> Da
     return df.withColumn("_d", seeded_digest(seed, *keys)).orderBy("_d", *keys).limit(rows).drop("_d")
 
 
+def resume_point(updates: int, accumulation: int, steps_per_epoch: int) -> tuple[int, int]:
+    """Epoch and steps to skip in it after `updates` optimizer steps, for `skip_batches`."""
+    return divmod(updates * accumulation, steps_per_epoch)
+
+
 def step_summary(
-    df: DataFrame, batch_size: int, devices: int, accumulation: int, epochs: int, warmup: float
+    df: DataFrame,
+    batch_size: int,
+    devices: int,
+    accumulation: int,
+    epochs: int,
+    warmup: float,
+    max_updates: int | None = None,
 ) -> DataFrame:
     """Batches and updates of a run over the rows of `df`.
 
     Warm-up is a share of the updates one device would make alone; `updates` is what each of the
-    devices makes.
+    devices makes. `max_updates` sets the updates instead of the epochs.
     """
 
-    def ceil_div(a: Column, b: int) -> Column:
-        return whole(a + (b - 1), b)
+    def ceil_div(a: Column, b: int | Column) -> Column:
+        b = b if isinstance(b, Column) else F.lit(b)
+        return F.call_function("div", a + b - 1, F.nullif(b, F.lit(0)))
 
     rows = df.agg(F.count(F.lit(1)).alias("rows"))
     sized = rows.withColumn("batches", ceil_div(F.col("rows"), batch_size)).withColumn(
         "device_batches", ceil_div(F.col("batches"), devices)
     )
-    alone = ceil_div(F.col("batches"), accumulation) * epochs
+    per_epoch = F.col("updates_per_epoch")
+    if max_updates is None:
+        alone = ceil_div(F.col("batches"), accumulation) * epochs
+        run = {"epochs": F.lit(epochs).cast("bigint"), "updates": per_epoch * epochs}
+    else:
+        alone = F.lit(max_updates).cast("bigint")
+        run = {"epochs": ceil_div(alone, per_epoch), "updates": alone}
     return (
         sized.withColumn("updates_per_epoch", ceil_div(F.col("device_batches"), accumulation))
-        .withColumn("updates", F.col("updates_per_epoch") * epochs)
+        .withColumns(run)
         .withColumn("warmup_updates", F.floor(alone * F.lit(warmup)))
         .withColumn("total_batch", F.lit(batch_size * devices * accumulation).cast("bigint"))
     )

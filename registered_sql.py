@@ -264,6 +264,9 @@ PLAN = """
 plan AS (SELECT *, (place // 4)::BIGINT AS batch_id FROM (
   SELECT epoch, row_idx, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat('23:', epoch, ':', row_idx)), row_idx) - 1 AS place
   FROM train, range(2) e(epoch)))"""
+EVAL_PLAN = """
+train AS (SELECT row_idx, inputs AS prompt, targets AS response FROM pairs WHERE conv_id % 10 = 0),
+plan AS (SELECT 0 AS epoch, row_idx, (row_number() OVER (ORDER BY row_idx) - 1) // 4 AS batch_id FROM train)"""
 MASKED = f"""
 ids AS (SELECT row_idx, {hashed("concat(prompt, ' ', response)", 64)} AS input_ids, {hashed("prompt", 64)} AS prompt_ids FROM train),
 masked AS (SELECT row_idx, input_ids, len(input_ids) AS n,
@@ -347,6 +350,9 @@ def statements(grid) -> dict[str, str]:
         for n in (512, 1024, 48, 128)
     )
     updates = "(batches + 15) // 16"
+    padded = f"""SELECT epoch, batch_id, row_idx, {_padded('input_ids', 0, 'm - n')} AS input_ids,
+ {_padded('list_transform(input_ids, lambda y: 1::BIGINT)', 0, 'm - n')} AS attention_mask, {_padded('labels', -100, 'm - n')} AS labels
+FROM (SELECT *, max(n) OVER (PARTITION BY epoch, batch_id) AS m FROM plan JOIN masked USING (row_idx))"""
     return {
         "load_submixtures": _with(DOCS)
         + """SELECT submixture, row_number() OVER (PARTITION BY submixture ORDER BY row_idx) - 1 AS row_idx, row_idx AS doc_id,
@@ -471,16 +477,14 @@ WHERE task_name <> 'src0' AND row_idx IN (SELECT vec_id FROM embeddings)""",
         "eval_batch_plan": _with(PAIRS)
         + """SELECT 0 AS epoch, row_idx, place, place // 4 AS batch_id, (place // 4) % 2 AS device, place // 8 AS step, place // 8 AS "update"
 FROM (SELECT row_idx, row_number() OVER (ORDER BY row_idx) - 1 AS place FROM pairs WHERE conv_id % 10 = 0)""",
-        "padded_batches": _with(PAIRS, TRAIN, PLAN.strip(), MASKED.strip())
-        + f"""SELECT epoch, batch_id, row_idx, {_padded('input_ids', 0, 'm - n')} AS input_ids,
- {_padded('list_transform(input_ids, lambda y: 1::BIGINT)', 0, 'm - n')} AS attention_mask, {_padded('labels', -100, 'm - n')} AS labels
-FROM (SELECT *, max(n) OVER (PARTITION BY epoch, batch_id) AS m FROM plan JOIN masked USING (row_idx))""",
+        "padded_batches": _with(PAIRS, TRAIN, PLAN.strip(), MASKED.strip()) + padded,
+        "padded_eval_batches": _with(PAIRS, EVAL_PLAN.strip(), MASKED.strip()) + padded,
         "resumed_plan": _with(PAIRS, TRAIN, PLAN.strip())
         + "SELECT epoch, row_idx, batch_id FROM plan WHERE epoch > 0 OR batch_id // 2 >= 3",
         "sampled_rows": _with(PAIRS, TRAIN)
         + "SELECT row_idx, prompt FROM train ORDER BY md5(concat('23:', row_idx)), row_idx LIMIT 3",
         "step_counts": _with(PAIRS, TRAIN)
-        + f"""SELECT rows, batches, device_batches, (device_batches + 15) // 16 AS updates_per_epoch,
+        + f"""SELECT rows, batches, device_batches, (device_batches + 15) // 16 AS updates_per_epoch, 3 AS epochs,
  3 * ((device_batches + 15) // 16) AS updates, floor(0.01 * 3 * ({updates}))::BIGINT AS warmup_updates, 4 * 2 * 16 AS total_batch
 FROM (SELECT *, (batches + 1) // 2 AS device_batches FROM (SELECT count(*) AS rows, (count(*) + 3) // 4 AS batches FROM train))""",
     }

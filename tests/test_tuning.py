@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mixloom.functions.hashing import HashingEncoder
 from mixloom.operators import metrics, tuning
 from mixloom.operators.embed import embed
+from mixloom.plans.training import TuningConfig, eval_batches, training_batches
 
 
 @pytest.fixture(scope="module")
@@ -85,12 +86,32 @@ def test_step_summary(spark):
         "batches": 251,
         "device_batches": 32,
         "updates_per_epoch": 2,
+        "epochs": 3,
         "updates": 6,
         "warmup_updates": math.floor(0.01 * 3 * 16),
         "total_batch": 512,
     }
 
 
+def test_updates_may_set_the_epochs(spark):
+    row = tuning.step_summary(spark.range(1001), 4, 8, 16, 3, 0.1, max_updates=5).head()
+    assert (row["epochs"], row["updates"], row["warmup_updates"]) == (3, 5, 0)
+    assert tuning.resume_point(7, 16, 50) == (2, 12)
+
+
+def test_batches_end_to_end(spark, pairs):
+    cfg = TuningConfig(8, train_batch_size=2, eval_batch_size=2, epochs=2)
+    train = training_batches(pairs, ["id"], cfg).collect()
+    assert sorted((r["epoch"], r["id"]) for r in train) == [(e, i) for e in (0, 1) for i in range(5)]
+    held_out = eval_batches(pairs, "id", cfg).collect()
+    assert {r["id"]: r["batch_id"] for r in held_out} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
+    for batches in (train, held_out):
+        widths = {}
+        for r in batches:
+            widths.setdefault((r["epoch"], r["batch_id"]), set()).add(len(r["input_ids"]))
+        assert all(len(w) == 1 for w in widths.values())
+
+
 def test_losses(spark):
     rows = [(0, 0, 4, 1.0), (0, 1, 1, 6.0), (1, 0, 2, 1000.0)]
     losses = spark.createDataFrame(rows, "epoch int, batch_id bigint, n int, loss double")
