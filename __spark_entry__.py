@@ -20,6 +20,13 @@ from mixloom.operators.embed import embed
 from mixloom.plans import mixture, training
 from mixloom.sources import artifacts, datasets, samples
 
+try:
+    from mixloom.llm import registry as llm
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("mixloom.llm", "corpus_pipeline")):
+        raise
+    llm = None
+
 NUM_TASKS = 6
 NUM_INSTANCES = 250
 DOCUMENT_TASKS = 24
@@ -579,8 +586,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "resumed_plan": resumed_plan,
         "sampled_rows": sampled_rows,
         "step_counts": step_counts,
+        **(llm.queries() if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return registered_sql.statements(SWEEP)
+    return {**registered_sql.statements(SWEEP), **(llm.oracle_sql() if llm else {})}

@@ -18,10 +18,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+    others = set(entry.llm.queries()) if entry.llm else set()
+    assert set(QUERIES) - others <= set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
     if SF.endswith("sf0.001") and name == "document_mixture_gc_fl":
         pytest.skip("80 rows are not there at this scale")
