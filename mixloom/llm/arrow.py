@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 # Texts of a slice together, so that arrays of a few words per byte stay small whatever the batch.
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1024
 
 
 def kept(key, make: Callable):
@@ -44,12 +45,12 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """(start, stop) of runs of rows of about `limit` bytes at most; a longer text is a run of its own."""
+    """(start, stop) of runs of SLICE_ROWS rows and about `limit` bytes at most; a longer text is a run of its own."""
     _, offsets = strings(column)
     start, rows = 0, len(column)
     while start < rows:
         stop = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        stop = min(rows, max(stop, start + 1))
+        stop = min(rows, start + SLICE_ROWS, max(stop, start + 1))
         yield start, stop
         start = stop
 

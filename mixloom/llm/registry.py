@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mixloom.llm import bpe, quality, tokens
+from mixloom.cluster import shared_dir
+from mixloom.llm import bpe, chat, html, language, quality, tokens, toxicity, urls
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -23,21 +24,58 @@ def op2_bpe(spark, sf):
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_language_id(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.held_out()))
+    named = language.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_chat_formatting(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat.chat_digests(chat.format_chat(turns.unionByName(more)))
+
+
 def op5_quality_rules(spark, sf):
     judged = quality.quality(table(spark, sf, "documents").select("doc_id", "text"))
     return judged.drop("text")
 
 
+def op6_toxicity(spark, sf):
+    shared_dir(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_url_filter(spark, sf):
+    judged = urls.url_verdicts(table(spark, sf, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
+
+
 def op8_token_counts(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return tokens.token_counts(docs, public_tokenizers.path(BYTE_TOKENIZER)).drop("text")
 
 
+def op10_html_extraction(spark, sf):
+    return html.extract(table(spark, sf, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op3_language_id": op3_language_id,
+        "op4_chat_formatting": op4_chat_formatting,
         "op5_quality_rules": op5_quality_rules,
+        "op6_toxicity": op6_toxicity,
+        "op7_url_filter": op7_url_filter,
         "op8_token_counts": op8_token_counts,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
