@@ -46,8 +46,11 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, stop) of runs of SLICE_ROWS rows and about `limit` bytes at most; a longer text is a run of its own."""
-    _, offsets = strings(column)
     start, rows = 0, len(column)
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        yield from ((i, min(rows, i + SLICE_ROWS)) for i in range(0, rows, SLICE_ROWS))
+        return
+    _, offsets = strings(column)
     while start < rows:
         stop = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
         stop = min(rows, start + SLICE_ROWS, max(stop, start + 1))
@@ -79,6 +82,20 @@ def with_columns(df: DataFrame, text: str, added: str, kernel: Callable[[], Call
     return df.select(*{c: None for c in [*passed, text]}).mapInArrow(run, shape)
 
 
+def filtered(df: DataFrame, column: str, kernel: Callable[[], Callable]) -> DataFrame:
+    """The rows of `df`, with its own columns, for which the function of `kernel()` over `column` is true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = kernel()
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(column))
+            for start, stop in slices(values):
+                rows = keep(values.slice(start, stop - start))
+                yield batch.slice(start, stop - start).filter(pa.array(rows, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def gathered(starts: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
     """The pieces data[start : start + length] one after the other."""
     ends = np.cumsum(lengths)

@@ -257,6 +257,16 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFra
     return with_columns(docs, text, "ids array<int>, decoded string", bpe_kernel(_read(path), results))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Add `n_tokens`, `ids` (array<int>) and the SHA-256 digest of the decoded text of every whole text."""
+
+    def results(ids, first, decoded):
+        lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))
+        return np.diff(first), lists, pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())
+
+    return with_columns(docs, text, "n_tokens bigint, ids array<int>, decoded_sha256 string", bpe_kernel(_read(path), results))
+
+
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add `n_tokens`, and SHA-256 digests of the little-endian ids and of the decoded text, of every whole text.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixloom.llm.arrow import slices, strings, with_columns
+from mixloom.llm.arrow import filtered, slices, strings, with_columns
 
 # Families of languages by code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -34,6 +34,8 @@ UNDETERMINED = "und"
 BUCKETS = 4096
 LENGTHS = (1, 2, 3, 4)
 TRAIN_ROWS = 600
+# Documents below this score have no language for a filter.
+LEAST_SCORE = 0.4
 # Training: passes and regularisation of the machines, and the steepness of votes.
 PASSES = 12
 REGULARISATION = 1e-4
@@ -208,6 +210,20 @@ def fit(
     return train(x, np.array([l for l, _ in found], object), families)
 
 
+def _predictor(model: LanguageModel | None, buckets: int):
+    hasher = NgramHasher(buckets)
+
+    def run(column):
+        letters = hasher.letters(column)
+        names, score = np.full(len(column), UNDETERMINED, object), np.zeros(len(column))
+        rows = np.flatnonzero(letters)
+        if model is not None and len(rows):
+            names[rows], score[rows] = model.predict(hasher(column.take(pa.array(rows))))
+        return names, score
+
+    return run
+
+
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """Add `lang_pred` and `score` (0 to 1) of every whole text.
 
@@ -215,16 +231,29 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", b
     """
 
     def kernel():
-        hasher = NgramHasher(buckets)
+        predict = _predictor(model, buckets)
 
         def run(column):
-            letters = hasher.letters(column)
-            names, score = np.full(len(column), UNDETERMINED, object), np.zeros(len(column))
-            rows = np.flatnonzero(letters)
-            if model is not None and len(rows):
-                names[rows], score[rows] = model.predict(hasher(column.take(pa.array(rows))))
+            names, score = predict(column)
             return pa.array(names, pa.string()), score
 
         return run
 
     return with_columns(docs, text, "lang_pred string, score double", kernel)
+
+
+def recognised(
+    docs: DataFrame, model: LanguageModel | None, text: str = "text", least: float = LEAST_SCORE, buckets: int = BUCKETS
+) -> DataFrame:
+    """The documents with a language: not `und`, and a score of at least `least`. They keep their own columns."""
+
+    def kernel():
+        predict = _predictor(model, buckets)
+
+        def run(column):
+            names, score = predict(column)
+            return (names != UNDETERMINED) & (score >= least)
+
+        return run
+
+    return filtered(docs, text, kernel)

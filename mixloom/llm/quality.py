@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from mixloom.llm.arrow import strings, with_columns
+from mixloom.llm.arrow import filtered, strings, with_columns
 from mixloom.llm.hashing import Rolling, mixed, windows, words
 
 # Share of a text's word characters that may lie inside repeated n-grams, by n, and inside repeated lines.
@@ -25,6 +24,7 @@ FIELDS = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "base_failed boolean, kept boolean, dup_ngram_share double, dup_line_share double"
 )
+KEPT = 6
 
 
 def _repeated(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +140,9 @@ def quality(
 
 def passing(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that `quality` keeps, with their own columns."""
-    marked = docs.withColumn("_quality_text", F.col(text))
-    names = [f.strip().split()[0] for f in FIELDS.split(",")]
-    clash = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in names}
-    for old, new in clash.items():
-        marked = marked.withColumnRenamed(old, new)
-    judged = quality(marked, "_quality_text").where("kept")
-    return judged.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+
+    def kernel():
+        judge = repetition_kernel(NGRAM_LIMITS, LINE_LIMIT, SYMBOL_LIMIT)
+        return lambda column: judge(column)[KEPT]
+
+    return filtered(docs, text, kernel)

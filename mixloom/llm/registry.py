@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from mixloom.cluster import shared_dir
-from mixloom.llm import bpe, chat, html, language, quality, tokens, toxicity, urls
+from mixloom.llm import bpe, chat, decontaminate, html, jaccard, language, quality, tokens, toxicity, urls
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_decontamination(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, sf, "benchmark").select("item_id", "text"))
+
+
 def op2_bpe(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     coded = bpe.digests(docs, public_tokenizers.path(WORD_TOKENIZER))
@@ -62,12 +68,17 @@ def op8_token_counts(spark, sf):
     return tokens.token_counts(docs, public_tokenizers.path(BYTE_TOKENIZER)).drop("text")
 
 
+def op9_jaccard_join(spark, sf):
+    return jaccard.jaccard_groups(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op10_html_extraction(spark, sf):
     return html.extract(table(spark, sf, "pages").select("page_id", "url", "html")).drop("html")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_bpe": op2_bpe,
         "op3_language_id": op3_language_id,
         "op4_chat_formatting": op4_chat_formatting,
@@ -75,7 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_url_filter": op7_url_filter,
         "op8_token_counts": op8_token_counts,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_html_extraction": op10_html_extraction,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mixloom.llm.arrow import kept, strings, with_columns
 from mixloom.llm.pretokens import Ranges, byte_shape, classes, finder
@@ -71,9 +72,9 @@ def _read(path: str) -> bytes:
 
 
 def frequent_table(docs: DataFrame, source: bytes, known: dict[str, Ranges], text: str = "text") -> tuple[bytes, np.ndarray]:
-    """The most frequent pre-tokens of TABLE_ROWS rows, TABLE_ENTRIES at most, and their token counts.
+    """The most frequent pre-tokens of about TABLE_ROWS rows, TABLE_ENTRIES at most, and their token counts.
 
-    Any rows will do, as every count is exact with whatever table; no more rows than this are read for it.
+    Rows are taken by the hash of their text. Any rows would do, as every count is exact with whatever table.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +84,14 @@ def frequent_table(docs: DataFrame, source: bytes, known: dict[str, Ranges], tex
                 seen.update(find(t or ""))
                 if len(seen) > 8 * TABLE_ENTRIES:
                     seen = Counter(dict(seen.most_common(2 * TABLE_ENTRIES)))
-        top = [p for p, n in seen.most_common(TABLE_ENTRIES) if n > 1 and "\0" not in p and len(p) < 64]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string())], ["piece"])
-
-    rows = docs.select(text).limit(TABLE_ROWS).coalesce(1).mapInArrow(count, "piece string").collect()
+        top = [(p, n) for p, n in seen.most_common() if "\0" not in p and len(p) < 64]
+        columns = [pa.array([t[i] for t in top], kind) for i, kind in ((0, pa.string()), (1, pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["piece", "n"])
+
+    total = max(1, docs.count())
+    sample = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(total)) < TABLE_ROWS)
+    found = sample.mapInArrow(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    rows = found.where("n > 1").orderBy(F.desc("n"), "piece").limit(TABLE_ENTRIES).collect()
     counter = TextCounter(source, known)
     pieces = [r["piece"] for r in rows]
     counter.learn(pieces)
