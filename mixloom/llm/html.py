@@ -35,7 +35,7 @@ AROUND = frozenset(
 ARTICLE = frozenset("article main content post entry story".split())
 # Smoothing width in lines, and the threshold as a share of the ratios' standard deviation.
 SIGMA = 1.5
-THRESHOLD = 0.5
+THRESHOLD = 1.0
 # A line inside an article element counts as this many characters per tag more.
 ARTICLE_BONUS = 200.0
 _NAME = re.compile(r"[a-z]+")
@@ -152,8 +152,8 @@ def main_text(page: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     """The article of a page: its lines in page order, joined by newlines; empty if there is none.
 
     Every line that is not inside menus, forms and the like gets the ratio of its characters outside links to its tags,
-    plus a bonus inside an article element. Where the smoothed ratio reaches the threshold, a content region begins: its
-    whole container belongs to the text. With article elements on the page, other containers do not compete.
+    plus a bonus inside an article element. Where the ratio reaches the threshold, smoothed and by itself, lies a content
+    region: its whole container belongs to the text. With article elements on the page, other containers do not compete.
     """
     if not page:
         return ""
@@ -164,12 +164,12 @@ def main_text(page: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     tags = np.array([max(1, n) for _, n, _, _, _ in lines], float)
     container = np.array([c for *_, c, _ in lines])
     article = np.array([a for *_, a in lines])
-    ratio = smoothed(size / tags + ARTICLE_BONUS * article, sigma)
-    content = ratio >= min(threshold * ratio.std(), 0.5 * ratio.max()) if len(lines) > 1 else np.ones(1, bool)
+    own = size / tags + ARTICLE_BONUS * article
+    ratio = smoothed(own, sigma)
+    least = min(threshold * ratio.std(), 0.5 * ratio.max())
+    content = (ratio >= least) & (own >= least)
     if article.any():
         content &= article
-    elif len(lines) > 1:
-        content &= size > 0
     chosen = np.isin(container, np.unique(container[content]))
     if article.any():
         chosen |= article
