@@ -31,7 +31,8 @@ NUM_TASKS = 6
 NUM_INSTANCES = 250
 DOCUMENT_TASKS = 24
 DOCUMENT_ROWS = 80
-MAX_LEN = 64
+MAX_LEN = 512
+SHORT_LEN = 64
 TRAIN_RUN = {"batch_size": 4, "devices": 2, "accumulation": 4, "epochs": 2, "seed": 23}
 
 
@@ -88,6 +89,17 @@ def load_submixtures(spark, sf):
     return loaded.select("submixture", "row_idx", "doc_id", "task_name", F.md5("inputs").alias("digest"))
 
 
+def load_submixtures_split_column(spark, sf):
+    """The split is a column inside the files, so files are kept in part."""
+    root = scratch_path(spark, "split_column")
+    docs = samples.document_instances(spark, sf).withColumnRenamed("row_idx", "doc_id")
+    split = F.when(F.col("doc_id") % 10 == 0, "validation").otherwise("train")
+    docs = docs.withColumn("split", split).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    docs.drop("submixture").write.parquet(f"{root}/all")
+    loaded = datasets.load_submixtures(spark, {"all": f"{root}/all"}, split="train")
+    return loaded.select("submixture", "row_idx", "doc_id", "task_name", F.md5("inputs").alias("digest"))
+
+
 def load_instruction_dataset(spark, sf):
     root = scratch_path(spark, "dataset")
     train = train_pairs(spark, sf).withColumn("pos", F.col("row_idx"))
@@ -132,7 +144,12 @@ def written_mixture(spark, sf):
     held_out = samples.conversation_pairs(spark, sf, validation=True)
     built = mixture.build_mixture(instances(spark, sf), cfg, held_out)
     path = artifacts.write_mixture(built.train, built.validation, root, cfg)
-    return spark.read.parquet(f"{path}/split=train").select("pos", "submixture", "row_idx", "prompt", "response")
+    train = spark.read.parquet(f"{path}/split=train").select("pos", "submixture", "row_idx", "prompt", "response")
+    held_out = spark.read.parquet(f"{path}/split=validation").select("submixture", "row_idx", "prompt", "response")
+    return selection.assemble(
+        rows.withColumns({"split": F.lit(name), "pos": F.col("pos").cast("bigint")})
+        for name, rows in (("train", train), ("validation", held_out.withColumn("pos", F.lit(None))))
+    )
 
 
 def written_metrics(spark, sf):
@@ -189,7 +206,7 @@ def renamed_pairs(spark, sf):
 
 def selected_rows(spark, sf):
     docs = samples.document_instances(spark, sf)
-    picks = instances(spark, sf).select("row_idx").join(docs, "row_idx").where("task_name <> 'src0'")
+    picks = instances(spark, sf).select("row_idx").join(docs, "row_idx")
     return selection.select_rows(docs, picks).select("submixture", "row_idx", F.md5("inputs").alias("digest"))
 
 
@@ -399,6 +416,15 @@ def mixture_of(f1, f2):
 mixture_gc_fl = mixture_of("gc", "fl")
 
 
+def mixture_from_loaded_ordering(spark, sf):
+    """The stored flow: an ordering is written, read back and cut to the budgets."""
+    root = scratch_path(spark, "ordering")
+    rows = instances(spark, sf)
+    artifacts.write_ordering(ordering.order_instances(rows, "fl"), "fl", root)
+    loaded = artifacts.load_ordering(spark, "fl", root, SUBMIXTURES)
+    return _train(mixture.build_mixture(rows, config("gc", "fl"), ordering=loaded))
+
+
 def document_mixture(f1, f2):
     def run(spark, sf):
         docs = samples.document_instances(spark, sf)
@@ -421,6 +447,11 @@ SWEEP = [
     for f1 in ("random", "gc")
     for f2 in ("random", "fl")
 ]
+# Settings that differ in what the others share.
+SWEEP += [
+    MixtureConfig(5, 80, "random", "random", task_seed=5, ordering_seed=7, taylor_order=4, temperature=2.0),
+    MixtureConfig(5, 80, "gc", "random", ordering_seed=7, temperature=0.5),
+]
 
 
 def mixture_sweep(spark, sf):
@@ -447,12 +478,12 @@ def concatenated_pairs(spark, sf):
     return tuning.concat_pair(train_pairs(spark, sf)).select("row_idx", "text")
 
 
-def _tokenized(spark, sf):
-    return tuning.tokenize(tuning.concat_pair(train_pairs(spark, sf)), MAX_LEN)
+def _tokenized(spark, sf, max_len):
+    return tuning.tokenize(tuning.concat_pair(train_pairs(spark, sf)), max_len)
 
 
 def tokenized_pairs(spark, sf):
-    return _tokenized(spark, sf).select("row_idx", joined("input_ids"), joined("prompt_ids"))
+    return _tokenized(spark, sf, SHORT_LEN).select("row_idx", joined("input_ids"), joined("prompt_ids"))
 
 
 def effective_length(spark, sf):
@@ -467,7 +498,7 @@ def effective_length(spark, sf):
 
 
 def masked_labels(spark, sf):
-    return tuning.mask_labels(_tokenized(spark, sf)).select(
+    return tuning.mask_labels(_tokenized(spark, sf, MAX_LEN)).select(
         "row_idx", joined("input_ids"), joined("attention_mask"), joined("labels")
     )
 
@@ -482,6 +513,12 @@ def eval_batch_plan(spark, sf):
     return tuning.batch_plan(placed, ["row_idx"], 4, devices=2, seed=None, order="place")
 
 
+def eval_batch_plan_sparse(spark, sf):
+    held_out = samples.conversation_pairs(spark, sf, validation=True)
+    keys = held_out.select((F.col("row_idx") * 7_919_000_003 % 1_000_000_007).alias("key"))
+    return tuning.batch_plan(tuning.given_order(keys, "key"), ["key"], 4, devices=2, seed=None, order="place")
+
+
 def padded_batches(spark, sf):
     cfg = training.TuningConfig(MAX_LEN, devices=2, accumulation=4, epochs=2, seed=23)
     return _strings(training.training_batches(train_pairs(spark, sf), ["row_idx"], cfg))
@@ -503,6 +540,15 @@ def resumed_plan(spark, sf):
     return tuning.skip_batches(plan, 0, 3).select("epoch", "row_idx", "batch_id")
 
 
+def resumed_from_updates(spark, sf):
+    """Resume after two optimizer steps of a run, wherever in the epochs that is."""
+    pairs = train_pairs(spark, sf)
+    steps = step_counts(spark, sf).head()["device_batches"]
+    epoch, done = tuning.resume_point(2, TRAIN_RUN["accumulation"], steps)
+    plan = tuning.batch_plan(pairs, ["row_idx"], **TRAIN_RUN)
+    return tuning.skip_batches(plan, epoch, done).select("epoch", "row_idx", "batch_id")
+
+
 def sampled_rows(spark, sf):
     return tuning.peek(train_pairs(spark, sf), ["row_idx"], 3, 23).select("row_idx", "prompt")
 
@@ -511,9 +557,14 @@ def step_counts(spark, sf):
     return training.run_steps(train_pairs(spark, sf), training.TuningConfig(devices=2))
 
 
+def step_counts_by_updates(spark, sf):
+    return training.run_steps(train_pairs(spark, sf), training.TuningConfig(devices=2, max_updates=100))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "load_submixtures": load_submixtures,
+        "load_submixtures_split_column": load_submixtures_split_column,
         "load_instruction_dataset": load_instruction_dataset,
         "stage_reuse": stage_reuse,
         "written_ordering": written_ordering,
@@ -555,12 +606,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunked_random_ordering": chunked_random_ordering,
         "chunked_gc_ordering": row_ordering("gc", threshold=20, chunk_rows=16),
         "chunked_fl_ordering": row_ordering("fl", threshold=20, chunk_rows=16),
+        "chunked_logdet_ordering": row_ordering("logdet", threshold=20, chunk_rows=16),
         "softmax_probabilities": softmax_probabilities,
         "integer_split": integer_split,
         "capped_budgets": capped_budgets,
         "task_budgets_random": task_budgets("random"),
         "task_budgets_gc": task_budgets("gc"),
         "task_budgets_fl": task_budgets("fl"),
+        "task_budgets_logdet": task_budgets("logdet"),
         "template_budgets": template_budgets,
         "group_subsets": group_subsets,
         "assembled": assembled,
@@ -570,6 +623,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mixture_gc_fl": mixture_gc_fl,
         "mixture_fl_gc": mixture_of("fl", "gc"),
         "mixture_logdet_logdet": mixture_of("logdet", "logdet"),
+        **{
+            f"mixture_{f1}_{f2}": mixture_of(f1, f2)
+            for f1, f2 in (
+                ("fl", "fl"), ("fl", "logdet"), ("gc", "gc"), ("gc", "logdet"), ("logdet", "fl"), ("logdet", "gc"),
+            )
+        },
+        "mixture_from_loaded_ordering": mixture_from_loaded_ordering,
         "document_mixture_gc_fl": document_mixture("gc", "fl"),
         "mixture_sweep": mixture_sweep,
         "baseline_equal": baseline_mixture("equal"),
@@ -581,11 +641,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "masked_labels": masked_labels,
         "batch_plan": batch_plan,
         "eval_batch_plan": eval_batch_plan,
+        "eval_batch_plan_sparse": eval_batch_plan_sparse,
         "padded_batches": padded_batches,
         "padded_eval_batches": padded_eval_batches,
         "resumed_plan": resumed_plan,
+        "resumed_from_updates": resumed_from_updates,
         "sampled_rows": sampled_rows,
         "step_counts": step_counts,
+        "step_counts_by_updates": step_counts_by_updates,
         **(llm.queries() if llm else {}),
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +13,21 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors reach: the session's checkpoint dir, else (in tests) a new one."""
+    """The folder all executors reach: the session's checkpoint dir, or what `spark.checkpoint.dir` names.
+
+    Where neither is set, only a local master gets a folder of its own, below the warehouse; on a cluster that is an
+    error, since no other folder is known to be shared.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="mixloom-"))
+    if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
@@ -46,7 +54,9 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if rows <= limit else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan of so few splits that it would leave cores idle in front of Python work."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows of a scan with few splits over `partitions` (the cores by default), in front of Python work.
+
+    A caller whose input has enough splits leaves this out: it shuffles whole rows.
+    """
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def seeded_digest(seed: int, *columns: str) -> Column:
@@ -21,18 +20,3 @@ def ordinal(column: str, values: tuple[str, ...]) -> Column:
     """Place of a value in a short declared list; values outside it come last."""
     place = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))
     return F.when(place > 0, place - 1).otherwise(F.lit(len(values))).cast("int")
-
-
-def monotone_double(column: str, dtype: T.DataType) -> Column:
-    """A double that never decreases when the column grows; used to cut a range into buckets."""
-    c = F.col(column)
-    if isinstance(dtype, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dtype, T.NumericType):
-        return c.cast("double")
-    raise TypeError(f"cannot order rows by {column}: {dtype.simpleString()}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column
@@ -49,10 +50,11 @@ class HashingEncoder:
         self._bucket = _Buckets(width).__getitem__
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        counts = np.zeros((len(texts), self.width))
-        for row, text in enumerate(texts):
-            buckets = np.fromiter(map(self._bucket, text.encode().split()), dtype=np.int64)
-            counts[row] = np.bincount(buckets, minlength=self.width)
+        words = [text.encode().split() for text in texts]
+        rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        buckets = np.fromiter(map(self._bucket, chain.from_iterable(words)), np.int64, len(rows))
+        counts = np.bincount(rows * self.width + buckets, minlength=len(texts) * self.width)
+        counts = counts.reshape(len(texts), self.width).astype(np.float64)
         length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = np.divide(counts, length, out=np.zeros_like(counts), where=length > 0)
         return unit.astype(np.float32)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixloom.config import TASK_KEY, MixtureConfig
+from mixloom.config import ROW_KEY, TASK_KEY, MixtureConfig
 from mixloom.operators.prepare import known_templates
 
 INSTANCE_COLUMNS = ("submixture", "row_idx", "task_name", "template_type", "inputs", "targets")
@@ -22,21 +22,47 @@ def require_columns(df: DataFrame, columns: Sequence[str] = INSTANCE_COLUMNS) ->
 
 
 def violations(
-    df: DataFrame, cfg: MixtureConfig, not_null: Sequence[str] = ("submixture", "row_idx", "task_name")
+    df: DataFrame,
+    cfg: MixtureConfig,
+    not_null: Sequence[str] = ("submixture", "row_idx", "task_name"),
+    contents: Sequence[str] = ("inputs", "targets", "embedding"),
 ) -> DataFrame:
-    """(rule, violations) of the instances under the settings, by one aggregate over the rows.
+    """(rule, violations) of the instances under the settings.
 
-    Tasks are counted exactly by a group-by with partial aggregation, then summed up.
+    Nulls of `not_null` and of those `contents` that there are, vectors of another width than most wide ones, and rows
+    whose (submixture, row_idx) an earlier row has. Tasks and row keys are counted exactly by group-bys with partial
+    aggregation, then summed up.
     """
     require_columns(df, not_null)
-    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in not_null]
+    checked = [*not_null, *(c for c in contents if c in df.columns and c not in not_null)]
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in checked]
+    parts = [df.agg(*nulls)]
+    if "embedding" in checked:
+        widths = df.where(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("width")).count()
+        odd = F.coalesce(F.sum("count") - F.max("count"), F.lit(0)).alias("ragged_embedding")
+        parts.append(widths.agg(odd))
+    keys = df.groupBy(*ROW_KEY).agg((F.count(F.lit(1)) - 1).alias("more"))
+    parts.append(keys.agg(F.coalesce(F.sum("more"), F.lit(0)).alias("repeated_row")))
     known = known_templates(df.select(*TASK_KEY, "template_type")).groupBy(*TASK_KEY).count()
     sizes = known.agg(F.count(F.lit(1)).alias("tasks"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
     bounds = sizes.select(
         (F.lit(cfg.num_tasks) >= F.col("tasks")).cast("bigint").alias("num_tasks"),
         (F.lit(cfg.num_instances) > F.col("rows")).cast("bigint").alias("num_instances"),
     )
-    return _long(df.agg(*nulls)).unionAll(_long(bounds))
+    result = _long(bounds)
+    for part in parts:
+        result = result.unionAll(_long(part))
+    return result
+
+
+def refuse_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`df` with columns that fail on a null as soon as they are read, naming the row: a check without a scan."""
+
+    def sure(c: str):
+        row = F.concat_ws(" row ", F.col("submixture"), F.col("row_idx").cast("string"))
+        return F.when(F.col(c).isNull(), F.raise_error(F.concat(F.lit(f"null {c} in "), row))).otherwise(F.col(c))
+
+    return df.withColumns({c: sure(c) for c in columns if c in df.columns})
 
 
 def _long(row: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def _order_chunks(chunked: DataFrame, objective: str) -> DataFrame:
     def order(chunk: pa.Table) -> pa.Table:
         chunk = chunk.sort_by("row_idx")
         wanted = chunk["_wanted"][0].as_py() or chunk.num_rows
-        places, gains = greedy(matrix(chunk["embedding"]), objective, wanted)
+        places, gains = greedy(matrix(chunk["embedding"], chunk["row_idx"]), objective, wanted)
         ranks = pa.array(range(1, len(places) + 1), pa.int64())
         picked = chunk.select(kept).take(pa.array(places))
         return picked.append_column("chunk_rank", ranks).append_column("gain", pa.array(gains))

@@ -9,14 +9,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixloom.cluster import small, stored
+from mixloom.cluster import small
 from mixloom.config import GROUP_KEY, ROW_KEY, SUBMIXTURES, TASK_KEY, TEMPLATE_TYPES
 from mixloom.functions.columns import ordinal
-from mixloom.operators.ranking import index_bucket, positions, with_range_bucket
-
-
-# Rows one task may sort when rows are numbered along given columns.
-HEAVY_ROWS = 1_000_000
+from mixloom.operators.ranking import index_bucket, positions, range_positions
 
 
 def known_templates(df: DataFrame) -> DataFrame:
@@ -34,27 +30,11 @@ def decode_labels(df: DataFrame, names: DataFrame, label: str = "task_label") ->
 
 
 def with_row_idx(df: DataFrame, order: Sequence[str], name: str = "row_idx") -> DataFrame:
-    """Number the rows of each submixture from 0 along `order`, which must be total.
+    """Number the rows of each submixture from 0 along `order`, which must be total; see `range_positions`.
 
-    Rows are spread by ranges of the first column. Where too many share a range (a value, say a
-    text, may be a third of all rows), ranges of the second column split them further.
     Sources in file order get the same numbers without a shuffle from `load_submixtures`.
     """
-    by, first = ["submixture"], order[0]
-    cut = with_range_bucket(df, by, first, "_range")
-    bucket = F.col("_range")
-    heavy = None
-    if len(order) > 1:
-        counted = cut.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
-        heavy = stored(counted.where(F.col("_rows") > HEAVY_ROWS).select(*by, "_range", F.lit(True).alias("_heavy")))
-        found = heavy.count()
-    if heavy is not None and found:
-        cut = with_range_bucket(cut, by, order[1], "_second").join(
-            small(heavy, found), [*by, "_range"], "left"
-        )
-        finer = [F.when(F.col("_heavy"), F.col(c)).alias(c) for c in (first, "_second")]
-        bucket = F.struct("_range", *finer)
-    return positions(cut, by, bucket, list(order), name).drop("_range", "_second", "_heavy")
+    return range_positions(df, ["submixture"], order, name)
 
 
 def task_index(df: DataFrame) -> DataFrame:

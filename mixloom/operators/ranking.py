@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixloom.cluster import small, stored
-from mixloom.functions.columns import monotone_double, whole
+from mixloom.functions.columns import whole
 
 # Digests are cut by their leading hex digits: 16^3 even buckets per group.
 DIGEST_DIGITS = 3
 # Rows of a bucket when cutting by row_idx, which is unique and dense inside a submixture.
 BUCKET_ROWS = 100_000
-# Ranges of unknown distribution: 100 quantile slices, each cut evenly in 100.
-SLICES = 100
+# Bits of `monotonically_increasing_id` that count the rows of a task.
+PLACE_BITS = 33
 
 
 def digest_bucket(digest: str) -> Column:
@@ -91,25 +91,27 @@ def leading_rows(
     )
 
 
-def with_range_bucket(df: DataFrame, by: Sequence[str], column: str, name: str) -> DataFrame:
-    """Add a bucket number that never decreases along `column`, for any distribution of it.
+def range_positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
+    """Add the 0-based position of each row in its group along columns of any type and distribution.
 
-    Quantile slices follow the data; inside a slice an even cut gives the finer buckets. A bucket
-    affects only how the work is spread, never the resulting positions.
+    The rows are dealt over tasks by sampled ranges of (by..., order...) and stored, so no task gets more than its share,
+    however the values lie; ties of all these columns stay together and get some order. A row's position is its place in
+    its task, plus the rows of its group in the tasks before. Pass narrow rows and join wide ones afterwards.
     """
-    by = list(by)
-    valued = df.withColumn("_v", monotone_double(column, df.schema[column].dataType))
-    points = F.array(*[F.lit(i / SLICES) for i in range(SLICES + 1)])
-    cuts = stored(valued.groupBy(*by).agg(F.percentile_approx("_v", points, 1000).alias("_cuts")))
-    slot = F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))
-    low = F.try_element_at("_cuts", F.nullif(F.col("_slot"), F.lit(0)))
-    high = F.try_element_at("_cuts", F.col("_slot") + 1)
-    fine = F.floor((F.col("_v") - low) / F.nullif(high - low, F.lit(0.0)) * SLICES)
-    return (
-        valued.join(small(cuts), by)
-        .withColumn("_slot", slot)
-        .withColumn(
-            name, F.col("_slot") * SLICES + F.least(F.coalesce(fine, F.lit(0)), F.lit(SLICES - 1))
-        )
-        .drop("_v", "_cuts", "_slot")
+    by, order = list(by), list(order)
+    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    dealt = stored(dealt.withColumn("_id", F.monotonically_increasing_id()))
+    task = F.shiftright("_id", PLACE_BITS).alias("_task")
+    before = Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        dealt.groupBy(*by, task)
+        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .select(*by, "_task", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
+    keyed = dealt.withColumn("_task", task)
+    same = F.lit(True)
+    starts = starts.withColumnsRenamed({c: f"_by_{c}" for c in [*by, "_task"]})
+    for c in [*by, "_task"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    placed = keyed.join(small(stored(starts)), same)
+    return placed.withColumn(name, F.col("_id") + F.col("_shift")).select(*df.columns, name)

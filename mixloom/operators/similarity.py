@@ -11,9 +11,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mixloom.cluster import small, stored
 from mixloom.config import GROUP_KEY
 from mixloom.functions.greedy import unit_rows
 from mixloom.operators.prepare import known_templates
@@ -21,11 +25,24 @@ from mixloom.operators.prepare import known_templates
 BLOCK_ROWS = 2048
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """A list column of equal lengths as a 2-d array."""
-    flat = column.combine_chunks()
-    flat = flat.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+def matrix(column: pa.ChunkedArray, rows: pa.ChunkedArray | None = None) -> np.ndarray:
+    """A list column of equal lengths as a 2-d array; `rows` names the rows in errors.
+
+    A null vector, a null inside one or a length of its own is an error: flattened, it would shift all rows after it.
+    """
+    lists = column.combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    lengths = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    usual = np.bincount(lengths[lengths > 0]).argmax() if (lengths > 0).any() else 0
+    odd = np.flatnonzero((lengths != usual) | (lengths < 0))
+    if flat.null_count and not len(odd):
+        odd = np.flatnonzero(np.add.reduceat(flat.is_null().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths))
+    if len(odd):
+        named = [rows[int(i)].as_py() if rows is not None else int(i) for i in odd[:5]]
+        raise ValueError(f"embeddings must be whole vectors of one width; {len(odd)} are not, e.g. of rows {named}")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def _grid(df: DataFrame, keys: list[str], block: Column, blocks: Column, carry: list[str]):
@@ -57,32 +74,66 @@ def cosine_pairs(tasks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return grid.applyInArrow(cell, "i bigint, j bigint, s double")
 
 
-def group_similarity(
-    df: DataFrame, keys: Sequence[str] = GROUP_KEY, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Per row, its similarity to all rows of its group: the sum, and the sum of the positive part.
+def unit_vector(column: str = "embedding") -> Column:
+    """The vector at length one, as doubles; a zero vector stays zero."""
+    values = F.col(column).cast("array<double>")
+    length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v))
+    return F.transform(values, lambda v: F.when(length > 0, v / length).otherwise(F.lit(0.0)))
+
+
+def similarity_sums(df: DataFrame, keys: Sequence[str] = GROUP_KEY) -> DataFrame:
+    """(group..., row_idx, sim_sum): each row's similarity to all rows of its group.
+
+    The sum of x . y over y is x . (sum of y): one aggregate per group and one join with it, linear in the rows.
+    """
+    keys = list(keys)
+    rows = known_templates(df) if "template_type" in keys else df
+    rows = rows.select(*keys, "row_idx", unit_vector().alias("_unit"))
+    totals = rows.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector("_unit"))).alias("_total"))
+    product = F.aggregate(F.arrays_zip("_unit", "_total"), F.lit(0.0), lambda a, p: a + p["_unit"] * p["_total"])
+    return rows.join(small(stored(totals)), keys).select(*keys, "row_idx", product.alias("sim_sum"))
+
 
-    Exact for any group size: rows are hashed into blocks of about `block_rows`, so the work of
-    a hot group spreads over (rows / block_rows)^2 cells.
+def positive_sums(df: DataFrame, keys: Sequence[str] = GROUP_KEY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(group..., row_idx, positive_sum): the positive part of each row's similarities to all rows of its group.
+
+    Exact for any group size: rows are hashed into blocks of about `block_rows`, so the work of a hot group spreads over
+    the cells of half a grid; similarities are symmetric, so a cell serves the rows of both its blocks.
     """
     keys = list(keys)
     rows = known_templates(df) if "template_type" in keys else df
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_blocks"))
-    sized = rows.select(*keys, "row_idx", "embedding").join(sizes, keys)
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_n"))
+    sized = rows.select(*keys, "row_idx", "embedding").join(small(stored(sizes)), keys)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "row_idx"])
+    block = F.pmod(F.xxhash64("row_idx"), F.col("_n")).cast("int")
+    spread = sized.withColumn("_b", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
+    spread = spread.select(
+        *keys, "row_idx", "embedding", "_b", F.least("_b", "_other").alias("_low"), F.greatest("_b", "_other").alias("_high")
+    )
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        s = unit_rows(matrix(left["embedding"])) @ unit_rows(matrix(right["r_embedding"])).T
-        return left.select([*keys, "row_idx"]).append_column("_sum", pa.array(s.sum(axis=1))).append_column(
-            "_positive", pa.array(np.maximum(s, 0.0).sum(axis=1))
-        )
+    def cell(rows: pa.Table) -> pa.Table:
+        x = unit_rows(matrix(rows["embedding"], rows["row_idx"]))
+        low = rows["_b"].to_numpy() == rows["_low"][0].as_py()
+        if rows["_low"][0].as_py() == rows["_high"][0].as_py():
+            sums = np.maximum(x @ x.T, 0.0).sum(axis=1)
+        else:
+            s = np.maximum(x[low] @ x[~low].T, 0.0)
+            sums = np.empty(len(x))
+            sums[low], sums[~low] = s.sum(axis=1), s.sum(axis=0)
+        return rows.select([*keys, "row_idx"]).append_column("_positive", pa.array(sums))
 
-    grid = _grid(
-        sized, keys, F.pmod(F.xxhash64("row_idx"), F.col("_blocks")), F.col("_blocks"), ["row_idx", "embedding"]
-    )
     return (
-        grid.applyInArrow(cell, f"{schema}, _sum double, _positive double")
+        spread.groupBy(*keys, "_low", "_high")
+        .applyInArrow(cell, f"{schema}, _positive double")
         .groupBy(*keys, "row_idx")
-        .agg(F.sum("_sum").alias("sim_sum"), F.sum("_positive").alias("positive_sum"))
+        .agg(F.sum("_positive").alias("positive_sum"))
     )
+
+
+def group_similarity(
+    df: DataFrame, keys: Sequence[str] = GROUP_KEY, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Per row, its similarity to all rows of its group: the sum, and the sum of the positive part."""
+    keys = [*keys, "row_idx"]
+    return similarity_sums(df, keys[:-1]).join(positive_sums(df, keys[:-1], block_rows), keys)

@@ -21,7 +21,7 @@ from mixloom.config import (
 from mixloom.cluster import stored
 from mixloom.functions.columns import seeded_digest
 from mixloom.functions.greedy import greedy, unit_rows
-from mixloom.operators.similarity import group_similarity, matrix
+from mixloom.operators.similarity import matrix, positive_sums, unit_vector
 
 # Task vectors up to this size are ordered inside one Spark task; beyond it every pick is a job.
 ONE_TASK_BYTES = 256 * 1024 * 1024
@@ -70,7 +70,7 @@ def random_tasks(profile: DataFrame, num_tasks: int, seed: int = SHUFFLE_SEED) -
 def _picks_in_one_task(vectors: DataFrame, objective: str, num_tasks: int) -> DataFrame:
     def pick(tasks: pa.Table) -> pa.Table:
         tasks = tasks.sort_by([(c, "ascending") for c in ("submixture_ord", "submixture", "first_row", "task_name")])
-        places, gains = greedy(matrix(tasks["embedding"]), objective, num_tasks)
+        places, gains = greedy(matrix(tasks["embedding"], tasks["task_name"]), objective, num_tasks)
         chosen = tasks.select(list(TASK_KEY)).take(pa.array(places))
         ranks = pa.array(range(1, len(places) + 1), pa.int32())
         return chosen.add_column(0, "pick", ranks).append_column("gain", pa.array(gains))
@@ -123,11 +123,7 @@ class _Scored:
 class _GraphCut(_Scored):
     def __init__(self, rows: DataFrame):
         super().__init__(rows)
-        length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
-        unit = F.when(length > 0, F.transform("embedding", lambda v: v / length)).otherwise(
-            F.transform("embedding", lambda v: v * 0.0)
-        )
-        total = rows.select(array_to_vector(unit).alias("u")).agg(Summarizer.sum(F.col("u"))).head()[0]
+        total = rows.select(array_to_vector(unit_vector()).alias("u")).agg(Summarizer.sum(F.col("u"))).head()[0]
         self.pull = total.toArray()
 
     def score(self):
@@ -158,7 +154,7 @@ class _Facility:
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
-        first = group_similarity(rows.withColumn("_all", F.lit(0)), ["_all"])
+        first = positive_sums(rows.withColumn("_all", F.lit(0)), ["_all"])
         self.bounds = stored(rows.join(first.select("row_idx", F.col("positive_sum").alias("bound")), "row_idx"))
         self.picked = np.empty((0, 0))
         self.known: dict[int, tuple] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mixloom.config import IGNORE_INDEX, UNSET_MAX_LENGTH
 from mixloom.functions.columns import seeded_digest, whole
 from mixloom.functions.hashing import token_ids
-from mixloom.operators.ranking import digest_bucket, index_bucket, positions
+from mixloom.operators.ranking import digest_bucket, positions, range_positions
 
 Tokenizer = Callable[[list[str]], list[list[int]]]
 
@@ -107,8 +107,8 @@ def batch_plan(
 
 
 def given_order(df: DataFrame, order: str, name: str = "place") -> DataFrame:
-    """Dense positions along a unique integer column, e.g. for eval rows."""
-    return positions(df, [], index_bucket(order), [order], name)
+    """Dense positions along a unique column of any distribution, e.g. for eval rows."""
+    return range_positions(df, [], [order], name)
 
 
 def collate(df: DataFrame, pad_id: int, by: Sequence[str] = ("epoch", "batch_id")) -> DataFrame:

@@ -18,7 +18,7 @@ from mixloom.operators.budgets import (
     template_budgets,
     zero_fill,
 )
-from mixloom.operators.checks import require_columns
+from mixloom.operators.checks import refuse_nulls, require_columns
 from mixloom.operators.ordering import order_instances, random_leaders
 from mixloom.operators.prepare import task_profile
 from mixloom.operators.selection import select_subset, train_split, validation_split, whole_groups
@@ -123,6 +123,8 @@ def build_mixture(
 ) -> Mixture:
     """Pick `num_instances` rows of `num_tasks` tasks and shuffle them.
 
+    Null vectors and texts fail in the scan that reads them, vectors of unequal width when they are averaged or ordered,
+    repeated row keys when the picks are counted; `violations` lists all of them beforehand.
     Scans: one for the task profile, one for the ordered groups (keys and vectors), one for the
     texts of the picked rows. What lies between is stored, so nothing is worked out twice.
     `vectors` (group..., row_idx, embedding) stands in for `instances` wherever no text is needed.
@@ -131,11 +133,13 @@ def build_mixture(
     needs_vectors = cfg.task_objective != "random" or (ordering is None and cfg.instance_objective != "random")
     require_columns(instances, [*ROW_KEY, "inputs", "targets"])
     require_columns(keyed, [*GROUP_KEY, "row_idx", *(["embedding"] if needs_vectors else [])])
+    keyed = refuse_nulls(keyed, ["embedding"] if needs_vectors else [])
+    instances = refuse_nulls(instances, ["inputs", "targets"])
     budgets = group_budgets(profile_of(keyed, cfg), cfg)
     rows = stored(pick_rows(keyed, budgets, cfg, ordering))
-    picked = rows.count()
-    if picked != cfg.num_instances:
-        raise ValueError(f"the mixture has {picked} rows instead of {cfg.num_instances}")
+    picked, keys = rows.select(F.count(F.lit(1)), F.count_distinct(*ROW_KEY)).head()
+    if picked != cfg.num_instances or keys != picked:
+        raise ValueError(f"the mixture has {picked} rows with {keys} keys instead of {cfg.num_instances}")
     train = train_split(instances, rows, cfg.shuffle_seed, picks_bound=cfg.num_instances)
     held_out = None if validation is None else validation_split(validation)
     return Mixture(budgets.tasks, rows, train, held_out)
@@ -144,20 +148,28 @@ def build_mixture(
 def sweep(instances: DataFrame, grid: Iterable[MixtureConfig]) -> DataFrame:
     """(config_id, group..., row_idx) of many settings at once; config_id is the place in the grid.
 
-    Greedy orders are nested, so each task objective runs once, to the largest `num_tasks`, and
-    each instance objective once, to the largest budget any setting gives a group.
+    Greedy orders are nested, so each task objective (and seed) runs once, to the largest `num_tasks`, and each instance
+    objective (with its seed and chunks) once, to the largest budget any of its settings gives a group. All settings must
+    name the same submixtures.
     """
     grid = list(grid)
+    if not grid:
+        raise ValueError("a sweep needs at least one setting")
+    if len({c.submixtures for c in grid}) > 1:
+        raise ValueError("the settings of a sweep must name the same submixtures")
     spark = instances.sparkSession
-    base = grid[0]
     needs_vectors = any(c.task_objective != "random" for c in grid)
-    profile = stored(task_profile(instances, base.submixtures, vectors=needs_vectors))
+    profile = stored(task_profile(instances, grid[0].submixtures, vectors=needs_vectors))
     split = stored(_sweep_budgets(spark, profile, grid))
     bound = GROUPS_PER_TASK * sum(c.num_tasks for c in grid)
     parts = [whole_of_sweep(instances, split, bound)]
     partial = split.where("budget > 0 AND budget < rows")
-    for objective in sorted({c.instance_objective for c in grid}):
-        given = partial.where(F.col("instance_objective") == objective)
+    orders: dict[tuple, list[int]] = {}
+    for i, c in enumerate(grid):
+        key = (c.instance_objective, c.ordering_seed, c.chunk_threshold, c.chunk_rows)
+        orders.setdefault(key, []).append(i)
+    for (objective, seed, threshold, chunk_rows), settings in orders.items():
+        given = partial.where(F.col("config_id").isin(settings))
         quotas = given.groupBy(*GROUP_KEY).agg(F.max("budget").alias("quota"))
         ordering = order_instances(
             instances,
@@ -166,11 +178,11 @@ def sweep(instances: DataFrame, grid: Iterable[MixtureConfig]) -> DataFrame:
             bound,
             given.agg(F.max("rows")).head()[0] or 0,
             given.select(*GROUP_KEY, "rows").distinct(),
-            base.ordering_seed,
-            base.chunk_threshold,
-            base.chunk_rows,
+            seed,
+            threshold,
+            chunk_rows,
         )
-        chosen = select_subset(ordering, given.drop("instance_objective"), bound)
+        chosen = select_subset(ordering, given, bound)
         parts.append(chosen.select("config_id", *GROUP_KEY, "row_idx"))
     result = parts[0]
     for part in parts[1:]:
@@ -185,37 +197,41 @@ def whole_of_sweep(instances: DataFrame, split: DataFrame, bound: int) -> DataFr
 
 
 def _sweep_budgets(spark: SparkSession, profile: DataFrame, grid: Sequence[MixtureConfig]) -> DataFrame:
-    """(config_id, instance_objective, group..., rows, budget) of all settings."""
+    """(config_id, group..., rows, budget) of all settings."""
+    largest: dict[tuple[str, int], int] = {}
+    for c in grid:
+        key = (c.task_objective, c.task_seed)
+        largest[key] = max(largest.get(key, 0), c.num_tasks)
+    numbers = {key: n for n, key in enumerate(largest)}
     settings = spark.createDataFrame(
         [
-            (i, c.task_objective, c.instance_objective, c.num_tasks, c.num_instances, c.temperature)
+            (i, numbers[c.task_objective, c.task_seed], c.num_tasks, c.num_instances, c.temperature, c.taylor_order)
             for i, c in enumerate(grid)
         ],
-        "config_id int, task_objective string, instance_objective string, num_tasks int,"
-        " num_instances bigint, temperature double",
+        "config_id int, list_id int, num_tasks int, num_instances bigint, temperature double, taylor_order int",
     )
-    largest: dict[str, int] = {}
-    for c in grid:
-        largest[c.task_objective] = max(largest.get(c.task_objective, 0), c.num_tasks)
     lists = None
-    for objective, most in sorted(largest.items()):
-        picks = select_tasks(profile, objective, most, grid[0].task_seed)
-        picks = picks.withColumn("task_objective", F.lit(objective))
+    for (objective, seed), most in largest.items():
+        picks = select_tasks(profile, objective, most, seed)
+        picks = picks.withColumn("list_id", F.lit(numbers[objective, seed]))
         lists = picks if lists is None else lists.unionByName(picks)
     lists = stored(lists)
-    each = lists.join(F.broadcast(settings), "task_objective").where("pick <= num_tasks")
+    each = lists.join(F.broadcast(settings), "list_id").where("pick <= num_tasks")
     rows = sum(c.num_tasks for c in grid)
     sized = profile.select(*TASK_KEY, "total").join(small(each, rows), list(TASK_KEY))
     by = ["config_id"]
     scaled = sized.withColumn("gain", F.col("gain") / F.col("temperature"))
-    shares = taylor_softmax(scaled, by, order=grid[0].taylor_order)
+    shares = None
+    for order in sorted({c.taylor_order for c in grid}):
+        part = taylor_softmax(scaled.where(F.col("taylor_order") == order), by, order=order)
+        shares = part if shares is None else shares.unionByName(part)
     budgets = stored(cap_redistribute(budget_split(shares, F.col("num_instances"), "prob", "pick", by), by=by))
     short = budgets.groupBy(*by).agg(
         F.sum("total").alias("available"), F.first("num_instances").alias("wanted")
     ).where("available < wanted").head()
     if short:
         raise ValueError(f"the picked tasks hold fewer rows than wanted: {short.asDict()}")
-    given = budgets.select("config_id", "instance_objective", *TASK_KEY, "budget")
+    given = budgets.select("config_id", *TASK_KEY, "budget")
     return template_budgets(given, profile, rows).where("rows > 0")
 
 

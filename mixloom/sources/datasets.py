@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mixloom.cluster import small, stored
 from mixloom.operators.checks import PAIR_COLUMNS, require_columns
+from mixloom.operators.ranking import index_bucket, positions
 from mixloom.operators.selection import assemble
 
 
@@ -17,37 +18,43 @@ def load_submixtures(
 ) -> DataFrame:
     """Read each named source, keep one split of it, tag its rows with the name.
 
-    Parquet rows without a `row_idx` get their position in the source: files in name order, rows
-    in file order. That needs only row counts per file, no shuffle of rows.
+    Parquet rows without a `row_idx` get their position among the rows kept: files in name order, rows in file order.
+    Where files are kept or left whole (split folders, or no split) that needs row counts per file only. Where `split` is
+    a column inside the files, positions are worked out on narrow keys and joined to the rows. Other formats have no
+    row order; bring a `row_idx` or number the rows with `with_row_idx`.
     """
-    sources = {}
-    for name, path in paths.items():
-        rows = spark.read.format(fmt).load(path)
-        if split is not None:
-            rows = rows.where(F.col("split") == split).drop("split")
-        sources[name] = rows
+    sources = {name: spark.read.format(fmt).load(path) for name, path in paths.items()}
+    kept = F.lit(True) if split is None else F.col("split") == split
     if fmt != "parquet" or any("row_idx" in rows.columns for rows in sources.values()):
-        return assemble(rows.withColumn("submixture", F.lit(n)) for n, rows in sources.items())
+        return assemble(
+            (rows if split is None else rows.where(kept).drop("split")).withColumn("submixture", F.lit(name))
+            for name, rows in sources.items()
+        )
     located = assemble(
         rows.select(
-            F.lit(n).alias("submixture"),
-            "*",
+            F.lit(name).alias("submixture"),
+            *(c for c in rows.columns if c != "split" or split is None),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.row_index").alias("_row"),
+            F.coalesce(kept, F.lit(False)).alias("_kept"),
         )
-        for n, rows in sources.items()
+        for name, rows in sources.items()
     )
     before = Window.partitionBy("submixture").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     files = stored(
         located.groupBy("submixture", "_file")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("submixture", "_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    )
-    return (
-        located.join(small(files), ["submixture", "_file"])
-        .withColumn("row_idx", F.col("_start") + F.col("_row"))
-        .drop("_file", "_row", "_start")
+        .agg(F.count(F.lit(1)).alias("_all"), F.count_if("_kept").alias("_rows"))
+        .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     )
+    cut = files.where("_rows > 0 AND _rows < _all").limit(1).count()
+    rows = located.where("_kept").drop("_kept")
+    if not cut:
+        placed = rows.join(small(files.select("submixture", "_file", "_start")), ["submixture", "_file"])
+        return placed.withColumn("row_idx", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+    keys = rows.select("submixture", "_file", "_row")
+    bucket = F.struct("_file", index_bucket("_row").alias("b"))
+    numbers = positions(keys, ["submixture"], bucket, ["_file", "_row"], "row_idx")
+    return rows.join(numbers, ["submixture", "_file", "_row"]).drop("_file", "_row")
 
 
 def load_instruction_dataset(

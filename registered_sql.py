@@ -5,6 +5,8 @@ Greedy selections are plain greedy over the full similarity kernel, as recursive
 
 from __future__ import annotations
 
+import math
+
 from mixloom.config import SUBMIXTURES, TEMPLATE_TYPES
 from mixloom.sources import samples
 
@@ -117,30 +119,31 @@ def greedy(objective: str, limit: str = "1000000", name: str = "picks") -> str:
    FROM {st} WHERE i = j) WHERE rn = 1)"""
 
 
-def random_tasks(count: int = TASKS) -> str:
+def random_tasks(count: int = TASKS, seed: int = 23) -> str:
     return f"""
 tp AS (SELECT row_number() OVER (ORDER BY d, {TASK}) AS pick, {TASK}, total, 1.0::DOUBLE AS gain
-       FROM (SELECT *, md5(concat('23:', submixture, ':', task_name)) AS d FROM tot) ORDER BY pick LIMIT {count})"""
+       FROM (SELECT *, md5(concat('{seed}:', submixture, ':', task_name)) AS d FROM tot) ORDER BY pick LIMIT {count})"""
 
 
-def task_picks(objective: str, count: int = TASKS) -> str:
+def task_picks(objective: str, count: int = TASKS, seed: int = 23) -> str:
     """tp(pick, task..., total, gain); the kernel CTE k must be gone or scoped, so it is inlined."""
     if objective == "random":
-        return random_tasks(count)
+        return random_tasks(count, seed)
     body = f"{MEANS},{TASK_KERNEL},{greedy(objective, str(count))}"
     return f"""
 tp AS (WITH RECURSIVE {body.strip()}
   SELECT p.step AS pick, t.submixture, t.task_name, t.total, p.gain FROM picks p JOIN tot t ON t.task_pos = p.j)"""
 
 
-def budgets(rows: str, by: str = "") -> str:
+def budgets(rows: str, by: str = "", order: int = 2, temperature: float = 1.0) -> str:
     """bt(task..., budget, ...) from tp: softmax, integer split, cap and redistribute."""
     part = f"PARTITION BY {by}" if by else ""
     lead = f"{by}, " if by else ""
     using = f"USING ({by})" if by else "ON true"
     group = f"GROUP BY {by}" if by else ""
+    taylor = " + ".join(f"pow(gain, {k}) / {math.factorial(k)}.0::DOUBLE" for k in range(1, order + 1))
     return f"""
-w AS (SELECT *, 1.0::DOUBLE + gain + gain * gain / 2.0::DOUBLE AS w FROM tp),
+w AS (SELECT *, 1.0::DOUBLE + {taylor} AS w FROM (SELECT * REPLACE (gain / {temperature}::DOUBLE AS gain) FROM tp)),
 q AS (SELECT *, floor(round({rows}::DOUBLE * w / sum(w) OVER ({part}), 9))::BIGINT AS f FROM w),
 s0 AS (SELECT *, f + CASE WHEN row_number() OVER ({part} ORDER BY pick) <= {rows} - sum(f) OVER ({part}) THEN 1 ELSE 0 END AS b FROM q),
 {fill('s0', 'b', 'total', 'pick', by)}"""
@@ -184,11 +187,11 @@ hv AS (SELECT {prefix}tot.*, bt.budget, {zs.replace('budget', 'bt.budget')} AS z
 tb AS ({selects})"""
 
 
-def row_order(objective: str) -> str:
+def row_order(objective: str, seed: int = 69) -> str:
     """ro(group..., rank, row_idx, gain) over known rows."""
     if objective == "random":
         return f"""
-ro AS (SELECT {GROUP}, row_number() OVER (PARTITION BY {GROUP} ORDER BY md5(concat('69:', CAST(row_idx AS VARCHAR))), row_idx) AS rank,
+ro AS (SELECT {GROUP}, row_number() OVER (PARTITION BY {GROUP} ORDER BY md5(concat('{seed}:', CAST(row_idx AS VARCHAR))), row_idx) AS rank,
        row_idx, 1.0::DOUBLE AS gain FROM known)"""
     body = f"{row_kernel()},{greedy(objective)}"
     return f"""
@@ -268,7 +271,7 @@ EVAL_PLAN = """
 train AS (SELECT row_idx, inputs AS prompt, targets AS response FROM pairs WHERE conv_id % 10 = 0),
 plan AS (SELECT 0 AS epoch, row_idx, (row_number() OVER (ORDER BY row_idx) - 1) // 4 AS batch_id FROM train)"""
 MASKED = f"""
-ids AS (SELECT row_idx, {hashed("concat(prompt, ' ', response)", 64)} AS input_ids, {hashed("prompt", 64)} AS prompt_ids FROM train),
+ids AS (SELECT row_idx, {hashed("concat(prompt, ' ', response)", 512)} AS input_ids, {hashed("prompt", 512)} AS prompt_ids FROM train),
 masked AS (SELECT row_idx, input_ids, len(input_ids) AS n,
   list_transform(input_ids, lambda x, i: CASE WHEN i <= len(prompt_ids) THEN -100 ELSE x END) AS labels FROM ids)"""
 
@@ -287,17 +290,18 @@ def _sweep(grid) -> str:
         body = ",\n".join(
             x.strip()
             for x in (
-                task_picks(cfg.task_objective, cfg.num_tasks),
-                budgets(str(cfg.num_instances)),
+                task_picks(cfg.task_objective, cfg.num_tasks, cfg.task_seed),
+                budgets(str(cfg.num_instances), order=cfg.taylor_order, temperature=cfg.temperature),
                 split_templates(),
             )
         )
         parts.append(
-            f"c{i} AS (WITH RECURSIVE {body} SELECT {i} AS config_id, {GROUP}, ro.row_idx FROM ro_{cfg.instance_objective} ro"
+            f"c{i} AS (WITH RECURSIVE {body} SELECT {i} AS config_id, {GROUP}, ro.row_idx FROM ro_{cfg.instance_objective}_{cfg.ordering_seed} ro"
             f" JOIN tb USING ({GROUP}) WHERE rank <= budget)"
         )
     orders = [
-        row_order(f).strip().replace("ro AS (", f"ro_{f} AS MATERIALIZED (", 1) for f in ("random", "fl")
+        row_order(f, seed).strip().replace("ro AS (", f"ro_{f}_{seed} AS MATERIALIZED (", 1)
+        for f, seed in sorted({(c.instance_objective, c.ordering_seed) for c in grid})
     ]
     union = " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(grid)))
     return _with(BASE, totals().strip(), *orders, *parts, recursive=True) + union
@@ -357,15 +361,20 @@ FROM (SELECT *, max(n) OVER (PARTITION BY epoch, batch_id) AS m FROM plan JOIN m
         "load_submixtures": _with(DOCS)
         + """SELECT submixture, row_number() OVER (PARTITION BY submixture ORDER BY row_idx) - 1 AS row_idx, row_idx AS doc_id,
  task_name, md5(inputs) AS digest FROM docs WHERE row_idx % 10 <> 0""",
+        "load_submixtures_split_column": _with(DOCS)
+        + """SELECT 'all' AS submixture, row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, row_idx AS doc_id, task_name,
+ md5(inputs) AS digest FROM docs WHERE row_idx % 10 <> 0""",
         "load_instruction_dataset": _with(PAIRS)
         + """SELECT CASE WHEN conv_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split, conv_id, turn,
  inputs AS prompt, targets AS response FROM pairs""",
         "stage_reuse": index,
         "written_ordering": _ordered("random"),
         "loaded_ordering": _ordered("gc"),
-        "written_mixture": mixture("random", "random").replace(
-            "md5(inputs) AS prompt_md5", "inputs AS prompt, targets AS response"
-        ),
+        "written_mixture": "SELECT 'train' AS split, * FROM ("
+        + mixture("random", "random").replace("md5(inputs) AS prompt_md5", "inputs AS prompt, targets AS response")
+        + ") UNION ALL SELECT 'validation', NULL, * FROM ("
+        + _with(PAIRS)
+        + "SELECT submixture, row_idx, inputs, targets FROM pairs WHERE conv_id % 10 = 0)",
         "written_metrics": _with(LOSSES)
         + f"""SELECT epoch, round({eval_loss}, 6) AS eval_loss, round(exp({eval_loss}), 6) AS perplexity,
  round(sum(loss) / count(*), 6) AS train_loss FROM losses GROUP BY epoch""",
@@ -373,6 +382,11 @@ FROM (SELECT *, max(n) OVER (PARTITION BY epoch, batch_id) AS m FROM plan JOIN m
         + f"""SELECT 'null_submixture' AS rule, count(*) FILTER (submixture IS NULL) AS violations FROM inst
 UNION ALL SELECT 'null_row_idx', count(*) FILTER (row_idx IS NULL) FROM inst
 UNION ALL SELECT 'null_task_name', count(*) FILTER (task_name IS NULL) FROM inst
+UNION ALL SELECT 'null_inputs', count(*) FILTER (inputs IS NULL) FROM inst
+UNION ALL SELECT 'null_targets', count(*) FILTER (targets IS NULL) FROM inst
+UNION ALL SELECT 'null_embedding', count(*) FILTER (embedding IS NULL) FROM inst
+UNION ALL SELECT 'ragged_embedding', coalesce(sum(n) - max(n), 0)::BIGINT FROM (SELECT len(embedding) AS w, count(*) AS n FROM inst WHERE embedding IS NOT NULL GROUP BY w)
+UNION ALL SELECT 'repeated_row', count(*) - count(DISTINCT (submixture, row_idx)) FROM inst
 UNION ALL SELECT 'num_tasks', CAST(count(DISTINCT ({TASK})) <= 10 AS BIGINT) FROM known
 UNION ALL SELECT 'num_instances', CAST(count(*) < {ROWS} AS BIGINT) FROM known""",
         "known_templates": _with(BASE) + f"SELECT {GROUP}, row_idx FROM known",
@@ -387,7 +401,7 @@ UNION ALL SELECT 'num_instances', CAST(count(*) < {ROWS} AS BIGINT) FROM known""
         + "SELECT submixture, row_idx, inputs AS prompt, targets AS response FROM docs",
         "selected_rows": _with(DOCS)
         + """SELECT submixture, row_idx, md5(inputs) AS digest FROM docs
-WHERE task_name <> 'src0' AND row_idx IN (SELECT vec_id FROM embeddings)""",
+WHERE row_idx IN (SELECT vec_id FROM embeddings)""",
         "attached_embeddings": _with(BASE)
         + f"""SELECT {GROUP}, row_idx, len(embedding) AS width, round(list_sum(embedding::DOUBLE[]), 6) + 0.0 AS total FROM known""",
         "cosine_kernel": _with(BASE, totals().strip(), MEANS.strip(), TASK_KERNEL.strip())
@@ -426,6 +440,7 @@ WHERE task_name <> 'src0' AND row_idx IN (SELECT vec_id FROM embeddings)""",
         "chunked_random_ordering": _chunked("random"),
         "chunked_gc_ordering": _chunked("gc"),
         "chunked_fl_ordering": _chunked("fl"),
+        "chunked_logdet_ordering": _chunked("logdet"),
         "softmax_probabilities": _with(DOCS, GAINS)
         + f"""SELECT {TASK}, round(p, 6) AS prob, round(ln(p), 6) AS log_prob FROM (
   SELECT *, w / sum(w) OVER (PARTITION BY submixture) AS p FROM (SELECT *, 1 + {taylor} AS w FROM (SELECT *, gain / 2.0 AS x FROM gains)))""",
@@ -443,6 +458,7 @@ WHERE task_name <> 'src0' AND row_idx IN (SELECT vec_id FROM embeddings)""",
         "task_budgets_random": _budgeted("random") + all_budgets,
         "task_budgets_gc": _budgeted("gc") + all_budgets,
         "task_budgets_fl": _budgeted("fl") + all_budgets,
+        "task_budgets_logdet": _budgeted("logdet") + all_budgets,
         "template_budgets": _budgeted("gc") + f"SELECT {GROUP}, rows, budget FROM tb",
         "group_subsets": _budgeted("random").rstrip()
         + ","
@@ -454,9 +470,12 @@ WHERE task_name <> 'src0' AND row_idx IN (SELECT vec_id FROM embeddings)""",
         "validation_rows": _with(PAIRS)
         + "SELECT submixture, row_idx, inputs AS prompt, targets AS response FROM pairs WHERE conv_id % 10 = 0",
         "mixture_random_random": mixture("random", "random"),
-        "mixture_gc_fl": mixture("gc", "fl"),
-        "mixture_fl_gc": mixture("fl", "gc"),
-        "mixture_logdet_logdet": mixture("logdet", "logdet"),
+        **{
+            f"mixture_{f1}_{f2}": mixture(f1, f2)
+            for f1 in ("fl", "gc", "logdet")
+            for f2 in ("fl", "gc", "logdet")
+        },
+        "mixture_from_loaded_ordering": mixture("gc", "fl"),
         "document_mixture_gc_fl": mixture(
             "gc", "fl", 24, 80, samples.DOCUMENT_SUBMIXTURES, DOCUMENT_BASE
         ),
@@ -466,7 +485,7 @@ WHERE task_name <> 'src0' AND row_idx IN (SELECT vec_id FROM embeddings)""",
         "embedded_prompts": _with(DOCS, EMBEDDED.strip())
         + "SELECT row_idx, bucket, round(weight::DOUBLE, 6) AS weight FROM wts",
         "concatenated_pairs": _with(PAIRS, TRAIN) + "SELECT row_idx, concat(prompt, ' ', response) AS text FROM train",
-        "tokenized_pairs": _with(PAIRS, TRAIN, MASKED.strip())
+        "tokenized_pairs": _with(PAIRS, TRAIN, MASKED.strip().replace(", 1, 512)", ", 1, 64)"))
         + "SELECT row_idx, array_to_string(input_ids, ',') AS input_ids, array_to_string(prompt_ids, ',') AS prompt_ids FROM ids",
         "effective_length": _with(PAIRS, TRAIN) + lengths,
         "masked_labels": _with(PAIRS, TRAIN, MASKED.strip())
@@ -477,12 +496,23 @@ WHERE task_name <> 'src0' AND row_idx IN (SELECT vec_id FROM embeddings)""",
         "eval_batch_plan": _with(PAIRS)
         + """SELECT 0 AS epoch, row_idx, place, place // 4 AS batch_id, (place // 4) % 2 AS device, place // 8 AS step, place // 8 AS "update"
 FROM (SELECT row_idx, row_number() OVER (ORDER BY row_idx) - 1 AS place FROM pairs WHERE conv_id % 10 = 0)""",
+        "eval_batch_plan_sparse": _with(PAIRS)
+        + """SELECT 0 AS epoch, key, place, place // 4 AS batch_id, (place // 4) % 2 AS device, place // 8 AS step, place // 8 AS "update"
+FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS place FROM (
+  SELECT row_idx * 7919000003 % 1000000007 AS key FROM pairs WHERE conv_id % 10 = 0))""",
         "padded_batches": _with(PAIRS, TRAIN, PLAN.strip(), MASKED.strip()) + padded,
         "padded_eval_batches": _with(PAIRS, EVAL_PLAN.strip(), MASKED.strip()) + padded,
         "resumed_plan": _with(PAIRS, TRAIN, PLAN.strip())
         + "SELECT epoch, row_idx, batch_id FROM plan WHERE epoch > 0 OR batch_id // 2 >= 3",
+        "resumed_from_updates": _with(PAIRS, TRAIN, PLAN.strip())
+        + """SELECT epoch, row_idx, batch_id FROM plan, (SELECT ((count(*) + 3) // 4 + 1) // 2 AS s FROM train)
+WHERE epoch > 8 // s OR (epoch = 8 // s AND batch_id // 2 >= 8 % s)""",
         "sampled_rows": _with(PAIRS, TRAIN)
         + "SELECT row_idx, prompt FROM train ORDER BY md5(concat('23:', row_idx)), row_idx LIMIT 3",
+        "step_counts_by_updates": _with(PAIRS, TRAIN)
+        + """SELECT rows, batches, device_batches, u AS updates_per_epoch, (100 + u - 1) // u AS epochs, 100 AS updates,
+ 1 AS warmup_updates, 4 * 2 * 16 AS total_batch FROM (SELECT *, (device_batches + 15) // 16 AS u FROM (
+ SELECT *, (batches + 1) // 2 AS device_batches FROM (SELECT count(*) AS rows, (count(*) + 3) // 4 AS batches FROM train)))""",
         "step_counts": _with(PAIRS, TRAIN)
         + f"""SELECT rows, batches, device_batches, (device_batches + 15) // 16 AS updates_per_epoch, 3 AS epochs,
  3 * ((device_batches + 15) // 16) AS updates, floor(0.01 * 3 * ({updates}))::BIGINT AS warmup_updates, 4 * 2 * 16 AS total_batch

@@ -79,8 +79,7 @@ def test_row_idx_along_any_type(spark, kind):
 
 
 @pytest.mark.parametrize("kind", ["int", "string"])
-def test_row_idx_with_one_value_on_a_third_of_the_rows(spark, monkeypatch, kind):
-    monkeypatch.setattr(prepare, "HEAVY_ROWS", 60)
+def test_row_idx_with_one_value_on_a_third_of_the_rows(spark, kind):
     rng = random.Random(8)
     rows = [("s", i, 5 if i % 3 == 0 else rng.randint(0, 9) * rng.randint(1, 400)) for i in range(3000)]
     rng.shuffle(rows)
@@ -100,3 +99,20 @@ def test_no_window_over_a_whole_group(skewed):
     for line in plan.splitlines():
         if "row_number()" in line and "Window" in line:
             assert "_bucket#" in line.split("windowspecdefinition", 1)[1].split("specifiedwindowframe")[0]
+
+
+@pytest.mark.parametrize("kind", ["sparse", "url"])
+def test_positions_spread_whatever_the_distribution(spark, kind):
+    """Hashed ids and strings with a long common prefix: every task gets about its share."""
+    df = spark.range(4000).select(F.xxhash64("id").alias("h"))
+    key = F.col("h") if kind == "sparse" else F.concat(F.lit("https://example.org/a/very/long/path/"), F.hex("h"))
+    df = df.select(key.alias("k"))
+    dealt = df.repartitionByRange(8, "k")
+    shares = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(shares) > 4 and max(shares) < 3 * 4000 / len(shares)
+    got = sorted(ranking.range_positions(df, [], ["k"]).collect(), key=lambda r: r["k"])
+    assert [r["pos"] for r in got] == list(range(4000))
+
+
+def test_positions_of_an_empty_frame(spark):
+    assert ranking.range_positions(spark.range(0), [], ["id"]).count() == 0
