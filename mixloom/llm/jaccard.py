@@ -11,8 +11,8 @@ Exact copies are one set from the start. Links are verified on whole sets. Only
 are known to be connected are not compared again:
 
 1. every set is compared with the one partner that most of its signatures point to;
-2. within every signature that still has sets of different groups, all pairs across groups are compared: pair by pair
-   where few share it, else tile by tile, each tile a product of small matrices.
+2. signatures that still have sets of different groups make clusters. All pairs within a cluster, or within each of its
+   signatures where that moves fewer sets, are compared tile by tile, each tile a product of small matrices.
 """
 
 from __future__ import annotations
@@ -22,24 +22,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mixloom.cluster import stored
+from mixloom.cluster import small, stored
 from mixloom.llm.arrow import filtered, slices, strings
 from mixloom.llm.components import components
+from mixloom.llm.storage import Table
 from mixloom.llm.hashing import LOWER, Rolling, mixed, windows, words
 
 SHINGLE_WORDS = 4
 PERCENT = 85
 # Width of size bands, and the smallest share of extra parts.
 BAND_RATIO = 1.3
-# Signatures shared by more sets than this are compared by tiles of this many sets.
-PAIRS_UP_TO = 32
-TILE_ROWS = 512
+# A tile holds two blocks of about this many sets, or bytes, at most.
+BLOCK_SETS = 256
+BLOCK_BYTES = 4 << 20
 # Rows that meet one partner in a task; beyond it the partner's set is sent to several.
 ROWS_PER_PARTNER = 4096
 # Columns of the small matrices.
@@ -204,11 +204,9 @@ def set_signatures(docs: DataFrame, text: str, seed: int, bands: Bands) -> DataF
 
 
 def shared_signatures(signed: DataFrame) -> DataFrame:
-    """(signature, node, partner, n) where at least two sets share it; partner: the smallest of them."""
+    """(signature, node, partner) where at least two sets share it; partner: the smallest of them."""
     w = Window.partitionBy("signature")
-    found = signed.withColumns(
-        {"partner": F.min("node").over(w), "last": F.max("node").over(w), "n": F.count(F.lit(1)).over(w)}
-    )
+    found = signed.withColumns({"partner": F.min("node").over(w), "last": F.max("node").over(w)})
     return found.where("partner <> last").drop("last").distinct()
 
 
@@ -232,27 +230,26 @@ class SetFilter:
         return (self.shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
-def needed_sets(docs: DataFrame, text: str, seed: int, nodes: DataFrame) -> DataFrame:
-    """(node, features) of the sets named in `nodes` (stored, distinct)."""
-    wanted = SetFilter(nodes, nodes.count())
+def needed_sets(docs: DataFrame, text: str, seed: int, reps: DataFrame) -> DataFrame:
+    """(node, features) of the sets of the rows whose doc_id is in `reps` (stored), and of a few others.
+
+    The bitmap of these ids is the only thing sent to the tasks, and sets of other rows are not sent back.
+    """
+    wanted = SetFilter(reps.select(F.xxhash64("doc_id").alias("node")), reps.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = ShingleSets(seed), set()
+        shingles = ShingleSets(seed)
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.passes(batch.column(1).to_numpy())))
             for start, stop in slices(batch.column(0)):
                 keys, first = shingles(batch.column(0).slice(start, stop - start))
                 node, _ = names(keys, first)
-                rows = np.flatnonzero((np.diff(first) > 0) & wanted.passes(node))
-                rows = [r for r in rows.tolist() if node[r] not in seen]
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                seen.update(node[rows].tolist())
+                rows = np.flatnonzero(np.diff(first) > 0)
                 packed = [keys[first[r] : first[r + 1]].tobytes() for r in rows]
                 yield _batch(["node", "features"], pa.array(node[rows], pa.int64()), pa.array(packed, pa.binary()))
 
-    found = docs.where(F.col("doc_id").isNotNull()).select(text).mapInArrow(run, "node bigint, features binary")
-    found = found.join(nodes, "node", "left_semi")
-    return found.groupBy("node").agg(F.first("features").alias("features"))
+    known = docs.where(F.col("doc_id").isNotNull()).select(text, F.xxhash64("doc_id").alias("h"))
+    return known.mapInArrow(run, "node bigint, features binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -262,17 +259,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (node, partner) whose sets are similar.
+def verified(best: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of (node, partner), one per node, whose sets are similar.
 
     The sets of all nodes go to their partner; the rows of a partner with very many nodes are dealt over several groups,
     each of which gets its set. A task holds one partner's set at a time.
     """
-    counts = pairs.groupBy("partner").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_PARTNER).cast("int").alias("deals"))
-    dealt = pairs.join(counts, "partner").withColumn("deal", F.pmod(F.xxhash64("node"), F.col("deals")).cast("int"))
-    members = dealt.join(sets, "node").select("partner", "deal", F.lit(1).alias("side"), "node", "features")
-    centres = counts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
-    centres = centres.join(sets.withColumnRenamed("node", "partner"), "partner")
+    counts = best.groupBy("partner").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_PARTNER).cast("int").alias("deals"))
+    counts = stored(counts)
+    dealt = best.join(small(counts), "partner")
+    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("node"), F.col("deals")).cast("int"))
+    members = sets.join(small(dealt.select("node", "partner", "deal"), best.count()), "node")
+    members = members.select("partner", "deal", F.lit(1).alias("side"), "node", "features")
+    centres = sets.withColumnRenamed("node", "partner").join(small(counts), "partner")
+    centres = centres.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
     centres = centres.select("partner", "deal", F.lit(0).alias("side"), F.col("partner").alias("node"), "features")
     together = centres.unionByName(members).repartition("partner", "deal")
     together = together.sortWithinPartitions("partner", "deal", "side")
@@ -288,15 +288,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     centre = features
                 elif similar(centre, features, percent):
                     out.append((n, p))
-            yield _batch(
-                ["a", "b"], pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())
-            )
+            yield _links(out)
 
     return together.mapInArrow(run, "a bigint, b bigint")
 
 
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return _batch(["a", "b"], *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)))
+
+
 def tile_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between similar sets of a tile: enough to connect what they connect."""
+    if len(sets) < 2:
+        return []
     size = np.array([len(s) for s in sets])
     features, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     _, number, times = np.unique(features, return_inverse=True, return_counts=True)
@@ -332,60 +336,86 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
 
 
 def tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the sets of every crowded signature of (signature, node, n): all pairs, tile by tile.
+    """Links among the sets of every (kind, key) of (kind, key, blocks, node): all pairs, tile by tile.
 
-    The sets of a signature fall into blocks of TILE_ROWS / 2 on average; every two blocks make a tile, so that no task
-    holds more than a tile whatever the number of sets.
+    The sets of a key fall into `blocks` by hash; every two blocks make a tile, so that no task holds more than a tile
+    whatever the number of sets.
     """
-    blocks = F.ceil(F.col("n") / (TILE_ROWS // 2)).cast("int")
-    placed = members.withColumn("blocks", blocks)
-    placed = placed.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = placed.withColumn("j", other).select(
-        "signature", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "node"
+        "kind", "key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "node"
     )
+    group = ["kind", "key", "x", "y"]
+    filled = sets.join(small(stored(tiles)), "node").select(*group, "node", "features")
+    filled = filled.repartition(*group).sortWithinPartitions(*group)
 
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        found = [np.frombuffer(f, np.uint64) for f in group["features"]]
-        return pd.DataFrame(tile_links(group["node"].to_numpy(), found, percent), columns=["a", "b"], dtype="int64")
-
-    return tiles.join(sets, "node").groupBy("signature", "x", "y").applyInPandas(link, "a bigint, b bigint")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, nodes, held = None, [], []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for *key, node, features in zip(*columns):
+                if key != current:
+                    yield _links(tile_links(np.array(nodes, np.int64), held, percent))
+                    current, nodes, held = key, [], []
+                nodes.append(node)
+                held.append(np.frombuffer(features, np.uint64))
+        yield _links(tile_links(np.array(nodes, np.int64), held, percent))
 
-def crossing_pairs(members: DataFrame) -> DataFrame:
-    """(node, partner) of the pairs of different groups that share an uncrowded signature, each once."""
-    gathered = members.groupBy("signature").agg(F.sort_array(F.collect_set(F.struct("node", "label"))).alias("all"))
-    pairs = gathered.select(F.explode("all").alias("x"), "all").select(
-        F.col("x.node").alias("partner"),
-        F.explode(F.expr("filter(all, y -> y.node > x.node and y.label <> x.label)")).alias("y"),
-    )
-    return pairs.select(F.col("y.node").alias("node"), "partner").distinct()
+    return filled.mapInArrow(run, "a bigint, b bigint")
 
 
-def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+def clusters(open_: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(kind, key, blocks, node): the keys within which all pairs of open sets are to be compared.
 
+    `open_` holds (signature, node, partner) of the signatures with sets of different groups. Signatures that share sets
+    make a cluster. It is one key if that sends its sets to fewer tiles than its signatures would.
+    """
 
-def set_groups(docs: DataFrame, text: str, seed: int, percent: int) -> DataFrame:
-    """(node, component) of the sets that are linked with another one."""
+    def blocks(rows, size):
+        return F.greatest(F.ceil(rows / BLOCK_SETS), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    found = components(open_.select(F.col("node").alias("a"), F.col("partner").alias("b")))
+    rows = open_.join(small(stored(found)), "node").join(small(sizes), "node")
+    rows = stored(rows.select("signature", "component", "node", "size"))
+    own = rows.groupBy("component", "signature").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    own = own.withColumn("blocks", blocks(F.col("n"), F.col("size")))
+    whole = rows.select("component", "node", "size").distinct()
+    cost = whole.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    cost = cost.withColumn("blocks", blocks(F.col("n"), F.col("size")))
+    apart = own.groupBy("component").agg(F.sum(F.col("size") * F.col("blocks")).alias("apart"))
+    choice = cost.join(apart, "component").withColumn("one", F.col("size") * F.col("blocks") <= F.col("apart"))
+    choice = stored(choice.select("component", "blocks", "one"))
+    together = whole.join(small(choice.where("one")), "component")
+    together = together.select(F.lit(0).alias("kind"), F.col("component").alias("key"), "blocks", "node")
+    rest = rows.join(small(choice.where("NOT one").select("component")), "component", "left_semi")
+    rest = rest.select("signature", "node").join(own.select("signature", "blocks"), "signature")
+    return together.unionByName(rest.select(F.lit(1).alias("kind"), F.col("signature").alias("key"), "blocks", "node"))
+
+
+def set_groups(docs: DataFrame, text: str, seed: int, percent: int, reps: DataFrame) -> DataFrame:
+    """(node, component) of the sets that are linked with another one. `reps`: one (node, doc_id) for every set."""
     signed = set_signatures(docs, text, seed, Bands.of(percent))
-    shared = stored(shared_signatures(signed))
-    nodes = stored(shared.select("node").distinct())
-    sets = stored(needed_sets(docs, text, seed, nodes))
-
-    points = shared.where("node <> partner").groupBy("node", "partner").agg(F.count(F.lit(1)).alias("times"))
-    best = points.groupBy("node").agg(F.max_by("partner", F.struct("times", "partner")).alias("partner"))
-    links = stored(verified(best, sets, percent))
-    labels = stored(_labels(nodes, links))
-
-    members = shared.select("signature", "node", "n").join(labels, "node")
-    w = Window.partitionBy("signature")
-    members = members.withColumns({"low": F.min("label").over(w), "high": F.max("label").over(w)})
-    members = stored(members.where("low <> high").drop("low", "high"))
-    few, many = members.where(F.col("n") <= PAIRS_UP_TO), members.where(F.col("n") > PAIRS_UP_TO)
-    found = verified(crossing_pairs(few), sets, percent).unionByName(tiled(many, sets, percent))
-    more = stored(found.distinct())
+    shared = Table(shared_signatures(signed), "shared")
+    nodes = shared.rows.select("node").distinct()
+    sets = Table(needed_sets(docs, text, seed, stored(reps.join(nodes, "node"))), "sets")
+
+    points = shared.rows.where("node <> partner").groupBy("node", "partner").agg(F.count(F.lit(1)).alias("times"))
+    best = stored(points.groupBy("node").agg(F.max_by("partner", F.struct("times", "partner")).alias("partner")))
+    links = stored(verified(best, sets.rows, percent))
+
+    # Signatures are open where a set and the smallest one have no common group yet.
+    label = stored(components(links))
+    seen = shared.rows.join(small(label.withColumnRenamed("component", "own")), "node", "left")
+    other = label.select(F.col("node").alias("partner"), F.col("component").alias("theirs"))
+    seen = seen.join(small(other), "partner", "left")
+    split = F.coalesce("own", "node") != F.coalesce("theirs", "partner")
+    undecided = stored(seen.where(split).select("signature").distinct())
+    open_ = Table(shared.rows.join(small(undecided), "signature", "left_semi"), "open")
+    sizes = stored(sets.rows.select("node", F.octet_length("features").alias("size")).distinct())
+    more = stored(tiled(clusters(open_.rows, sizes), sets.rows, percent).distinct())
+    for table in (shared, sets, open_):
+        table.drop()
     return components(links.unionByName(more))
 
 
@@ -398,12 +428,14 @@ def jaccard_groups(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     """
     for seed in range(SEEDS):
         named = stored(set_names(docs, text, seed))
-        clash = named.groupBy("node").agg((F.min("check") != F.max("check")).alias("two")).where("two").limit(1)
-        if not clash.collect():
+        classes = named.where(F.col("node").isNotNull()).groupBy("node")
+        both = (F.min("check") != F.max("check")).alias("two")
+        reps = stored(classes.agg(F.min("doc_id").alias("doc_id"), both))
+        if not reps.where("two").limit(1).collect():
             break
     else:
         raise RuntimeError("two different sets have one name under every seed")
-    groups = set_groups(docs, text, seed, percent)
+    groups = set_groups(docs, text, seed, percent, reps.select("node", "doc_id"))
     whole = named.join(groups, "node", "left")
     whole = whole.withColumn("label", F.coalesce("component", "node"))
     least = whole.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
