@@ -2,9 +2,9 @@
 
 Window sizes form a ladder between the shortest and the longest item. The first and the last window of an item, of the
 largest size that fits into it, are its fingerprints; every window of every document of these sizes gets one too, from
-prefix sums of its shingles' bit votes. A fingerprint has four blocks of 16 bits: two within the radius differ in at most
-radius / 4 bits in one of them at least, so a table of all values that near to an item's block finds every fingerprint
-within the radius. What it finds is placed on the document and compared exactly.
+prefix sums of its shingles' bit votes. A fingerprint has four blocks of 16 bits: two fingerprints within the radius differ
+in at most radius / 3 bits in each of two blocks at least, so tables of all values that near to an item's blocks find every
+fingerprint within the radius. What they find is placed on the document and compared exactly.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 11
 # Ratio of window sizes; bytes of texts of one pass over the documents; places whose sums fit into 16 bits.
-LADDER = 1.15
+LADDER = 1.25
 ITEM_BYTES = 8 << 20
 STRETCH = 4000
 MOST_WEIGHT = 8
 BITS, BLOCKS = 64, 4
 BLOCK_BITS = BITS // BLOCKS
+WORD = 64
 
 
 @dataclass
@@ -83,46 +84,45 @@ class SimHasher:
 
 
 class BlockIndex:
-    """Fingerprints by their blocks; `near` gives all pairs within the radius."""
+    """Fingerprints by their blocks; `near` gives all pairs within the radius.
+
+    For every block and value a bit mask tells the fingerprints whose block is at most radius / 3 bits away, 64 to a word.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
-        flips = [np.uint16(0)]
-        for n in range(1, radius // BLOCKS + 1):
-            flips += [np.uint16(sum(1 << i for i in c)) for c in combinations(range(BLOCK_BITS), n)]
+        flips = [sum(1 << i for i in c) for n in range(radius // 3 + 1) for c in combinations(range(BLOCK_BITS), n)]
         flips = np.array(flips, np.uint16)
-        self.starts, self.members = [], []
-        for block in self._blocks(prints):
-            values = (block[:, None] ^ flips[None, :]).ravel().astype(np.int64)
-            owners = np.repeat(np.arange(len(prints)), len(flips))
-            order = np.argsort(values, kind="stable")
-            self.starts.append(np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1)))
-            self.members.append(owners[order])
-        self.known = [np.diff(s) > 0 for s in self.starts]
+        self.masks = np.zeros((BLOCKS, -(-len(prints) // WORD), 1 << BLOCK_BITS), np.uint64)
+        for i, block in enumerate(self._blocks(prints)):
+            for k, value in enumerate(block):
+                self.masks[i, k // WORD, value ^ flips] |= np.uint64(1 << (k % WORD))
 
     @staticmethod
-    def _blocks(prints: np.ndarray) -> list[np.ndarray]:
-        return [((prints >> np.uint64(BLOCK_BITS * i)) & np.uint64(0xFFFF)).astype(np.uint16) for i in range(BLOCKS)]
+    def _blocks(prints: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(prints.view(np.uint16).reshape(-1, BLOCKS).T)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, fingerprint, distance) of every pair within the radius, once."""
         at, who = [], []
-        for block, known, starts, members in zip(self._blocks(prints), self.known, self.starts, self.members):
-            hit = np.flatnonzero(known[block])
-            value = block[hit]
-            count = starts[value.astype(np.int64) + 1] - starts[value]
-            begin = np.cumsum(count) - count
-            index = np.arange(int(count.sum())) + np.repeat(starts[value] - begin, count)
-            at.append(np.repeat(hit, count))
-            who.append(members[index])
+        blocks = self._blocks(prints)
+        for word in range(self.masks.shape[1]):
+            one = two = None
+            for i in range(BLOCKS):
+                mask = self.masks[i, word][blocks[i]]
+                if one is None:
+                    one, two = mask, np.zeros_like(mask)
+                else:
+                    two |= one & mask
+                    one |= mask
+            hit = np.flatnonzero(two)
+            row, bit = np.nonzero(np.unpackbits(two[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            at.append(hit[row])
+            who.append(bit + word * WORD)
         at, who = np.concatenate(at), np.concatenate(who)
-        distance = np.bitwise_count(prints[at] ^ self.prints[who])
+        distance = np.bitwise_count(prints[at] ^ self.prints[who]).astype(np.int64)
         close = np.flatnonzero(distance <= self.radius)
-        if not len(close):
-            return at[:0], who[:0], distance[:0]
-        pairs, once = np.unique(at[close] * len(self.prints) + who[close], return_index=True)
-        close = close[once]
-        return at[close], who[close], distance[close].astype(np.int64)
+        return at[close], who[close], distance[close]
 
 
 class Benchmark:
