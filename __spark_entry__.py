@@ -33,6 +33,8 @@ DOCUMENT_TASKS = 24
 DOCUMENT_ROWS = 80
 MAX_LEN = 512
 SHORT_LEN = 64
+# Groups above this are ordered by distributed passes, to compare that path as well.
+DISTRIBUTED_ABOVE = 49
 TRAIN_RUN = {"batch_size": 4, "devices": 2, "accumulation": 4, "epochs": 2, "seed": 23}
 
 
@@ -603,6 +605,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ordering_gc": row_ordering("gc"),
         "ordering_logdet": row_ordering("logdet"),
         "ordering_random": row_ordering("random"),
+        **{f"ordering_{f}_distributed": row_ordering(f, one_task_rows=DISTRIBUTED_ABOVE) for f in ("fl", "gc", "logdet")},
         "chunked_random_ordering": chunked_random_ordering,
         "chunked_gc_ordering": row_ordering("gc", threshold=20, chunk_rows=16),
         "chunked_fl_ordering": row_ordering("fl", threshold=20, chunk_rows=16),

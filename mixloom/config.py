@@ -52,7 +52,7 @@ class MixtureConfig:
     task_seed: int = SHUFFLE_SEED
     ordering_seed: int = ORDERING_SEED
     shuffle_seed: int = SHUFFLE_SEED
-    chunk_threshold: int = CHUNK_THRESHOLD
+    chunk_threshold: int | None = None
     chunk_rows: int = CHUNK_ROWS
 
     def __post_init__(self) -> None:

@@ -18,6 +18,15 @@ CACHED_ROWS = 4096
 BLOCK = 512
 REFRESH = 64
 
+# What one task may do: bytes of vectors, and multiplications of facility location's first gains.
+ONE_TASK_BYTES = 256 << 20
+ONE_TASK_PRODUCTS = 3e10
+
+
+def fits_one_task(rows: int, width: int, objective: str) -> bool:
+    """Whether greedy over so many vectors is work for one task."""
+    return rows * width * 8 <= ONE_TASK_BYTES and (objective != "fl" or rows * rows * width <= ONE_TASK_PRODUCTS)
+
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, dtype=np.float64)

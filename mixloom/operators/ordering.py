@@ -1,8 +1,8 @@
 """Stage 2: order the rows of every (submixture, task, template) group.
 
-Groups are independent. A group up to the chunk threshold is ordered exactly; a larger one is cut
-by position into chunks, each ordered apart, and the chunk orders are merged round-robin. So no
-task ever holds more rows than the threshold, whatever a group's share of the data.
+Groups are independent. A group that is work for one task is ordered there; a larger one by distributed passes with the same
+result. Only where the caller asks for chunks, groups above a threshold are cut by position into chunks, each ordered apart,
+and the chunk orders are merged round-robin.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from mixloom.cluster import small, stored
 from mixloom.config import CHUNK_ROWS, CHUNK_THRESHOLD, GROUP_KEY, ORDERING_SEED
 from mixloom.functions.columns import seeded_digest, whole
-from mixloom.functions.greedy import greedy
+from mixloom.functions.greedy import fits_one_task, greedy
+from mixloom.operators.exact import exact_picks
 from mixloom.operators.prepare import known_templates
 from mixloom.operators.ranking import digest_bucket, index_bucket, leading_rows, positions
 from mixloom.operators.similarity import matrix
@@ -30,15 +31,18 @@ def order_instances(
     largest: int | None = None,
     sizes: DataFrame | None = None,
     seed: int = ORDERING_SEED,
-    threshold: int = CHUNK_THRESHOLD,
+    threshold: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    one_task_rows: int | None = None,
 ) -> DataFrame:
     """(group..., rank, row_idx, gain) with ranks from 1.
 
     Every row is ranked, unless `quotas` (group..., quota) asks for the first ranks of some groups
     only: greedy orders are nested, so ordering stops there, and rows of other groups are dropped
     before any embedding is shuffled. `quota_groups` bounds the rows of `quotas`; `largest` (a bound
-    on the rows of a group) and `sizes` (a stored frame of group..., rows) save counting them.
+    on the rows of a group) and `sizes` (a stored frame of group..., rows) save counting them. Orders are exact whatever a
+    group's size, unless `threshold` asks for chunks of `chunk_rows` above it. `one_task_rows` overrides how many rows one
+    task orders; row_idx must be unique in a group.
     """
     if objective == "random":
         return random_ordering(df, quotas, quota_groups, seed)
@@ -47,11 +51,56 @@ def order_instances(
         rows = rows.join(small(quotas.select(*GROUP_KEY, "quota"), quota_groups), list(GROUP_KEY))
     else:
         rows = rows.withColumn("quota", F.lit(None).cast("bigint"))
+    if threshold is None:
+        return _order_exactly(rows, objective, largest, sizes, one_task_rows)
     chunked = with_chunks(rows, threshold, chunk_rows, largest, sizes)
     ranked = interleave(_order_chunks(chunked, objective))
     return ranked.where("quota IS NULL OR rank <= quota").select(*ORDERING_COLUMNS)
 
 
+def _order_exactly(
+    rows: DataFrame, objective: str, largest: int | None, sizes: DataFrame | None, one_task_rows: int | None
+) -> DataFrame:
+    """Groups that fit into a task together, each other one by passes over its stored rows."""
+    limit = one_task_rows
+    if limit is None:
+        width = rows.select(F.size("embedding")).head()
+        limit = _one_task_rows(width[0] if width else 1, objective)
+    within = with_chunks(rows, limit, limit, limit)
+    hot = []
+    if largest is None or largest > limit:
+        counted = sizes if sizes is not None else rows.groupBy(*GROUP_KEY).agg(F.count(F.lit(1)).alias("rows"))
+        # Every such group has more than `limit` rows, so their list is short.
+        hot = counted.where(F.col("rows") > limit).select(*GROUP_KEY).collect()
+    parts = []
+    for group in hot:
+        same = F.lit(True)
+        for c in GROUP_KEY:
+            same = same & F.col(c).eqNullSafe(F.lit(group[c]))
+        own = stored(rows.where(same).select("row_idx", "embedding", "quota"))
+        count, quota = own.agg(F.count(F.lit(1)), F.max("quota")).head()
+        picks = exact_picks(own, objective, min(count, quota or count))
+        ranked = [(*group, rank, row, gain) for rank, (row, gain) in enumerate(picks, 1)]
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in GROUP_KEY)
+        parts.append(rows.sparkSession.createDataFrame(ranked, f"{kinds}, rank bigint, row_idx bigint, gain double"))
+    if hot:
+        out = rows.sparkSession.createDataFrame(hot, ", ".join(f"{c} string" for c in GROUP_KEY))
+        within = within.join(small(out, len(hot)), list(GROUP_KEY), "left_anti")
+    ranked = interleave(_order_chunks(within, objective))
+    result = ranked.where("quota IS NULL OR rank <= quota").select(*ORDERING_COLUMNS)
+    for part in parts:
+        result = result.unionByName(part.withColumn("row_idx", F.col("row_idx").cast(rows.schema["row_idx"].dataType)))
+    return result
+
+
+def _one_task_rows(width: int, objective: str) -> int:
+    """The largest power of two of rows that `fits_one_task`."""
+    rows = 1
+    while fits_one_task(2 * rows, max(1, width), objective):
+        rows *= 2
+    return rows
+
+
 def _shuffled(df: DataFrame, seed: int) -> DataFrame:
     return known_templates(df).select(
         *GROUP_KEY, "row_idx", seeded_digest(seed, "row_idx").alias("_digest")

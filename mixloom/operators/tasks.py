@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixloom.config import (
-    GAIN_DIGITS,
-    GRAPH_CUT_LAMBDA,
-    LOG_DET_LAMBDA,
-    SHUFFLE_SEED,
-    TASK_KEY,
-)
-from mixloom.cluster import stored
+from mixloom.cluster import small, stored
+from mixloom.config import SHUFFLE_SEED, TASK_KEY
 from mixloom.functions.columns import seeded_digest
-from mixloom.functions.greedy import greedy, unit_rows
-from mixloom.operators.similarity import matrix, positive_sums, unit_vector
-
-# Task vectors up to this size are ordered inside one Spark task; beyond it every pick is a job.
-ONE_TASK_BYTES = 256 * 1024 * 1024
-# Candidates whose facility-location gain is brought up to date by one job.
-REFRESH = 256
+from mixloom.functions.greedy import fits_one_task, greedy
+from mixloom.operators.exact import exact_picks
+from mixloom.operators.ranking import range_positions
+from mixloom.operators.similarity import matrix
 
 PICK_SCHEMA = "pick int, submixture string, task_name string, gain double"
 
@@ -36,12 +22,12 @@ def select_tasks(
     objective: str,
     num_tasks: int,
     seed: int = SHUFFLE_SEED,
-    one_task_bytes: int = ONE_TASK_BYTES,
+    one_task: bool | None = None,
 ) -> DataFrame:
     """(pick, submixture, task_name, gain): the `num_tasks` best tasks in pick order.
 
-    `profile` is a stored task profile. Its size decides where the greedy runs; both ways take
-    the same picks.
+    `profile` is a stored task profile. The work that its vectors mean decides where the greedy runs, unless `one_task`
+    does; both ways take the same picks.
     """
     random = objective == "random"
     width = F.lit(0) if random else F.max(F.size("embedding"))
@@ -51,7 +37,7 @@ def select_tasks(
     if random:
         return random_tasks(profile, num_tasks, seed)
     vectors = profile.select(*TASK_KEY, "submixture_ord", "first_row", "embedding")
-    if tasks * (width or 0) * 8 <= one_task_bytes:
+    if fits_one_task(tasks, width or 0, objective) if one_task is None else one_task:
         return _picks_in_one_task(vectors, objective, num_tasks)
     return picks_by_jobs(vectors, objective, num_tasks)
 
@@ -79,127 +65,10 @@ def _picks_in_one_task(vectors: DataFrame, objective: str, num_tasks: int) -> Da
 
 
 def picks_by_jobs(vectors: DataFrame, objective: str, num_tasks: int) -> DataFrame:
-    """The same greedy for vectors of any number: one distributed job per pick.
-
-    The driver holds only the state of the objective (one vector, one small matrix or the picked
-    vectors) and the winner of each step; candidates are compared where they lie.
-    """
-    place = F.struct("submixture_ord", "submixture", "first_row", "task_name")
-    rows = vectors.select(*TASK_KEY, "embedding", place.alias("place"))
-    rows = stored(rows.withColumn("row_idx", F.monotonically_increasing_id()))
-    limit = min(num_tasks, rows.count())
-    state = {"gc": _GraphCut, "logdet": _LogDet, "fl": _Facility}[objective](rows)
-    picks, taken = [], []
-    for step in range(limit):
-        winner, gain = state.best(taken)
-        picks.append((step + 1, winner["submixture"], winner["task_name"], gain))
-        taken.append(winner["row_idx"])
-        state.add(unit_rows(np.array([winner["embedding"]]))[0])
-    return vectors.sparkSession.createDataFrame(picks, PICK_SCHEMA)
-
-
-def _open(rows: DataFrame, taken: list[int]) -> DataFrame:
-    return rows.where(~F.col("row_idx").isin(taken)) if taken else rows
-
-
-class _Scored:
-    """Objectives whose gain is a function of the row and a small state."""
-
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
-
-    def best(self, taken: list[int]):
-        score = self.score()
-
-        @F.pandas_udf("double")
-        def gain(vectors):
-            return type(vectors)(score(unit_rows(np.vstack(vectors.to_numpy()))))
-
-        scored = _open(self.rows, taken).withColumn("gain", gain("embedding"))
-        top = scored.orderBy(F.round("gain", GAIN_DIGITS).desc(), "place").limit(1).head()
-        return top, top["gain"]
-
-
-class _GraphCut(_Scored):
-    def __init__(self, rows: DataFrame):
-        super().__init__(rows)
-        total = rows.select(array_to_vector(unit_vector()).alias("u")).agg(Summarizer.sum(F.col("u"))).head()[0]
-        self.pull = total.toArray()
-
-    def score(self):
-        pull, weight = self.pull, GRAPH_CUT_LAMBDA
-        return lambda x: x @ pull - weight * (x * x).sum(axis=1)
-
-    def add(self, x: np.ndarray):
-        self.pull = self.pull - 2.0 * GRAPH_CUT_LAMBDA * x
-
-
-class _LogDet(_Scored):
-    def __init__(self, rows: DataFrame):
-        super().__init__(rows)
-        width = rows.agg(F.max(F.size("embedding"))).head()[0]
-        self.inverse = np.eye(width) / LOG_DET_LAMBDA
-
-    def score(self):
-        inverse = self.inverse
-        return lambda x: math.log(LOG_DET_LAMBDA) + np.log1p(((x @ inverse) * x).sum(axis=1))
-
-    def add(self, x: np.ndarray):
-        u = self.inverse @ x
-        self.inverse = self.inverse - np.outer(u, u) / (1.0 + x @ u)
-
-
-class _Facility:
-    """Lazy greedy: first gains from the block grid bound later ones from above."""
-
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
-        first = positive_sums(rows.withColumn("_all", F.lit(0)), ["_all"])
-        self.bounds = stored(rows.join(first.select("row_idx", F.col("positive_sum").alias("bound")), "row_idx"))
-        self.picked = np.empty((0, 0))
-        self.known: dict[int, tuple] = {}
-
-    def best(self, taken: list[int]):
-        """Refresh the highest outdated bounds until none of them can reach the best gain."""
-        fresh: dict[int, tuple] = {}
-        slack = 2.0 * 10.0**-GAIN_DIGITS
-        done = set(taken)
-        while True:
-            floor = max((gain for _, gain in fresh.values()), default=-math.inf)
-            known = {k: v for k, v in self.known.items() if k not in fresh and k not in done}
-            skip = done | set(self.known)
-            unseen = self.bounds.where(~F.col("row_idx").isin(list(skip))) if skip else self.bounds
-            heads = unseen.orderBy(F.desc("bound"), "place").limit(REFRESH).collect()
-            waiting = [(r, r["bound"]) for r in heads] + list(known.values())
-            doubtful = [(r, g) for r, g in waiting if g >= floor - slack]
-            if not doubtful:
-                break
-            doubtful = sorted(doubtful, key=lambda rg: -rg[1])[:REFRESH]
-            for (row, _), gain in zip(doubtful, self._gains([r for r, _ in doubtful])):
-                fresh[row["row_idx"]] = (row, gain)
-                self.known[row["row_idx"]] = (row, gain)
-        winner, gain = min(
-            fresh.values(), key=lambda rg: (-round(rg[1], GAIN_DIGITS), tuple(rg[0]["place"]))
-        )
-        return winner, gain
-
-    def _gains(self, candidates) -> list[float]:
-        ahead = unit_rows(np.array([r["embedding"] for r in candidates]))
-        picked = self.picked
-
-        def partial(batches):
-            total = np.zeros(len(ahead))
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                x = unit_rows(matrix(pa.chunked_array([batch.column("embedding")])))
-                covered = np.maximum(x @ picked.T, 0.0).max(axis=1) if len(picked) else np.zeros(len(x))
-                total += np.maximum(x @ ahead.T - covered[:, None], 0.0).sum(axis=0)
-            yield pa.record_batch({"c": pa.array(range(len(ahead)), pa.int32()), "g": pa.array(total)})
-
-        parts = self.rows.select("embedding").mapInArrow(partial, "c int, g double")
-        sums = parts.groupBy("c").agg(F.sum("g").alias("g")).collect()
-        return [r["g"] for r in sorted(sums, key=lambda r: r["c"])]
-
-    def add(self, x: np.ndarray):
-        self.picked = x[None, :] if not len(self.picked) else np.vstack([self.picked, x])
+    """The same greedy for vectors of any number, by distributed passes; see `exact_picks`."""
+    order = ["submixture_ord", "submixture", "first_row", "task_name"]
+    rows = stored(range_positions(vectors.select(*order, "embedding"), [], order, "row_idx"))
+    picks = exact_picks(rows, objective, num_tasks)
+    numbered = [(pick, row, gain) for pick, (row, gain) in enumerate(picks, 1)]
+    found = vectors.sparkSession.createDataFrame(numbered, "pick int, row_idx bigint, gain double")
+    return rows.join(small(found, len(picks)), "row_idx").select("pick", *TASK_KEY, "gain")

@@ -437,6 +437,7 @@ WHERE row_idx IN (SELECT vec_id FROM embeddings)""",
         "ordering_gc": _ordered("gc"),
         "ordering_logdet": _ordered("logdet"),
         "ordering_random": _ordered("random"),
+        **{f"ordering_{f}_distributed": _ordered(f) for f in ("fl", "gc", "logdet")},
         "chunked_random_ordering": _chunked("random"),
         "chunked_gc_ordering": _chunked("gc"),
         "chunked_fl_ordering": _chunked("fl"),

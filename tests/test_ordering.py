@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mixloom.config import GROUP_KEY
 from mixloom.functions.greedy import greedy
-from mixloom.operators import ordering, similarity, tasks
+from mixloom.operators import exact, ordering, similarity, tasks
 
 SCHEMA = (
     "submixture string, task_name string, template_type string, row_idx bigint, embedding array<float>"
@@ -117,16 +117,44 @@ def profile(spark):
 
 @pytest.mark.parametrize("objective", ["fl", "gc", "logdet"])
 def test_picks_by_jobs_equal_picks_in_one_task(profile, objective, monkeypatch):
-    monkeypatch.setattr(tasks, "REFRESH", 8)
+    monkeypatch.setattr(exact, "HEADS", 8)
 
     def names(picks):
         return [(r["task_name"], round(r["gain"], 6)) for r in sorted(picks.collect(), key=lambda r: r["pick"])]
 
     small = tasks.select_tasks(profile, objective, 9)
-    large = tasks.select_tasks(profile, objective, 9, one_task_bytes=0)
+    large = tasks.select_tasks(profile, objective, 9, one_task=False)
     assert names(small) == names(large)
 
 
 def test_too_many_tasks(profile):
     with pytest.raises(ValueError, match="below"):
         tasks.select_tasks(profile, "gc", 90)
+
+
+@pytest.mark.parametrize("objective", ["fl", "gc", "logdet"])
+@pytest.mark.parametrize("heads", [3, 64])
+def test_distributed_order_is_the_order_of_one_task(spark, objective, heads, monkeypatch):
+    """Ties (equal and zero vectors) included, few and many picks per pass, coverage stored in between."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(40, 5))
+    x[7], x[20], x[30] = x[3], x[3], 0.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_idx bigint, embedding array<double>")
+    monkeypatch.setattr(exact, "COVERED_AT", 4)
+    count = 12 if objective == "fl" else 40
+    places, gains = greedy(x, objective, count)
+    found = exact.exact_picks(df.repartition(3), objective, count, heads)
+    assert [i for i, _ in found] == places.tolist()
+    assert np.allclose([g for _, g in found], gains, atol=1e-8)
+
+
+def test_size_decides_no_result(spark):
+    rng = np.random.default_rng(12)
+    rows = [("s", f"t{i % 3}", "zs_opt", i, rng.normal(size=4).tolist()) for i in range(60 + 30)]
+    schema = "submixture string, task_name string, template_type string, row_idx bigint, embedding array<double>"
+    df = spark.createDataFrame(rows, schema)
+    quotas = spark.createDataFrame([("s", "t0", "zs_opt", 5), ("s", "t1", "zs_opt", 30)], schema.split(", row_idx")[0] + ", quota bigint")
+    for kw in ({}, {"quotas": quotas, "quota_groups": 2}):
+        one, apart = (ordering.order_instances(df, "gc", one_task_rows=n, **kw).collect() for n in (1000, 20))
+        key = lambda r: (r["task_name"], r["rank"], r["row_idx"], round(r["gain"], 8))
+        assert sorted(map(key, one)) == sorted(map(key, apart)) and len(one) == (90 if not kw else 35)
