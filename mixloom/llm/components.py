@@ -14,7 +14,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of an edge; component: the smallest node that can be reached.
 
     Each step hangs the larger neighbours of a node, then the smaller ones, below its smallest neighbour, so paths shrink
-    by a factor per step while the number of edges does not grow. Self loops, repeated edges and nulls are ignored.
+    by a factor per step while the number of edges does not grow: every edge becomes one edge, in the end one per node. Self loops, repeated edges and nulls are ignored.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     links = stored(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v"))).distinct())
@@ -37,11 +37,11 @@ def _large_star(links: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     # Every neighbour above u hangs below u's smallest neighbour.
     found = links.select(F.col("u").alias("x"), F.col("v").alias("u")).join(least, "u")
-    return found.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
+    return found.select(F.col("x").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
     found = links.join(least, "u")
     smaller = found.where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return smaller.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return smaller.unionByName(least.select("u", F.col("m").alias("v")))

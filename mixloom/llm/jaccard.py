@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mixloom.cluster import small, stored
-from mixloom.llm.arrow import filtered, slices, strings
+from mixloom.llm.arrow import filtered, gathered, slices, strings
 from mixloom.llm.components import components
 from mixloom.llm.storage import Table
 from mixloom.llm.hashing import LOWER, Rolling, mixed, windows, words
@@ -38,12 +38,14 @@ PERCENT = 85
 # Width of size bands, and the smallest share of extra parts.
 BAND_RATIO = 1.3
 # A tile holds two blocks of about this many sets, or bytes, at most.
-BLOCK_SETS = 256
-BLOCK_BYTES = 4 << 20
+BLOCK_SETS = 1536
+BLOCK_BYTES = 8 << 20
+# Features that so many sets of a tile have become columns of matrices.
+MANY_SETS = 32
 # Rows that meet one partner in a task; beyond it the partner's set is sent to several.
 ROWS_PER_PARTNER = 4096
 # Columns of the small matrices.
-TILE_COLUMNS = 4096
+TILE_COLUMNS = 2048
 # Bits of the map-side filter of sets that have candidates: 16 per set, within these bounds.
 FILTER_BITS = (1 << 20, 1 << 28)
 BITMAP = 32768
@@ -297,41 +299,53 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return _batch(["a", "b"], *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)))
 
 
-def tile_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between similar sets of a tile: enough to connect what they connect."""
-    if len(sets) < 2:
-        return []
-    size = np.array([len(s) for s in sets])
-    features, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    _, number, times = np.unique(features, return_inverse=True, return_counts=True)
-    several = times > 1
-    column = np.cumsum(several) - 1
-    inside = several[number]
-    owner, number = owner[inside], column[number[inside]]
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets.
+
+    Features that many sets have are columns of small matrices whose products are added up; those that few have add one
+    to each pair of their sets.
+    """
+    features = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    order = np.argsort(features, kind="stable")
+    features, owner = features[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], features[1:] != features[:-1]]))
+    times = np.diff(np.append(first, len(features)))
     both = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(number, kind="stable")
-    owner, number = owner[order], number[order]
-    for start in range(0, int(several.sum()), TILE_COLUMNS):
-        a, b = np.searchsorted(number, [start, start + TILE_COLUMNS])
-        block = np.zeros((len(sets), min(TILE_COLUMNS, int(several.sum()) - start)), np.float32)
-        block[owner[a:b], number[a:b] - start] = 1
+    rare = np.repeat((times > 1) & (times < MANY_SETS), times)
+    value, who = features[rare], owner[rare]
+    for lag in range(1, MANY_SETS - 1):
+        at = np.flatnonzero(value[lag:] == value[:-lag])
+        if not len(at):
+            break
+        np.add.at(both, (who[at], who[at + lag]), 1)
+    both += both.T
+    often = np.flatnonzero(times >= MANY_SETS)
+    for start in range(0, len(often), TILE_COLUMNS):
+        part = often[start : start + TILE_COLUMNS]
+        block = np.zeros((len(sets), len(part)), np.float32)
+        rows = gathered(first[part], times[part], owner)
+        block[rows, np.repeat(np.arange(len(part)), times[part])] = 1
         both += block @ block.T
-    union = size[:, None] + size[None, :] - both
-    left, right = np.nonzero(np.triu(100 * both >= percent * union, 1))
-    root = list(range(len(sets)))
+    return both
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
+def tile_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between similar sets of a tile: enough to connect what they connect."""
+    if len(sets) < 2:
+        return []
+    size = np.array([len(s) for s in sets], np.float64)
+    both = overlaps(sets)
+    label = np.arange(len(sets))
     links = []
-    for i, j in zip(left.tolist(), right.tolist()):
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
+    for i in range(1, len(sets)):
+        shared = both[i, :i].astype(np.float64)
+        near = np.flatnonzero(100 * shared >= percent * (size[i] + size[:i] - shared))
+        groups, at = np.unique(label[near], return_index=True)
+        for j in near[at[groups != label[i]]].tolist():
             links.append((int(nodes[i]), int(nodes[j])))
+        if len(groups):
+            label[np.isin(label, groups) | (label == label[i])] = groups[0] if groups[0] < label[i] else label[i]
     return links
 
 

@@ -30,6 +30,7 @@ def large(texts):
 # Words and hashes
 
 
+@settings(deadline=None)
 @given(st.lists(st.one_of(st.none(), SOUP), max_size=6))
 def test_words_match_the_pattern(texts):
     data, offsets = arrow.strings(large(texts))
@@ -155,7 +156,7 @@ def test_token_counts_equal_the_library(known):
 # Chat
 
 
-@settings(max_examples=200)
+@settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(list(chat.CONTROLS) + ["\\", "<", "[", "|turn|>", "s>", "/INST]", "x", "\n"])).map("".join))
 def test_escaping_is_reversible_and_hides_controls(text):
     escaped = chat.escape(text)
@@ -225,7 +226,7 @@ def plain_rule(url):
     return host, path, best[1], best[2]
 
 
-@settings(max_examples=300)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["http", "://", "/", "?", "#", "example.net", "EXAMPLE.com", ".", "org", "net", "en/", "de/", "fr/", "x"])).map("".join))
 def test_rules_of_urls(url):
     judge = urls.UrlFilter(urls.RULES, urls.VOCABULARY, urls.SOFT_LIMIT).judge
