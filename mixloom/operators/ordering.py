@@ -129,7 +129,9 @@ def random_ordering(
     seed: int = ORDERING_SEED,
 ) -> DataFrame:
     """A shuffle of each group, keyed by row and so stable under repartitioning; all gains 1."""
-    rows = _shuffled(df if quotas is None else random_leaders(df, quotas, quota_groups, seed), seed)
+    # The leaders are narrow and few: stored, they are ranked without reading `df` again.
+    leaders = df if quotas is None else stored(random_leaders(df, quotas, quota_groups, seed))
+    rows = _shuffled(leaders, seed)
     order = ["_digest", "row_idx"]
     placed = positions(rows, GROUP_KEY, digest_bucket("_digest"), order, "_place")
     return placed.select(

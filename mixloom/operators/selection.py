@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixloom.cluster import small
+from mixloom.cluster import small, stored
 from mixloom.config import GROUP_KEY, ROW_KEY, SHUFFLE_SEED
 from mixloom.functions.columns import seeded_digest
 from mixloom.operators.prepare import as_pairs, known_templates, strip_metadata
@@ -16,8 +16,11 @@ from mixloom.operators.ranking import digest_bucket, positions
 
 
 def select_rows(df: DataFrame, picks: DataFrame, picks_bound: int | None = None) -> DataFrame:
-    """Rows of `df` whose (submixture, row_idx) is picked."""
-    return df.join(small(picks.select(*ROW_KEY), picks_bound), list(ROW_KEY), "left_semi")
+    """Rows of `df` whose (submixture, row_idx) is picked. Without a bound the picks are stored, to be counted once made."""
+    keys = picks.select(*ROW_KEY)
+    if picks_bound is None:
+        keys = stored(keys)
+    return df.join(small(keys, picks_bound), list(ROW_KEY), "left_semi")
 
 
 def select_subset(

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from mixloom.cluster import stored
 from mixloom.functions.hashing import PAD_ID
 from mixloom.operators.checks import PAIR_COLUMNS, require_columns
 from mixloom.operators.tuning import (
@@ -51,9 +52,9 @@ def labelled_ids(
 def training_batches(
     pairs: DataFrame, keys: Sequence[str], cfg: TuningConfig, tokenizer: Callable[[], Tokenizer] | None = None
 ) -> DataFrame:
-    """Padded batches of all epochs. Rows are placed by their keys; ids move once per epoch."""
+    """Padded batches of all epochs. Rows are placed by their keys, stored once; ids move once per epoch."""
     plan = batch_plan(
-        pairs, keys, cfg.train_batch_size, cfg.devices, cfg.accumulation, cfg.epochs, cfg.seed
+        stored(pairs.select(*keys)), keys, cfg.train_batch_size, cfg.devices, cfg.accumulation, cfg.epochs, cfg.seed
     )
     return collate(plan.join(labelled_ids(pairs, keys, cfg, tokenizer), list(keys)), cfg.pad_id)
 
