@@ -11,8 +11,9 @@ Exact copies are one set from the start. Links are verified on whole sets. Only
 are known to be connected are not compared again:
 
 1. every set is compared with the one partner that most of its signatures point to;
-2. signatures that still have sets of different groups make clusters. All pairs within a cluster, or within each of its
-   signatures where that moves fewer sets, are compared tile by tile, each tile a product of small matrices.
+2. signatures that still have sets of different groups make clusters. All pairs within a cluster are compared tile by
+   tile, each tile a product of small matrices; where fewer sets would move by signature, pairs of different groups within
+   each signature are first held against a bound from sketches, a tenth of the size, and what passes is compared.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BAND_RATIO = 1.3
 # A tile holds two blocks of about this many sets, or bytes, at most.
 BLOCK_SETS = 1536
 BLOCK_BYTES = 8 << 20
+# A cluster is compared whole if its tiles hold at most this share of what its signatures' tiles would hold.
+WHOLE_UP_TO = 1.0
 # Features that so many sets of a tile have become columns of matrices.
 MANY_SETS = 32
 # Rows that meet one partner in a task; beyond it the partner's set is sent to several.
@@ -233,7 +236,7 @@ class SetFilter:
 
 
 def needed_sets(docs: DataFrame, text: str, seed: int, reps: DataFrame) -> DataFrame:
-    """(node, features) of the sets of the rows whose doc_id is in `reps` (stored), and of a few others.
+    """(node, n, sketch, features) of the sets of the rows whose doc_id is in `reps` (stored), and of a few others.
 
     The bitmap of these ids is the only thing sent to the tasks, and sets of other rows are not sent back.
     """
@@ -247,11 +250,47 @@ def needed_sets(docs: DataFrame, text: str, seed: int, reps: DataFrame) -> DataF
                 keys, first = shingles(batch.column(0).slice(start, stop - start))
                 node, _ = names(keys, first)
                 rows = np.flatnonzero(np.diff(first) > 0)
-                packed = [keys[first[r] : first[r + 1]].tobytes() for r in rows]
-                yield _batch(["node", "features"], pa.array(node[rows], pa.int64()), pa.array(packed, pa.binary()))
+                found = [keys[first[r] : first[r + 1]] for r in rows]
+                yield _batch(
+                    ["node", "n", "sketch", "features"],
+                    pa.array(node[rows], pa.int64()),
+                    pa.array([len(f) for f in found], pa.int64()),
+                    pa.array([sketch(f).tobytes() for f in found], pa.binary()),
+                    pa.array([f.tobytes() for f in found], pa.binary()),
+                )
 
     known = docs.where(F.col("doc_id").isNotNull()).select(text, F.xxhash64("doc_id").alias("h"))
-    return known.mapInArrow(run, "node bigint, features binary")
+    return known.mapInArrow(run, "node bigint, n bigint, sketch binary, features binary")
+
+
+def sketch(features: np.ndarray) -> np.ndarray:
+    """Features per part of the hash range, up to 255; a power of two of parts, one or two features in each."""
+    bits = max(4, min(16, (len(features) // 2).bit_length()))
+    counts = np.bincount((features >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def sketched_pairs(
+    nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], percent: int
+) -> list[tuple[int, int]]:
+    """Pairs of different groups that may be similar.
+
+    Every feature that two sets do not share changes a part's count by one at most, so the distance of their sketches never
+    exceeds the number of features in which they differ. Sketches of unequal width are folded to the narrower one.
+    """
+    if len(nodes) < 2 or (groups == groups[0]).all():
+        return []
+    width = min(map(len, sketches))
+    counts = np.stack([np.minimum(s.reshape(width, -1).sum(axis=1, dtype=np.int64), 255) for s in sketches]).astype(np.int16)
+    out = []
+    for i in range(1, len(nodes)):
+        others = np.flatnonzero(groups[:i] != groups[i])
+        total = sizes[others] + sizes[i]
+        differ = np.abs(counts[others] - counts[i]).sum(axis=1, dtype=np.int64)
+        for j in others[differ * (100 + percent) <= total * (100 - percent)].tolist():
+            a, b = int(nodes[i]), int(nodes[j])
+            out.append((max(a, b), min(a, b)))
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -262,7 +301,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def verified(best: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of (node, partner), one per node, whose sets are similar.
+    """The pairs of (node, partner), stored and distinct, whose sets are similar.
 
     The sets of all nodes go to their partner; the rows of a partner with very many nodes are dealt over several groups,
     each of which gets its set. A task holds one partner's set at a time.
@@ -271,6 +310,7 @@ def verified(best: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = stored(counts)
     dealt = best.join(small(counts), "partner")
     dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("node"), F.col("deals")).cast("int"))
+    sets = sets.select("node", "features")
     members = sets.join(small(dealt.select("node", "partner", "deal"), best.count()), "node")
     members = members.select("partner", "deal", F.lit(1).alias("side"), "node", "features")
     centres = sets.withColumnRenamed("node", "partner").join(small(counts), "partner")
@@ -349,41 +389,64 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
     return links
 
 
-def tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the sets of every (kind, key) of (kind, key, blocks, node): all pairs, tile by tile.
+def _tiles(members: DataFrame, sets: DataFrame, carried: list[str]) -> DataFrame:
+    """Rows (key, x, y, carried...) of all tiles of (key, blocks, node, ...), tile by tile.
 
     The sets of a key fall into `blocks` by hash; every two blocks make a tile, so that no task holds more than a tile
     whatever the number of sets.
     """
     placed = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = placed.withColumn("j", other).select(
-        "kind", "key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "node"
-    )
-    group = ["kind", "key", "x", "y"]
-    filled = sets.join(small(stored(tiles)), "node").select(*group, "node", "features")
-    filled = filled.repartition(*group).sortWithinPartitions(*group)
+    tiles = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = ["key", "x", "y"]
+    tiles = tiles.withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")}).drop("i", "j", "blocks")
+    filled = sets.join(small(stored(tiles)), "node").select(*tile, *carried)
+    return filled.repartition(*tile).sortWithinPartitions(*tile)
+
+
+def _over_tiles(work):
+    """For mapInArrow: `work` gets the carried columns of one tile at a time and gives pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, nodes, held = None, [], []
+        current, held = None, []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for *key, node, features in zip(*columns):
-                if key != current:
-                    yield _links(tile_links(np.array(nodes, np.int64), held, percent))
-                    current, nodes, held = key, [], []
-                nodes.append(node)
-                held.append(np.frombuffer(features, np.uint64))
-        yield _links(tile_links(np.array(nodes, np.int64), held, percent))
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for row in zip(*columns):
+                if row[:3] != current:
+                    if held:
+                        yield _links(work(*zip(*held)))
+                    current, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            yield _links(work(*zip(*held)))
+
+    return run
+
+
+def tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the sets of every key of (key, blocks, node): all pairs, tile by tile."""
+
+    def work(nodes, features):
+        return tile_links(np.array(nodes, np.int64), [np.frombuffer(f, np.uint64) for f in features], percent)
+
+    return _tiles(members, sets, ["node", "features"]).mapInArrow(_over_tiles(work), "a bigint, b bigint")
+
+
+def likely_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, partner) of the pairs of different labels within a key of (key, blocks, node, label) that may be similar."""
+
+    def work(nodes, labels, sizes, sketches):
+        parts = [np.frombuffer(s, np.uint8) for s in sketches]
+        return sketched_pairs(np.array(nodes, np.int64), np.array(labels), np.array(sizes), parts, percent)
 
-    return filled.mapInArrow(run, "a bigint, b bigint")
+    found = _tiles(members, sets, ["node", "label", "n", "sketch"]).mapInArrow(_over_tiles(work), "a bigint, b bigint")
+    return found.distinct().select(F.col("a").alias("node"), F.col("b").alias("partner"))
 
 
-def clusters(open_: DataFrame, sizes: DataFrame) -> DataFrame:
+def clusters(open_: DataFrame, sizes: DataFrame, whole_up_to: float = WHOLE_UP_TO) -> DataFrame:
     """(kind, key, blocks, node): the keys within which all pairs of open sets are to be compared.
 
     `open_` holds (signature, node, partner) of the signatures with sets of different groups. Signatures that share sets
-    make a cluster. It is one key if that sends its sets to fewer tiles than its signatures would.
+    make a cluster. It is one key (kind 0) if that moves at most `whole_up_to` of what its signatures would.
     """
 
     def blocks(rows, size):
@@ -398,7 +461,7 @@ def clusters(open_: DataFrame, sizes: DataFrame) -> DataFrame:
     cost = whole.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     cost = cost.withColumn("blocks", blocks(F.col("n"), F.col("size")))
     apart = own.groupBy("component").agg(F.sum(F.col("size") * F.col("blocks")).alias("apart"))
-    choice = cost.join(apart, "component").withColumn("one", F.col("size") * F.col("blocks") <= F.col("apart"))
+    choice = cost.join(apart, "component").withColumn("one", F.col("size") * F.col("blocks") <= whole_up_to * F.col("apart"))
     choice = stored(choice.select("component", "blocks", "one"))
     together = whole.join(small(choice.where("one")), "component")
     together = together.select(F.lit(0).alias("kind"), F.col("component").alias("key"), "blocks", "node")
@@ -427,7 +490,12 @@ def set_groups(docs: DataFrame, text: str, seed: int, percent: int, reps: DataFr
     undecided = stored(seen.where(split).select("signature").distinct())
     open_ = Table(shared.rows.join(small(undecided), "signature", "left_semi"), "open")
     sizes = stored(sets.rows.select("node", F.octet_length("features").alias("size")).distinct())
-    more = stored(tiled(clusters(open_.rows, sizes), sets.rows, percent).distinct())
+    keyed = stored(clusters(open_.rows, sizes))
+    alike = tiled(keyed.where("kind = 0").drop("kind"), sets.rows, percent)
+    apart = keyed.where("kind = 1").drop("kind").join(small(label), "node", "left")
+    apart = apart.select("key", "blocks", "node", F.coalesce("component", "node").alias("label"))
+    likely = stored(likely_pairs(apart, sets.rows, percent))
+    more = stored(alike.unionByName(verified(likely, sets.rows, percent)).distinct())
     for table in (shared, sets, open_):
         table.drop()
     return components(links.unionByName(more))

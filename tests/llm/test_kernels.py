@@ -311,6 +311,18 @@ def test_similar_sets_share_a_signature(size, left, right, seed):
     assert set(signature[rows == 0]) & set(signature[rows == 1])
 
 
+def test_sketches_never_lose_a_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in (5, 12, 40, 130, 700):
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        sets = [np.unique(np.concatenate([base[i // 3 :], rng.integers(0, 2**64, i % 9, dtype=np.uint64)])) for i in range(24)]
+        found = jaccard.sketched_pairs(
+            np.arange(24), np.arange(24), np.array([len(s) for s in sets]), [jaccard.sketch(s) for s in sets], 85
+        )
+        wanted = {(i, j) for i in range(24) for j in range(i) if jaccard.similar(sets[i], sets[j], 85)}
+        assert wanted <= set(found)
+
+
 def test_tiles_connect_what_is_similar():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 120, dtype=np.uint64)

@@ -255,9 +255,13 @@ def near_copies(seed, count):
     return texts + ["", None, "one", "ONE", "two words", "a b c", "A B c", "a b c d"] + texts[:9]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_groups_against_brute_force(spark, monkeypatch, seed):
+@pytest.mark.parametrize("seed,apart", [(1, False), (2, True), (3, True)])
+def test_jaccard_groups_against_brute_force(spark, monkeypatch, seed, apart):
+    """Small blocks; once whole clusters in tiles, else every signature on its own behind sketches."""
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 6)
+    if apart:
+        chosen = jaccard.clusters
+        monkeypatch.setattr(jaccard, "clusters", lambda open_, sizes: chosen(open_, sizes, whole_up_to=0.0))
     rows = list(enumerate(near_copies(seed, 14)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     found = jaccard.jaccard_groups(docs)
