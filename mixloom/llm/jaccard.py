@@ -11,9 +11,9 @@ Exact copies are one set from the start. Links are verified on whole sets. Only
 are known to be connected are not compared again:
 
 1. every set is compared with the one partner that most of its signatures point to;
-2. signatures that still have sets of different groups make clusters. All pairs within a cluster are compared tile by
-   tile, each tile a product of small matrices; where fewer sets would move by signature, pairs of different groups within
-   each signature are first held against a bound from sketches, a tenth of the size, and what passes is compared.
+2. signatures that still have sets of different groups make clusters. All pairs of a dense cluster are compared tile by
+   tile, each tile a product of small matrices; in a sparse one, pairs of different groups within each signature are first
+   held against a bound from sketches, a tenth of the size, and what passes is compared.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ BAND_RATIO = 1.3
 # A tile holds two blocks of about this many sets, or bytes, at most.
 BLOCK_SETS = 1536
 BLOCK_BYTES = 8 << 20
-# A cluster is compared whole if its tiles hold at most this share of what its signatures' tiles would hold.
-WHOLE_UP_TO = 1.0
+# A cluster is compared whole if its pairs are at most so many times the pairs that share a signature, else by signature.
+DENSE = 4.0
 # Features that so many sets of a tile have become columns of matrices.
 MANY_SETS = 32
 # Rows that meet one partner in a task; beyond it the partner's set is sent to several.
@@ -442,11 +442,12 @@ def likely_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return found.distinct().select(F.col("a").alias("node"), F.col("b").alias("partner"))
 
 
-def clusters(open_: DataFrame, sizes: DataFrame, whole_up_to: float = WHOLE_UP_TO) -> DataFrame:
+def clusters(open_: DataFrame, sizes: DataFrame, dense: float = DENSE) -> DataFrame:
     """(kind, key, blocks, node): the keys within which all pairs of open sets are to be compared.
 
     `open_` holds (signature, node, partner) of the signatures with sets of different groups. Signatures that share sets
-    make a cluster. It is one key (kind 0) if that moves at most `whole_up_to` of what its signatures would.
+    make a cluster. It is one key (kind 0) if most of its sets share signatures, as copies of one text do; sets that a passage
+    here and there has chained together are compared by signature (kind 1).
     """
 
     def blocks(rows, size):
@@ -460,8 +461,8 @@ def clusters(open_: DataFrame, sizes: DataFrame, whole_up_to: float = WHOLE_UP_T
     whole = rows.select("component", "node", "size").distinct()
     cost = whole.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     cost = cost.withColumn("blocks", blocks(F.col("n"), F.col("size")))
-    apart = own.groupBy("component").agg(F.sum(F.col("size") * F.col("blocks")).alias("apart"))
-    choice = cost.join(apart, "component").withColumn("one", F.col("size") * F.col("blocks") <= whole_up_to * F.col("apart"))
+    pairs = own.groupBy("component").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    choice = cost.join(pairs, "component").withColumn("one", F.col("n").cast("double") * F.col("n") <= dense * F.col("pairs"))
     choice = stored(choice.select("component", "blocks", "one"))
     together = whole.join(small(choice.where("one")), "component")
     together = together.select(F.lit(0).alias("kind"), F.col("component").alias("key"), "blocks", "node")

@@ -261,7 +261,7 @@ def test_jaccard_groups_against_brute_force(spark, monkeypatch, seed, apart):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 6)
     if apart:
         chosen = jaccard.clusters
-        monkeypatch.setattr(jaccard, "clusters", lambda open_, sizes: chosen(open_, sizes, whole_up_to=0.0))
+        monkeypatch.setattr(jaccard, "clusters", lambda open_, sizes: chosen(open_, sizes, dense=0.0))
     rows = list(enumerate(near_copies(seed, 14)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     found = jaccard.jaccard_groups(docs)
