@@ -6,7 +6,6 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mixloom.cluster import small, stored
 from mixloom.config import GROUP_KEY, ROW_KEY, SHUFFLE_SEED

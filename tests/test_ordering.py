@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from mixloom.config import GROUP_KEY
 from mixloom.functions.greedy import greedy
