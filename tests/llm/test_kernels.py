@@ -1,6 +1,5 @@
 """Kernels against brute force and against the libraries, without Spark."""
 
-import hashlib
 import random
 import re
 from collections import Counter
