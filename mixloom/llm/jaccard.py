@@ -471,6 +471,25 @@ def clusters(open_: DataFrame, sizes: DataFrame, dense: float = DENSE) -> DataFr
     return together.unionByName(rest.select(F.lit(1).alias("kind"), F.col("signature").alias("key"), "blocks", "node"))
 
 
+def _between(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, partner, x, y): pairs with the labels of both sides, the smaller one first."""
+    for side, name in (("node", "_one"), ("partner", "_two")):
+        found = label.select(F.col("node").alias(side), F.col("component").alias(name))
+        pairs = pairs.join(small(found), side, "left").withColumn(name, F.coalesce(name, side))
+    return pairs.select("node", "partner", F.least("_one", "_two").alias("x"), F.greatest("_one", "_two").alias("y"))
+
+
+def _labelled(label: DataFrame, between: DataFrame, joined: DataFrame) -> DataFrame:
+    """(x, y) of the pairs of labels that the links `joined` connect, directly or through others."""
+    met = _between(joined.select(F.col("a").alias("node"), F.col("b").alias("partner")), label)
+    found = stored(components(met.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    pairs = between.select("x", "y").distinct()
+    for side, name in (("x", "_one"), ("y", "_two")):
+        own = found.select(F.col("node").alias(side), F.col("component").alias(name))
+        pairs = pairs.join(small(own), side)
+    return pairs.where("_one = _two").select("x", "y")
+
+
 def set_groups(docs: DataFrame, text: str, seed: int, percent: int, reps: DataFrame) -> DataFrame:
     """(node, component) of the sets that are linked with another one. `reps`: one (node, doc_id) for every set."""
     signed = set_signatures(docs, text, seed, Bands.of(percent))
@@ -496,7 +515,13 @@ def set_groups(docs: DataFrame, text: str, seed: int, percent: int, reps: DataFr
     apart = keyed.where("kind = 1").drop("kind").join(small(label), "node", "left")
     apart = apart.select("key", "blocks", "node", F.coalesce("component", "node").alias("label"))
     likely = stored(likely_pairs(apart, sets.rows, percent))
-    more = stored(alike.unionByName(verified(likely, sets.rows, percent)).distinct())
+    # One pair for every two groups first; only where that does not join them, their other pairs.
+    between = stored(_between(likely, label))
+    one = between.groupBy("x", "y").agg(F.min(F.struct("node", "partner")).alias("p")).select("p.node", "p.partner")
+    joined = stored(verified(stored(one), sets.rows, percent))
+    again = stored(_labelled(label, between, joined))
+    rest = stored(between.join(small(again), ["x", "y"], "left_anti").select("node", "partner"))
+    more = stored(alike.unionByName(joined).unionByName(verified(rest, sets.rows, percent)).distinct())
     for table in (shared, sets, open_):
         table.drop()
     return components(links.unionByName(more))
