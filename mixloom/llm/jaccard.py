@@ -39,7 +39,7 @@ PERCENT = 85
 # Width of size bands, and the smallest share of extra parts.
 BAND_RATIO = 1.3
 # A tile holds two blocks of about this many sets, or bytes, at most.
-BLOCK_SETS = 1536
+BLOCK_SETS = 1024
 BLOCK_BYTES = 8 << 20
 # A cluster is compared whole if its pairs are at most so many times the pairs that share a signature, else by signature.
 DENSE = 4.0
@@ -48,7 +48,7 @@ MANY_SETS = 32
 # Rows that meet one partner in a task; beyond it the partner's set is sent to several.
 ROWS_PER_PARTNER = 4096
 # Columns of the small matrices.
-TILE_COLUMNS = 2048
+TILE_COLUMNS = 1024
 # Bits of the map-side filter of sets that have candidates: 16 per set, within these bounds.
 FILTER_BITS = (1 << 20, 1 << 28)
 BITMAP = 32768
