@@ -26,10 +26,12 @@ from mixloom.llm.hashing import LOWER, Rolling, windows, words
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 11
-# Ratio of window sizes; bytes of texts of one pass over the documents; places whose sums fit into 16 bits.
+# Ratio of window sizes; bytes of texts of one pass over the documents; places whose sums fit into 16 bits, and those whose
+# sums are held at once.
 LADDER = 1.25
 ITEM_BYTES = 8 << 20
 STRETCH = 4000
+MOST_PLACES = 1 << 18
 MOST_WEIGHT = 8
 BITS, BLOCKS = 64, 4
 BLOCK_BITS = BITS // BLOCKS
@@ -67,20 +69,34 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 
 class SimHasher:
-    """Fingerprints of all windows of a run of shingles, from prefix sums of their bits' votes."""
+    """Fingerprints of all windows of a run of shingles, from prefix sums of their bits' votes.
+
+    The sums of a run beyond MOST_PLACES are made bit by bit.
+    """
 
     def __init__(self, shingles: np.ndarray, weights: np.ndarray):
-        bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1)
-        votes = (bits.astype(np.int16) * 2 - 1) * weights.astype(np.int16)[:, None]
-        self.sums = np.zeros((len(shingles) + 1, BITS), np.int16)
-        np.cumsum(votes, axis=0, out=self.sums[1:], dtype=np.int16)
+        self.shingles, self.weights, self.sums = shingles, weights, None
+        if len(shingles) <= MOST_PLACES:
+            kind = np.int16 if len(shingles) <= STRETCH else np.int32
+            bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1)
+            votes = (bits.astype(np.int16) * 2 - 1) * weights.astype(np.int16)[:, None]
+            self.sums = np.zeros((len(shingles) + 1, BITS), kind)
+            np.cumsum(votes, axis=0, out=self.sums[1:], dtype=kind)
 
     def windows(self, size: int) -> np.ndarray:
         """Of every window of `size` shingles."""
-        if len(self.sums) <= size:
+        if len(self.shingles) < size:
             return np.zeros(0, np.uint64)
-        bits = self.sums[size:] > self.sums[:-size]
-        return np.packbits(bits, axis=1).view(np.uint64).ravel()
+        if self.sums is not None:
+            bits = self.sums[size:] > self.sums[:-size]
+            return np.packbits(bits, axis=1).view(np.uint64).ravel()
+        prints = np.zeros(len(self.shingles) - size + 1, np.uint64)
+        total = np.zeros(len(self.shingles) + 1, np.int64)
+        for bit in range(BITS):
+            on = (self.shingles >> np.uint64(bit)) & np.uint64(1) > 0
+            np.cumsum(np.where(on, self.weights, -self.weights), out=total[1:])
+            prints |= (total[size:] > total[:-size]).astype(np.uint64) << np.uint64(bit)
+        return prints
 
 
 class BlockIndex:
@@ -170,8 +186,9 @@ class Benchmark:
             return []
         longest = max(self.index)
         last = text.first[1:] - SHINGLE_WORDS + 1
-        for start in range(0, len(text.shingles), STRETCH - longest):
-            stop = min(len(text.shingles), start + STRETCH)
+        stretch = max(STRETCH, 2 * longest)
+        for start in range(0, len(text.shingles), stretch - longest):
+            stop = min(len(text.shingles), start + stretch)
             hasher = SimHasher(text.shingles[start:stop], text.weights[start:stop])
             for size, (index, owners, shifts) in self.index.items():
                 at, who, distance = index.near(hasher.windows(size))

@@ -363,3 +363,23 @@ def test_leaks_of_a_slice():
     texts = [filler(200), None, "", items[3], f"{filler(5000)} {items[1].upper()}\n{items[4]} {filler(50)}", items[0], "one two"]
     found = [(row, benchmark.ids[item], place, round(alike, 3)) for row, item, place, _, alike in benchmark.leaks(large(texts), 0.8)]
     assert found == [(3, 103, 0, 1.0), (4, 101, 5000, 1.0), (4, 104, 5015, 1.0), (5, 100, 0, 1.0)]
+
+
+def test_a_long_item_beside_short_ones():
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(n))
+    items = [text(n) for n in (20, 4003, 6000)]
+    benchmark = decontaminate.Benchmark([0, 1, 2], items)
+    docs = [text(300), f"{text(50)} {items[0]} {text(50)}", f"{text(3000)} {items[2]} {text(3000)}", f"{items[1]} {items[0]}"]
+    found = [(row, item, place, alike) for row, item, place, _, alike in benchmark.leaks(large(docs), 0.8)]
+    assert found == [(1, 0, 50, 1.0), (2, 2, 3000, 1.0), (3, 0, 4003, 1.0), (3, 1, 0, 1.0)]
+
+
+def test_fingerprints_do_not_depend_on_how_sums_are_held(monkeypatch):
+    rng = np.random.default_rng(9)
+    shingles, weights = rng.integers(0, 2**63, 9000, dtype=np.uint64), np.full(9000, decontaminate.MOST_WEIGHT)
+    votes = (np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64) * 2 - 1) * weights[:, None]
+    wanted = np.packbits(votes[1000:8000].sum(axis=0) > 0).view(np.uint64)[0]
+    assert decontaminate.SimHasher(shingles, weights).windows(7000)[1000] == wanted
+    monkeypatch.setattr(decontaminate, "MOST_PLACES", 100)
+    assert decontaminate.SimHasher(shingles, weights).windows(7000)[1000] == wanted
