@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, weighted-shingle similarity.
 
 Window sizes form a ladder between the shortest and the longest item. The first and the last window of an item, of the
-largest size that fits into it, are its fingerprints; every window of every document of these sizes gets one too, from
-prefix sums of its shingles' bit votes. A fingerprint has four blocks of 16 bits: two fingerprints within the radius differ
-in at most radius / 3 bits in each of two blocks at least, so tables of all values that near to an item's blocks find every
+largest size that fits into it, are its fingerprints; the windows of the documents of these sizes get one too, from prefix
+sums of their shingles' bit votes, where enough weight of items' shingles lies around them: a similar window shares that
+much with its item, so none is left out. A fingerprint has eight blocks of 8 bits: two fingerprints within the radius differ
+in at most radius / 7 bits in each of two blocks at least, so tables of all values that near to an item's blocks find every
 fingerprint within the radius. What they find is placed on the document and compared exactly.
 """
 
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from mixloom.llm.arrow import filtered, slices, strings
+from mixloom.llm.arrow import filtered, gathered, slices, strings
 from mixloom.llm.hashing import LOWER, Rolling, windows, words
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 11
+# Windows of the least similarity differ in 10 to 11 bits on average, with a deviation of 3.
+RADIUS = 20
 # Ratio of window sizes; bytes of texts of one pass over the documents; places whose sums fit into 16 bits, and those whose
 # sums are held at once.
 LADDER = 1.25
@@ -33,9 +35,12 @@ ITEM_BYTES = 8 << 20
 STRETCH = 4000
 MOST_PLACES = 1 << 18
 MOST_WEIGHT = 8
-BITS, BLOCKS = 64, 4
+BITS, BLOCKS = 64, 8
 BLOCK_BITS = BITS // BLOCKS
 WORD = 64
+# Places per item shingle of the table that tells which shingles may be an item's.
+MARKS = 16
+EPSILON = 1e-9
 
 
 @dataclass
@@ -102,13 +107,13 @@ class SimHasher:
 class BlockIndex:
     """Fingerprints by their blocks; `near` gives all pairs within the radius.
 
-    For every block and value a bit mask tells the fingerprints whose block is at most radius / 3 bits away, 64 to a word.
+    For every block and value a bit mask tells the fingerprints whose block is at most radius / 7 bits away, 64 to a word.
     """
 
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
-        flips = [sum(1 << i for i in c) for n in range(radius // 3 + 1) for c in combinations(range(BLOCK_BITS), n)]
-        flips = np.array(flips, np.uint16)
+        flips = [sum(1 << i for i in c) for n in range(radius // (BLOCKS - 1) + 1) for c in combinations(range(BLOCK_BITS), n)]
+        flips = np.array(flips, np.uint8)
         self.masks = np.zeros((BLOCKS, -(-len(prints) // WORD), 1 << BLOCK_BITS), np.uint64)
         for i, block in enumerate(self._blocks(prints)):
             for k, value in enumerate(block):
@@ -116,11 +121,11 @@ class BlockIndex:
 
     @staticmethod
     def _blocks(prints: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(prints.view(np.uint16).reshape(-1, BLOCKS).T)
+        return np.ascontiguousarray(prints.view(np.uint8).reshape(-1, BLOCKS).T)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, fingerprint, distance) of every pair within the radius, once."""
-        at, who = [], []
+        found = []
         blocks = self._blocks(prints)
         for word in range(self.masks.shape[1]):
             one = two = None
@@ -133,12 +138,11 @@ class BlockIndex:
                     one |= mask
             hit = np.flatnonzero(two)
             row, bit = np.nonzero(np.unpackbits(two[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            at.append(hit[row])
-            who.append(bit + word * WORD)
-        at, who = np.concatenate(at), np.concatenate(who)
-        distance = np.bitwise_count(prints[at] ^ self.prints[who]).astype(np.int64)
-        close = np.flatnonzero(distance <= self.radius)
-        return at[close], who[close], distance[close]
+            at, who = hit[row], bit + word * WORD
+            distance = np.bitwise_count(prints[at] ^ self.prints[who]).astype(np.int64)
+            close = distance <= self.radius
+            found.append((at[close], who[close], distance[close]))
+        return tuple(np.concatenate(c) for c in zip(*found))
 
 
 class Benchmark:
@@ -158,56 +162,104 @@ class Benchmark:
         while len(sizes) and size <= sizes.max():
             self.ladder.append(int(size))
             size = max(int(size) + 1, size * LADDER)
-        self.index: dict[int, tuple[BlockIndex, np.ndarray, np.ndarray]] = {}
+        self.totals = np.array([t.weights.sum() for t in self.items], np.int64)
+        self.known = np.unique(np.concatenate([t.shingles for t in self.items])) if self.items else np.zeros(0, np.uint64)
+        self.marks = np.zeros(1 << (MARKS * len(self.known)).bit_length(), bool)
+        self.marks[self.known & np.uint64(len(self.marks) - 1)] = True
+        # Of every window size the fingerprints, their items, the least weight of these and the furthest fingerprint.
+        self.index: dict[int, tuple[BlockIndex, np.ndarray, int, int]] = {}
         for k, size in enumerate(self.ladder):
             above = self.ladder[k + 1] if k + 1 < len(self.ladder) else sizes.max() + 1
-            prints, owners, shifts = [], [], []
-            for n in np.flatnonzero((sizes >= size) & (sizes < above)):
-                own = SimHasher(self.items[n].shingles, self.items[n].weights).windows(size)
-                for place in {0, len(own) - 1}:
-                    prints.append(own[place])
+            prints, owners = [], []
+            own = np.flatnonzero((sizes >= size) & (sizes < above))
+            for n in own:
+                windows_ = SimHasher(self.items[n].shingles, self.items[n].weights).windows(size)
+                for place in {0, len(windows_) - 1}:
+                    prints.append(windows_[place])
                     owners.append(n)
-                    shifts.append(place)
             if prints:
-                self.index[size] = BlockIndex(np.array(prints, np.uint64), radius), np.array(owners), np.array(shifts)
-
-    def _compare(self, text: Texts, low: int, high: int, start: int, item: int) -> tuple[int, float]:
-        """Similarity of an item and the window of its size that begins at `start`, within shingles low to high."""
-        own = self.items[item]
-        a = max(low, min(start, high - len(own.shingles)))
-        b = min(high, a + len(own.shingles))
-        return a, similarity(text.shingles[a:b], text.weights[a:b], own.shingles, own.weights)
+                blocks = BlockIndex(np.array(prints, np.uint64), radius)
+                self.index[size] = blocks, np.array(owners), int(self.totals[own].min()), int(sizes[own].max()) - size
+
+    def _hits(self, text: Texts) -> np.ndarray:
+        """Weights of the shingles that are an item's, else 0."""
+        at = np.flatnonzero(self.marks[text.shingles & np.uint64(len(self.marks) - 1)])
+        keys = text.shingles[at]
+        at = at[self.known[np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)] == keys]
+        hits = np.zeros(len(text.shingles), np.int64)
+        hits[at] = text.weights[at]
+        return hits
+
+    def _placed(self, text: Texts, low: int, high: int, item: int, threshold: float) -> tuple[int, float] | None:
+        """The most similar window of an item's size within shingles low to high, of equal ones the first, if it passes.
+
+        What a window shares is at most the weight of its shingles that are the item's: windows are compared by the bound
+        that this gives until no other can be as similar.
+        """
+        own, total, count = self.items[item], int(self.totals[item]), high - low
+        shingles, weights = text.shingles[low:high], text.weights[low:high]
+        if own.weights[np.isin(own.shingles, shingles)].sum() < threshold * total - EPSILON:
+            return None
+        hits = np.concatenate([[0], np.cumsum(np.where(np.isin(shingles, own.shingles), weights, 0))])
+        sums = np.concatenate([[0], np.cumsum(weights)])
+        begin = np.arange(max(1, count - len(own.shingles) + 1))
+        end = np.minimum(begin + len(own.shingles), count)
+        shared = np.minimum(hits[end] - hits[begin], total)
+        bound = shared / (sums[end] - sums[begin] + total - shared)
+        best = None
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < (best[1] if best else threshold) - EPSILON:
+                break
+            a, b = int(begin[i]), int(end[i])
+            alike = similarity(shingles[a:b], weights[a:b], own.shingles, own.weights)
+            if alike >= threshold and (best is None or (alike, -a) > (best[1], -best[0])):
+                best = a, alike
+        return best
 
     def leaks(self, column: pa.Array, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(row, item, first word, distance, similarity): of every row and item the most similar window, if it passes."""
         text = Texts.of(column, self.rolling)
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
         if not self.items or not len(text.shingles):
             return []
+        # Only rows that share enough with the items, without the shingles that reach into the next row.
+        count = np.maximum(0, np.diff(text.first) - SHINGLE_WORDS + 1)
+        sums = np.concatenate([[0], np.cumsum(self._hits(text))])
+        begin = np.minimum(text.first[:-1], len(text.shingles))
+        shared = sums[begin + count] - sums[begin]
+        rows = np.flatnonzero((count > 0) & (shared >= threshold * self.totals.min() - EPSILON))
+        if not len(rows):
+            return []
+        first = np.concatenate([[0], np.cumsum(count[rows])])
+        text = Texts(*(gathered(begin[rows], count[rows], v) for v in (text.shingles, text.weights)), first)
+        sums = np.concatenate([[0], np.cumsum(self._hits(text))])
+
+        nearest: dict[tuple[int, int], int] = {}
+
+        def note(row: np.ndarray, item: np.ndarray, distance: np.ndarray) -> None:
+            for r, i, d in zip(row.tolist(), item.tolist(), distance.tolist()):
+                nearest[r, i] = min(d, nearest.get((r, i), BITS))
+
         longest = max(self.index)
-        last = text.first[1:] - SHINGLE_WORDS + 1
         stretch = max(STRETCH, 2 * longest)
         for start in range(0, len(text.shingles), stretch - longest):
             stop = min(len(text.shingles), start + stretch)
             hasher = SimHasher(text.shingles[start:stop], text.weights[start:stop])
-            for size, (index, owners, shifts) in self.index.items():
-                at, who, distance = index.near(hasher.windows(size))
-                at = at + start
-                rows = np.searchsorted(text.first, at, side="right") - 1
-                inside = at + size <= last[rows]
-                for place, row, mark, far in zip(at[inside], rows[inside], who[inside], distance[inside]):
-                    item = int(owners[mark])
-                    low, high = int(text.first[row]), int(last[row])
-                    begin, alike = self._compare(text, low, high, int(place - shifts[mark]), item)
-                    key = (int(row), item)
-                    if alike >= threshold and (key not in best or (alike, -begin) > (best[key][0], -best[key][1])):
-                        best[key] = alike, begin, int(far)
+            for size, (index, owners, least, reach) in self.index.items():
+                prints = hasher.windows(size)
+                at = start + np.arange(len(prints))
+                row = np.searchsorted(first, at, side="right") - 1
+                around = sums[np.minimum(at + size + reach, len(text.shingles))] - sums[np.maximum(at - reach, 0)]
+                fit = np.flatnonzero((at + size <= first[row + 1]) & (around >= threshold * least - EPSILON))
+                place, who, distance = index.near(prints[fit])
+                note(row[fit[place]], owners[who], distance)
             if stop == len(text.shingles):
                 break
-        return [
-            (row, item, begin - int(text.first[row]), far, alike)
-            for (row, item), (alike, begin, far) in sorted(best.items())
-        ]
+        found = []
+        for (row, item), far in sorted(nearest.items()):
+            best = self._placed(text, int(first[row]), int(first[row + 1]), item, threshold)
+            if best:
+                found.append((int(rows[row]), item, best[0], far, best[1]))
+        return found
 
 
 def benchmark_parts(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[DataFrame]:
@@ -231,8 +283,8 @@ def leaks(
 
     Words are runs without ASCII white space, A-Z lower-cased; shingles have five words and weigh by their letters. A
     document holds an item if a window of the item's size has a weighted Jaccard similarity of at least `similarity` with
-    it and a fingerprint within `radius`; the most similar window counts, of equal ones the first. Texts and items of
-    fewer than five words hold nothing. Items go to the tasks in parts of ITEM_BYTES, each by a pass over the documents.
+    it and a fingerprint of the document is within `radius` of the item's, `distance` at the nearest; the most similar
+    window counts, of equal ones the first. Texts and items of fewer than five words hold nothing. Items go to the tasks in parts of ITEM_BYTES, each by a pass over the documents.
     """
     shape = StructType(
         [docs.schema["doc_id"].__class__("doc_id", docs.schema["doc_id"].dataType)]

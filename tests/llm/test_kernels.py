@@ -383,3 +383,40 @@ def test_fingerprints_do_not_depend_on_how_sums_are_held(monkeypatch):
     assert decontaminate.SimHasher(shingles, weights).windows(7000)[1000] == wanted
     monkeypatch.setattr(decontaminate, "MOST_PLACES", 100)
     assert decontaminate.SimHasher(shingles, weights).windows(7000)[1000] == wanted
+
+
+def plain_leaks(benchmark, text, threshold):
+    """All windows of the items' sizes against the items."""
+    text, found = decontaminate.Texts.of(large([text]), benchmark.rolling), {}
+    for n, item in enumerate(benchmark.items):
+        size = len(item.shingles)
+        for a in range(max(1, len(text.shingles) - size + 1)):
+            b = a + size
+            alike = decontaminate.similarity(text.shingles[a:b], text.weights[a:b], item.shingles, item.weights)
+            if alike >= threshold and alike > found.get(n, (0, 0))[1]:
+                found[n] = a, alike
+    return found
+
+
+def edited_copies(seed, items, around, count):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(1, 12)))
+    out = []
+    for _ in range(count):
+        words = rng.choice(items).split(" ")
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = [word() for _ in range(rng.randint(0, 1))]
+        out.append(" ".join([word() for _ in range(around)] + words + [word() for _ in range(around)]))
+    return out
+
+
+def test_leaks_of_edited_copies_against_brute_force():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(1, 12)))
+    items = [" ".join(word() for _ in range(n)) for n in (15, 19, 24, 30, 38, 47, 58, 59, 59, 59)]
+    benchmark = decontaminate.Benchmark(list(range(len(items))), items)
+    texts = edited_copies(12, items, 15, 400)
+    wanted = {(row, item): w for row, t in enumerate(texts) for item, w in plain_leaks(benchmark, t, 0.8).items()}
+    found = {(row, item): (place, alike) for row, item, place, _, alike in benchmark.leaks(large(texts), 0.8)}
+    assert found == wanted and sum(alike < 0.9 for _, alike in wanted.values()) > 50
