@@ -5,7 +5,8 @@ largest size that fits into it, are its fingerprints; the windows of the documen
 sums of their shingles' bit votes, where enough weight of items' shingles lies around them: a similar window shares that
 much with its item, so none is left out. A fingerprint has eight blocks of 8 bits: two fingerprints within the radius differ
 in at most radius / 7 bits in each of two blocks at least, so tables of all values that near to an item's blocks find every
-fingerprint within the radius. What they find is placed on the document and compared exactly.
+fingerprint within the radius. A document shorter than an item has no window of that size: its whole fingerprint is held
+against the item's. What they find is placed on the document and compared exactly.
 """
 
 from __future__ import annotations
@@ -166,6 +167,8 @@ class Benchmark:
         self.known = np.unique(np.concatenate([t.shingles for t in self.items])) if self.items else np.zeros(0, np.uint64)
         self.marks = np.zeros(1 << (MARKS * len(self.known)).bit_length(), bool)
         self.marks[self.known & np.uint64(len(self.marks) - 1)] = True
+        whole = [SimHasher(t.shingles, t.weights).windows(len(t.shingles))[0] for t in self.items]
+        self.sizes, self.whole = sizes, BlockIndex(np.array(whole, np.uint64), radius) if whole else None
         # Of every window size the fingerprints, their items, the least weight of these and the furthest fingerprint.
         self.index: dict[int, tuple[BlockIndex, np.ndarray, int, int]] = {}
         for k, size in enumerate(self.ladder):
@@ -239,6 +242,14 @@ class Benchmark:
             for r, i, d in zip(row.tolist(), item.tolist(), distance.tolist()):
                 nearest[r, i] = min(d, nearest.get((r, i), BITS))
 
+        short = np.flatnonzero(count[rows] < self.sizes.max())
+        if len(short):
+            runs = [(int(first[r]), int(first[r + 1])) for r in short]
+            prints = [SimHasher(text.shingles[a:b], text.weights[a:b]).windows(b - a)[0] for a, b in runs]
+            place, who, distance = self.whole.near(np.array(prints, np.uint64))
+            less = count[rows[short[place]]] < self.sizes[who]
+            note(short[place[less]], who[less], distance[less])
+
         longest = max(self.index)
         stretch = max(STRETCH, 2 * longest)
         for start in range(0, len(text.shingles), stretch - longest):

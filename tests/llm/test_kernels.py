@@ -420,3 +420,14 @@ def test_leaks_of_edited_copies_against_brute_force():
     wanted = {(row, item): w for row, t in enumerate(texts) for item, w in plain_leaks(benchmark, t, 0.8).items()}
     found = {(row, item): (place, alike) for row, item, place, _, alike in benchmark.leaks(large(texts), 0.8)}
     assert found == wanted and sum(alike < 0.9 for _, alike in wanted.values()) > 50
+
+
+def test_leaks_of_documents_shorter_than_an_item():
+    rng = random.Random(13)
+    items = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n)) for n in (15, 19, 24, 38, 59, 60)]
+    benchmark = decontaminate.Benchmark(list(range(len(items))), items)
+    cut = [t.split(" ")[a : len(t.split(" ")) - b] for t in items for a in range(3) for b in range(3)]
+    texts = [" ".join(words) for words in cut] + [" ".join(items[4].split(" ")[:-8]), " ".join(items[4].split(" ")[:20])]
+    wanted = {(row, item): w for row, t in enumerate(texts) for item, w in plain_leaks(benchmark, t, 0.8).items()}
+    found = {(row, item): (place, alike) for row, item, place, _, alike in benchmark.leaks(large(texts), 0.8)}
+    assert found == wanted and {r for r, _ in found} > {0, 1, 3}
