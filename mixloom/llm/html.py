@@ -151,9 +151,10 @@ def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
 def main_text(page: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
     """The article of a page: its lines in page order, joined by newlines; empty if there is none.
 
-    Every line that is not inside menus, forms and the like gets the ratio of its characters outside links to its tags,
-    plus a bonus inside an article element. Where the ratio reaches the threshold, smoothed and by itself, lies a content
-    region: its whole container belongs to the text. With article elements on the page, other containers do not compete.
+    Every line that is not inside menus, forms and the like gets the ratio of its characters outside links to its tags.
+    The smoothed ratios of the page make the threshold. Where the ratio reaches it, smoothed and by itself, lies a content
+    region: its whole container belongs to the text. A line inside an article element has a bonus on both ratios, which
+    does not raise the threshold for others.
     """
     if not page:
         return ""
@@ -164,15 +165,11 @@ def main_text(page: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     tags = np.array([max(1, n) for _, n, _, _, _ in lines], float)
     container = np.array([c for *_, c, _ in lines])
     article = np.array([a for *_, a in lines])
-    own = size / tags + ARTICLE_BONUS * article
+    own = size / tags
     ratio = smoothed(own, sigma)
     least = min(threshold * ratio.std(), 0.5 * ratio.max())
-    content = (ratio >= least) & (own >= least)
-    if article.any():
-        content &= article
+    content = np.minimum(ratio, own) + ARTICLE_BONUS * article >= least
     chosen = np.isin(container, np.unique(container[content]))
-    if article.any():
-        chosen |= article
     return "\n".join(line[0] for line, keep in zip(lines, chosen) if keep)
 
 

@@ -275,6 +275,17 @@ def test_main_text_edges():
     assert len(html.main_text("<article>" + "<p>word word</p>" * 20_000)) == 20_000 * 10 - 1
 
 
+@pytest.mark.parametrize("box", ['<div class="post">', "<article>", '<div class="entry teaser">'])
+def test_main_text_beside_a_marked_box(box):
+    lines = [f"Paragraph {i} of a text that goes on for quite a while here, without any mark." for i in range(6)]
+    main = f"<div><h1>Head</h1>{''.join(f'<p>{t}</p>' for t in lines)}</div>"
+    links = "".join(f'<li><a href="/{i}">link {i}</a></li>' for i in range(12))
+    teaser = f"{box}<p>Read this next.</p></{box[1:].split()[0].strip('>')}>"
+    for page in (f"<body><ul>{links}</ul>{main}{teaser}</body>", f"<body><ul>{links}</ul>{teaser}{main}</body>"):
+        found = html.main_text(page).split("\n")
+        assert set(found) >= {"Head", *lines} and not any(line.startswith("link") for line in found)
+
+
 # Jaccard
 
 
