@@ -236,20 +236,21 @@ class SetFilter:
 
 
 def needed_sets(docs: DataFrame, text: str, seed: int, reps: DataFrame) -> DataFrame:
-    """(node, n, sketch, features) of the sets of the rows whose doc_id is in `reps` (stored), and of a few others.
+    """(node, n, sketch, features, task) of the sets of the rows whose doc_id is in `reps` (stored), and of a few others.
 
-    The bitmap of these ids is the only thing sent to the tasks, and sets of other rows are not sent back.
+    The bitmap of these ids is the only thing sent to the tasks, and sets of other rows are not sent back. A task gives a
+    set once; `once` keeps one of those that several tasks give.
     """
     wanted = SetFilter(reps.select(F.xxhash64("doc_id").alias("node")), reps.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = ShingleSets(seed)
+        shingles, seen = ShingleSets(seed), set()
         for batch in batches:
             batch = batch.filter(pa.array(wanted.passes(batch.column(1).to_numpy())))
             for start, stop in slices(batch.column(0)):
                 keys, first = shingles(batch.column(0).slice(start, stop - start))
                 node, _ = names(keys, first)
-                rows = np.flatnonzero(np.diff(first) > 0)
+                rows = [r for r in np.flatnonzero(np.diff(first) > 0) if not (node[r] in seen or seen.add(node[r]))]
                 found = [keys[first[r] : first[r + 1]] for r in rows]
                 yield _batch(
                     ["node", "n", "sketch", "features"],
@@ -260,7 +261,17 @@ def needed_sets(docs: DataFrame, text: str, seed: int, reps: DataFrame) -> DataF
                 )
 
     known = docs.where(F.col("doc_id").isNotNull()).select(text, F.xxhash64("doc_id").alias("h"))
-    return known.mapInArrow(run, "node bigint, n bigint, sketch binary, features binary")
+    found = known.mapInArrow(run, "node bigint, n bigint, sketch binary, features binary")
+    return found.withColumn("task", F.spark_partition_id())
+
+
+def once(sets: DataFrame) -> DataFrame:
+    """(node, n, sketch, features) of every node of written sets once: the row of the first task that gave it."""
+    tasks = sets.groupBy("node").agg(F.min("task").alias("first"), F.max("task").alias("last"))
+    several = stored(tasks.where("first <> last").select("node", "first"))
+    if several.limit(1).collect():
+        sets = sets.join(small(several), "node", "left").where("first IS NULL OR task = first").drop("first")
+    return sets.drop("task")
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
@@ -496,10 +507,11 @@ def set_groups(docs: DataFrame, text: str, seed: int, percent: int, reps: DataFr
     shared = Table(shared_signatures(signed), "shared")
     nodes = shared.rows.select("node").distinct()
     sets = Table(needed_sets(docs, text, seed, stored(reps.join(nodes, "node"))), "sets")
+    whole = once(sets.rows)
 
     points = shared.rows.where("node <> partner").groupBy("node", "partner").agg(F.count(F.lit(1)).alias("times"))
     best = stored(points.groupBy("node").agg(F.max_by("partner", F.struct("times", "partner")).alias("partner")))
-    links = stored(verified(best, sets.rows, percent))
+    links = stored(verified(best, whole, percent))
 
     # Signatures are open where a set and the smallest one have no common group yet.
     label = stored(components(links))
@@ -509,19 +521,19 @@ def set_groups(docs: DataFrame, text: str, seed: int, percent: int, reps: DataFr
     split = F.coalesce("own", "node") != F.coalesce("theirs", "partner")
     undecided = stored(seen.where(split).select("signature").distinct())
     open_ = Table(shared.rows.join(small(undecided), "signature", "left_semi"), "open")
-    sizes = stored(sets.rows.select("node", F.octet_length("features").alias("size")).distinct())
+    sizes = stored(whole.select("node", F.octet_length("features").alias("size")))
     keyed = stored(clusters(open_.rows, sizes))
-    alike = tiled(keyed.where("kind = 0").drop("kind"), sets.rows, percent)
+    alike = tiled(keyed.where("kind = 0").drop("kind"), whole, percent)
     apart = keyed.where("kind = 1").drop("kind").join(small(label), "node", "left")
     apart = apart.select("key", "blocks", "node", F.coalesce("component", "node").alias("label"))
-    likely = stored(likely_pairs(apart, sets.rows, percent))
+    likely = stored(likely_pairs(apart, whole, percent))
     # One pair for every two groups first; only where that does not join them, their other pairs.
     between = stored(_between(likely, label))
     one = between.groupBy("x", "y").agg(F.min(F.struct("node", "partner")).alias("p")).select("p.node", "p.partner")
-    joined = stored(verified(stored(one), sets.rows, percent))
+    joined = stored(verified(stored(one), whole, percent))
     again = stored(_labelled(label, between, joined))
     rest = stored(between.join(small(again), ["x", "y"], "left_anti").select("node", "partner"))
-    more = stored(alike.unionByName(joined).unionByName(verified(rest, sets.rows, percent)).distinct())
+    more = stored(alike.unionByName(joined).unionByName(verified(rest, whole, percent)).distinct())
     for table in (shared, sets, open_):
         table.drop()
     return components(links.unionByName(more))

@@ -269,6 +269,22 @@ def test_jaccard_groups_against_brute_force(spark, monkeypatch, seed, apart):
     assert found.count() == len(rows)
 
 
+def test_every_set_is_in_a_tile_once(spark, monkeypatch):
+    """Copies of a set that pass the filter of wanted rows do not fill the tiles."""
+    seen, tiled = [], jaccard.tiled
+
+    def watched(members, sets, percent):
+        seen.append(sets.groupBy("node").count().agg(F.max("count"), F.count("*")).first())
+        return tiled(members, sets, percent)
+
+    monkeypatch.setattr(jaccard, "tiled", watched)
+    texts = dict(enumerate(near_copies(5, 10)))
+    rows = [(i, t) for i, t in texts.items() for _ in range(12)]
+    found = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    assert seen[0][0] == 1 and seen[0][1] > 20
+    assert {tuple(r) for r in found.collect()} == plain_groups(list(texts.items()))
+
+
 def test_jaccard_of_repeated_and_missing_ids(spark):
     rows = [(1, LONG), (1, LONG + " more"), (2, LONG), (None, LONG), (5, None)]
     found = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
