@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from mixloom.llm.arrow import with_columns
 
 STRICT, SOFT = "strict", "soft"
-# Vocabulary: one strict term rejects a url, soft ones from SOFT_LIMIT different terms on. Whole words of host or path;
+# Vocabulary: one strict term rejects a url, soft ones from SOFT_LIMIT different terms on. Whole words anywhere in the url;
 # a term may hold hyphens.
 VOCABULARY = {
     **dict.fromkeys(
@@ -84,7 +84,7 @@ class UrlFilter:
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, int, int]:
         host, path = split_url(url)
         rule, verdict = self.rule(host, path)
-        strict, soft = self.hits((host + path).lower())
+        strict, soft = self.hits((url or "").lower())
         if verdict is None:
             verdict = "block" if strict or len(soft) >= self.soft_limit else "allow"
         return host, path, rule, verdict, len(strict), len(soft)
@@ -100,8 +100,8 @@ def url_verdicts(
     """Add host, path, the rule that fits, the verdict and the numbers of strict and soft terms to every row.
 
     A rule fits its host and all subdomains if the path begins with the rule's path; the longest rule wins. Without a
-    rule the vocabulary decides over host and path: one strict term or `soft_limit` different soft ones block. A null
-    url, or one without `://`, has empty host and path and is allowed.
+    rule the vocabulary decides over the whole url, with query and fragment: one strict term or `soft_limit` different soft
+    ones block. A null url, or one without `://`, has empty host and path, so no rule fits; a null url is allowed.
     """
     rules, vocabulary = tuple(rules), dict(vocabulary)
 

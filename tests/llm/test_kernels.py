@@ -245,6 +245,16 @@ def test_url_vocabulary():
     assert judge(None) == ("", "", None, "allow", 0, 0)
 
 
+def test_url_vocabulary_reads_the_whole_url():
+    judge = urls.UrlFilter(urls.RULES, urls.VOCABULARY, urls.SOFT_LIMIT).judge
+    for url, verdict in {
+        "http://example.org/?q=Casino": "block", "http://example.org/a#casino": "block", "casino.example.org": "block",
+        "http://free.example.org/?x=bonus": "block", "http://example.org/?q=casinotown": "allow",
+        "http://a.org/fr/?q=casino": "allow",
+    }.items():
+        assert judge(url)[3] == verdict, url
+
+
 # Html
 
 
