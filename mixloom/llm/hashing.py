@@ -78,8 +78,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """The longest runs within rows of bytes that are not in `space`."""
+    inside = ~space[data]
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
     before[:1] = False

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from mixloom.cluster import shared_dir
-from mixloom.llm import bpe, chat, decontaminate, html, jaccard, language, quality, tokens, toxicity, urls
+from mixloom.llm import anchors, bpe, chat, decontaminate, divergence, html, jaccard, language, quality, search
+from mixloom.llm import statements, tokens, toxicity, urls
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -76,6 +77,19 @@ def op10_html_extraction(spark, sf):
     return html.extract(table(spark, sf, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op11_simhash_dedup(spark, sf):
+    return anchors.simhash_groups(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op12_ranked_search(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return search.search(docs, table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+def op13_source_divergence(spark, sf):
+    return divergence.divergence(table(spark, sf, "documents").select("lang", "source", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -88,9 +102,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_html_extraction": op10_html_extraction,
+        "op11_simhash_dedup": op11_simhash_dedup,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_ranked_search": statements.SEARCH, "op13_source_divergence": statements.DIVERGENCE}
