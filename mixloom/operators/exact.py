@@ -2,8 +2,11 @@
 
 A pass scores all rows where they lie and brings the best few to the driver with their vectors. Gains only shrink (graph cut:
 grow by at most twice its weight per pick, where cosines are negative), so every further pick whose gain beats the best
-gain that any other row can still have is final: one pass gives many picks. The driver holds the state of the objective,
-the few rows of a pass, and 8 bytes per row picked or refreshed.
+gain that any other row can still have is final: one pass gives many picks. Facility location is in `facility.py`.
+
+Picks are appended to a table in the shared folder, and rows that are picked leave the stored rows from time to time: the
+driver holds the state of the objective, the few rows of a pass and the picks since the last of these times, however
+many picks there are.
 """
 
 from __future__ import annotations
@@ -15,20 +18,49 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.cluster import stored
+from mixloom.cluster import scratch_path, stored
 from mixloom.config import GAIN_DIGITS, GRAPH_CUT_LAMBDA, LOG_DET_LAMBDA
 from mixloom.functions.greedy import unit_rows
-from mixloom.operators.similarity import matrix, positive_sums, unit_vector
+from mixloom.operators.facility import Facility
+from mixloom.operators.similarity import matrix, unit_vector
 
-# Rows that a pass brings to the driver, and picks after which facility location stores what they cover.
+# Rows that a pass brings to the driver, and picks after which they are written and taken out of the rows.
 HEADS = 256
-COVERED_AT = 64
+WRITTEN_AT = 1 << 16
 CANDIDATES = "row_idx bigint, gain double, embedding array<double>"
 
 
+class Picks:
+    """Picks in order, in a table in the shared folder but for the last few."""
+
+    shape = "place bigint, row_idx bigint, gain double"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, scratch_path(spark, "picks")
+        self.open: list[tuple[int, int, float]] = []
+        self.count = 0
+
+    def add(self, row: int, gain: float) -> None:
+        self.open.append((self.count, row, gain))
+        self.count += 1
+
+    def write(self) -> None:
+        frame = self.spark.createDataFrame(self.open, self.shape)
+        frame.coalesce(1).write.mode("append").parquet(self.path)
+        self.open = []
+
+    def append(self, frame: DataFrame) -> None:
+        """Picks that a frame (place, row_idx, gain) holds, after all others."""
+        frame.write.mode("append").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        self.write()
+        return self.spark.read.schema(self.shape).parquet(self.path)
+
+
 def _heads(rows: DataFrame, columns: list[str], score, heads: int) -> list:
     """The rows with the highest scores, ties by row_idx; each task sends `heads` at most."""
 
@@ -63,6 +95,17 @@ def _first(table: pa.Table, count: int) -> pa.Table:
     return table.take(pa.array(np.lexsort((table["row_idx"].to_numpy(), -gains))[:count]))
 
 
+def without(rows: DataFrame, taken: np.ndarray) -> DataFrame:
+    """The rows whose row_idx is not in the sorted `taken`, filtered where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("row_idx")).to_numpy()
+            yield batch.filter(pa.array(~np.isin(ids, taken)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 class _Scored:
     """Objectives whose gain is a function of the row and a small state: many picks per pass."""
 
@@ -71,10 +114,15 @@ class _Scored:
     def __init__(self, rows: DataFrame):
         self.rows = rows
 
-    def picks(self, count: int, heads: int) -> list[tuple[int, float]]:
-        out: list[tuple[int, float]] = []
-        while len(out) < count:
-            score, taken = self.score(), np.sort(np.array([i for i, _ in out], np.int64))
+    def picks(self, count: int, heads: int) -> DataFrame:
+        out = Picks(self.rows.sparkSession)
+        while out.count < count:
+            # Picked rows have no part in later gains.
+            taken = np.sort(np.array([i for _, i, _ in out.open], np.int64))
+            if len(taken) >= WRITTEN_AT:
+                self.rows, taken = stored(without(self.rows, taken)), taken[:0]
+                out.write()
+            score = self.score()
 
             def open_gains(table, ids, score=score, taken=taken):
                 gains = score(unit_rows(matrix(table["embedding"], table["row_idx"])))
@@ -91,12 +139,12 @@ class _Scored:
                 j = min(np.flatnonzero(gains == gains.max()), key=lambda i: ids[i])
                 if step and gains[j] <= round(others + self.slack * step, GAIN_DIGITS) + 10.0**-GAIN_DIGITS:
                     break
-                out.append((ids[j], float(self.score()(x[j : j + 1])[0])))
+                out.add(ids[j], float(self.score()(x[j : j + 1])[0]))
                 free[j] = False
                 self.add(x[j])
-                if len(out) == count:
+                if out.count == count:
                     break
-        return out
+        return out.rows()
 
 
 class _GraphCut(_Scored):
@@ -129,98 +177,18 @@ class _LogDet(_Scored):
         self.inverse = self.inverse - np.outer(u, u) / (1.0 + x @ u)
 
 
-class _Facility:
-    """Lazy greedy: first gains from the block grid, and gains of earlier picks' rounds, bound later ones from above."""
-
+class _FacilityLocation:
     def __init__(self, rows: DataFrame):
-        first = positive_sums(rows.withColumn("_all", F.lit(0)), ["_all"])
-        bounds = rows.join(first.select("row_idx", F.col("positive_sum").alias("bound")), "row_idx")
-        self.rows = stored(bounds.select("row_idx", "embedding", "bound", F.lit(0.0).alias("covered")))
-        self.recent: list[np.ndarray] = []
-        self.known: dict[int, float] = {}
-
-    def picks(self, count: int, heads: int) -> list[tuple[int, float]]:
-        out: list[tuple[int, float]] = []
-        while len(out) < count:
-            best = self._best(np.sort(np.array([i for i, _ in out], np.int64)), heads)
-            if best is None:
-                break
-            row, gain, vector = best
-            out.append((row, gain))
-            self._add(unit_rows(np.array([vector]))[0])
-        return out
-
-    def _best(self, taken: np.ndarray, heads: int):
-        """Refresh the highest bounds until the best fresh gain beats all that are left."""
-        fresh: dict[int, tuple[float, list[float]]] = {}
-        while True:
-            ids = np.array(sorted(self.known), np.int64)
-            gains = np.array([self.known[i] for i in ids.tolist()])
-            out = np.sort(np.concatenate([taken, np.array(list(fresh), np.int64)]))
-
-            def bounds(table, rows, ids=ids, gains=gains, out=out):
-                bound = table["bound"].to_numpy().copy()
-                if len(ids):
-                    at = np.minimum(np.searchsorted(ids, rows), len(ids) - 1)
-                    bound = np.where(ids[at] == rows, gains[at], bound)
-                return np.where(np.isin(rows, out), -np.inf, bound)
-
-            found = _heads(self.rows, ["row_idx", "embedding", "bound"], bounds, heads)
-            floor = max((round(g, GAIN_DIGITS) for g, _ in fresh.values()), default=-math.inf)
-            found = [r for r in found if round(r["gain"], GAIN_DIGITS) >= floor - 2 * 10.0**-GAIN_DIGITS]
-            if not found:
-                break
-            for r, gain in zip(found, self._gains(np.array([r["embedding"] for r in found]))):
-                fresh[r["row_idx"]] = gain, r["embedding"]
-                self.known[r["row_idx"]] = gain
-        if not fresh:
-            return None
-        row = min(fresh, key=lambda i: (-round(fresh[i][0], GAIN_DIGITS), i))
-        return row, float(fresh[row][0]), fresh[row][1]
-
-    def _covered(self):
-        recent = np.array(self.recent)
-
-        def covered(table: pa.Table, x: np.ndarray) -> np.ndarray:
-            known = table["covered"].to_numpy()
-            return np.maximum(known, (x @ recent.T).max(axis=1)) if len(recent) else known
-
-        return covered
-
-    def _gains(self, candidates: np.ndarray) -> list[float]:
-        ahead, covered = unit_rows(candidates), self._covered()
-
-        def partial(batches):
-            total = np.zeros(len(ahead))
-            for batch in batches:
-                if batch.num_rows:
-                    table = pa.Table.from_batches([batch])
-                    x = unit_rows(matrix(table["embedding"], table["row_idx"]))
-                    total += np.maximum(x @ ahead.T - covered(table, x)[:, None], 0.0).sum(axis=0)
-            yield pa.record_batch({"c": pa.array(range(len(ahead)), pa.int32()), "g": pa.array(total)})
-
-        parts = self.rows.select("row_idx", "embedding", "covered").mapInArrow(partial, "c int, g double")
-        return [r["g"] for r in parts.groupBy("c").agg(F.sum("g").alias("g")).orderBy("c").collect()]
-
-    def _add(self, x: np.ndarray) -> None:
-        self.recent.append(x)
-        if len(self.recent) < COVERED_AT:
-            return
-        covered, schema = self._covered(), self.rows.schema
-
-        def update(batches):
-            for batch in batches:
-                table = pa.Table.from_batches([batch])
-                if batch.num_rows:
-                    value = covered(table, unit_rows(matrix(table["embedding"], table["row_idx"])))
-                    table = table.set_column(table.schema.get_field_index("covered"), "covered", pa.array(value))
-                yield from table.to_batches()
-
-        self.rows = stored(self.rows.mapInArrow(update, schema))
-        self.recent = []
-
-
-def exact_picks(rows: DataFrame, objective: str, count: int, heads: int = HEADS) -> list[tuple[int, float]]:
-    """(row_idx, gain) of the first `count` picks of a stored (row_idx, embedding); ties go to the lower row_idx."""
+        self.facility = Facility(rows)
+
+    def picks(self, count: int, heads: int) -> DataFrame:
+        return self.facility.picks(count, Picks(self.facility.rows.sparkSession))
+
+
+def exact_picks(rows: DataFrame, objective: str, count: int, heads: int = HEADS) -> DataFrame:
+    """(place, row_idx, gain) of the first `count` picks of a stored (row_idx, embedding), places from 0.
+
+    Ties go to the lower row_idx. `count` must not exceed the rows. Facility location brings rows per block instead of `heads`.
+    """
     rows = rows.select("row_idx", F.col("embedding").cast("array<double>").alias("embedding"))
-    return {"gc": _GraphCut, "logdet": _LogDet, "fl": _Facility}[objective](rows).picks(count, heads)
+    return {"gc": _GraphCut, "logdet": _LogDet, "fl": _FacilityLocation}[objective](rows).picks(count, heads)

@@ -80,9 +80,8 @@ def _order_exactly(
         own = stored(rows.where(same).select("row_idx", "embedding", "quota"))
         count, quota = own.agg(F.count(F.lit(1)), F.max("quota")).head()
         picks = exact_picks(own, objective, min(count, quota or count))
-        ranked = [(*group, rank, row, gain) for rank, (row, gain) in enumerate(picks, 1)]
-        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in GROUP_KEY)
-        parts.append(rows.sparkSession.createDataFrame(ranked, f"{kinds}, rank bigint, row_idx bigint, gain double"))
+        names = [F.lit(group[c]).cast(rows.schema[c].dataType).alias(c) for c in GROUP_KEY]
+        parts.append(picks.select(*names, (F.col("place") + 1).alias("rank"), "row_idx", "gain"))
     if hot:
         out = rows.sparkSession.createDataFrame(hot, ", ".join(f"{c} string" for c in GROUP_KEY))
         within = within.join(small(out, len(hot)), list(GROUP_KEY), "left_anti")

@@ -69,6 +69,5 @@ def picks_by_jobs(vectors: DataFrame, objective: str, num_tasks: int) -> DataFra
     order = ["submixture_ord", "submixture", "first_row", "task_name"]
     rows = stored(range_positions(vectors.select(*order, "embedding"), [], order, "row_idx"))
     picks = exact_picks(rows, objective, num_tasks)
-    numbered = [(pick, row, gain) for pick, (row, gain) in enumerate(picks, 1)]
-    found = vectors.sparkSession.createDataFrame(numbered, "pick int, row_idx bigint, gain double")
-    return rows.join(small(found, len(picks)), "row_idx").select("pick", *TASK_KEY, "gain")
+    found = picks.select((F.col("place") + 1).cast("int").alias("pick"), "row_idx", "gain")
+    return rows.join(small(found, num_tasks), "row_idx").select("pick", *TASK_KEY, "gain")

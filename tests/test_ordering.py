@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
+from mixloom import cluster
 from mixloom.config import GROUP_KEY
 from mixloom.functions.greedy import greedy
-from mixloom.operators import exact, ordering, similarity, tasks
+from mixloom.operators import exact, facility, ordering, similarity, tasks
 
 SCHEMA = (
     "submixture string, task_name string, template_type string, row_idx bigint, embedding array<float>"
@@ -134,17 +135,19 @@ def test_too_many_tasks(profile):
 @pytest.mark.parametrize("objective", ["fl", "gc", "logdet"])
 @pytest.mark.parametrize("heads", [3, 64])
 def test_distributed_order_is_the_order_of_one_task(spark, objective, heads, monkeypatch):
-    """Ties (equal and zero vectors) included, few and many picks per pass, coverage stored in between."""
+    """Ties (equal and zero vectors) included, few and many picks per pass, picks written in between."""
     rng = np.random.default_rng(11)
     x = rng.normal(size=(40, 5))
     x[7], x[20], x[30] = x[3], x[3], 0.0
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_idx bigint, embedding array<double>")
-    monkeypatch.setattr(exact, "COVERED_AT", 4)
-    count = 12 if objective == "fl" else 40
-    places, gains = greedy(x, objective, count)
-    found = exact.exact_picks(df.repartition(3), objective, count, heads)
-    assert [i for i, _ in found] == places.tolist()
-    assert np.allclose([g for _, g in found], gains, atol=1e-8)
+    monkeypatch.setattr(exact, "WRITTEN_AT", 9)
+    monkeypatch.setattr(facility, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(facility, "HEADS", heads)
+    monkeypatch.setattr(facility, "BROUGHT", 1 + heads // 32)
+    places, gains = greedy(x, objective, 40)
+    found = exact.exact_picks(df.repartition(3), objective, 40, heads).orderBy("place").collect()
+    assert [r["row_idx"] for r in found] == places.tolist()
+    assert np.allclose([r["gain"] for r in found], gains, atol=1e-8)
 
 
 def test_size_decides_no_result(spark):
@@ -157,3 +160,34 @@ def test_size_decides_no_result(spark):
         one, apart = (ordering.order_instances(df, "gc", one_task_rows=n, **kw).collect() for n in (1000, 20))
         key = lambda r: (r["task_name"], r["rank"], r["row_idx"], round(r["gain"], 8))
         assert sorted(map(key, one)) == sorted(map(key, apart)) and len(one) == (90 if not kw else 35)
+
+
+def test_facility_location_commits_many_picks_per_cycle(spark):
+    """Clustered rows: disjoint picks are committed together, and are those of the one-task greedy."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 24))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = centres[rng.integers(0, 12, 900)] + 0.3 * rng.normal(size=(900, 24)) / np.sqrt(24)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_idx bigint, embedding array<double>")
+    places, gains = greedy(x, "fl", 150)
+    run = facility.Facility(cluster.stored(df.repartition(4)))
+    found = run.picks(150, exact.Picks(spark)).orderBy("place").collect()
+    assert [r["row_idx"] for r in found] == places.tolist()
+    assert np.allclose([r["gain"] for r in found], gains, atol=1e-8)
+    assert run.cycles < 40
+    assert all(len(getattr(run, name)) <= facility.BLOCKS for name in ("centres", "radius"))
+
+
+def test_picks_leave_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(exact, "WRITTEN_AT", 16)
+    held = []
+    add = exact.Picks.add
+    monkeypatch.setattr(exact.Picks, "add", lambda self, *a: (add(self, *a), held.append(len(self.open)))[0])
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_idx bigint, embedding array<double>")
+    for objective in ("gc", "logdet"):
+        places, _ = greedy(x, objective, 120)
+        found = exact.exact_picks(df, objective, 120, 8).orderBy("place").collect()
+        assert [r["row_idx"] for r in found] == places.tolist()
+    assert max(held) < 16 + 8
