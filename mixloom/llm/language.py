@@ -38,6 +38,8 @@ TRAIN_ROWS = 600
 LEAST_SCORE = 0.4
 # Training: passes and regularisation of the machines, and the steepness of votes.
 PASSES = 12
+# Rows whose counts are dense at a time.
+BLOCK_ROWS = 64
 REGULARISATION = 1e-4
 STEEPNESS = 6.0
 
@@ -60,6 +62,12 @@ class NgramHasher:
         return np.array([bool(t) and any(map(str.isalpha, t)) for t in column.to_pylist()], bool)
 
     def __call__(self, column: pa.Array) -> np.ndarray:
+        out = np.zeros((len(column), self.buckets), np.float32)
+        for start in range(0, len(column), BLOCK_ROWS):
+            out[start : start + BLOCK_ROWS] = self._block(column.slice(start, BLOCK_ROWS))
+        return out
+
+    def _block(self, column: pa.Array) -> np.ndarray:
         lowered = pa.array([(t or "").lower() for t in column.to_pylist()], pa.large_string())
         data, offsets = strings(lowered)
         rows = len(lowered)
