@@ -29,7 +29,8 @@ def violations(
 ) -> DataFrame:
     """(rule, violations) of the instances under the settings.
 
-    Nulls of `not_null` and of those `contents` that there are, vectors of another width than most wide ones, and rows
+    Nulls of `not_null` and of those `contents` that there are, vectors of another width than most wide ones or with a value
+    that is null, infinite or not a number, and rows
     whose (submixture, row_idx) an earlier row has. Tasks and row keys are counted exactly by group-bys with partial
     aggregation, then summed up.
     """
@@ -41,6 +42,8 @@ def violations(
         widths = df.where(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("width")).count()
         odd = F.coalesce(F.sum("count") - F.max("count"), F.lit(0)).alias("ragged_embedding")
         parts.append(widths.agg(odd))
+        odd = F.exists(F.col("embedding"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
+        parts.append(df.agg(F.count_if(odd).alias("not_finite_embedding")))
     keys = df.groupBy(*ROW_KEY).agg((F.count(F.lit(1)) - 1).alias("more"))
     parts.append(keys.agg(F.coalesce(F.sum("more"), F.lit(0)).alias("repeated_row")))
     known = known_templates(df.select(*TASK_KEY, "template_type")).groupBy(*TASK_KEY).count()

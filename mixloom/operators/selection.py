@@ -6,20 +6,60 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from mixloom.cluster import small, stored
+from mixloom.cluster import BROADCAST_ROWS, small, stored
 from mixloom.config import GROUP_KEY, ROW_KEY, SHUFFLE_SEED
-from mixloom.functions.columns import seeded_digest
+from mixloom.functions.columns import seeded_digest, whole
 from mixloom.operators.prepare import as_pairs, known_templates, strip_metadata
 from mixloom.operators.ranking import digest_bucket, positions
 
 
+# Row numbers of a bitmap, its bytes, and bytes of all bitmaps that may be broadcast.
+BITMAP_ROWS = 32_768
+BITMAP_BYTES = BITMAP_ROWS // 8
+BITMAPS_LIMIT = 64 << 20
+
+
+def row_bitmaps(keys: DataFrame) -> DataFrame:
+    """(submixture, _part, _bits): per 32,768 row numbers of a submixture the bitmap of those that `keys` holds."""
+    rows = keys.select("submixture", F.col("row_idx").cast("bigint").alias("row_idx"))
+    bit = F.pmod("row_idx", F.lit(BITMAP_ROWS))
+    part = whole(F.col("row_idx") - bit, BITMAP_ROWS)
+    return rows.groupBy("submixture", part.alias("_part")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+
+
+def only_picked(df: DataFrame, keys: DataFrame, limit: int = BITMAPS_LIMIT) -> DataFrame:
+    """Rows of `df` whose key is in `keys`, filtered where they are scanned, by bitmaps of the row numbers.
+
+    The bitmaps are stored and counted; above `limit` bytes of them `df` is returned as it is, so an exact join must follow.
+    """
+    bitmaps = stored(row_bitmaps(keys))
+    if bitmaps.count() * BITMAP_BYTES > limit:
+        return df
+    row = F.col("row_idx").cast("bigint")
+    bit = F.pmod(row, F.lit(BITMAP_ROWS))
+    bitmaps = bitmaps.withColumnRenamed("submixture", "_of")
+    same = (F.col("submixture") == F.col("_of")) & (whole(row - bit, BITMAP_ROWS) == F.col("_part"))
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, CAST(pmod(CAST(row_idx AS BIGINT), {BITMAP_ROWS}) div 8 AS INT) + 1, 1)")), 16, 10)
+    held = F.getbit(byte.cast("int"), F.pmod(bit, F.lit(8)).cast("int")) == 1
+    return df.join(F.broadcast(bitmaps), same).where(held).select(df.columns)
+
+
+def _joined(df: DataFrame, keys: DataFrame, bound: int | None, how: str = "inner") -> DataFrame:
+    """Join with stored keys; where they are too many for a broadcast, only rows that have one are shuffled."""
+    count = keys.count() if bound is None else bound
+    if count > BROADCAST_ROWS:
+        df = only_picked(df, keys)
+    return df.join(small(keys, count), list(ROW_KEY), how)
+
+
 def select_rows(df: DataFrame, picks: DataFrame, picks_bound: int | None = None) -> DataFrame:
     """Rows of `df` whose (submixture, row_idx) is picked. Without a bound the picks are stored, to be counted once made."""
     keys = picks.select(*ROW_KEY)
-    if picks_bound is None:
+    if picks_bound is None or picks_bound > BROADCAST_ROWS:
         keys = stored(keys)
-    return df.join(small(keys, picks_bound), list(ROW_KEY), "left_semi")
+    return _joined(df, keys, picks_bound, "left_semi")
 
 
 def select_subset(
@@ -54,7 +94,9 @@ def train_split(
 ) -> DataFrame:
     """(pos, prompt, response, ...) of the picked rows; `picks` is a stored frame of row keys."""
     placed = shuffle(picks.select(*ROW_KEY), seed)
-    rows = instances.join(small(placed, picks_bound), list(ROW_KEY))
+    if picks_bound is None or picks_bound > BROADCAST_ROWS:
+        placed = stored(placed)
+    rows = _joined(instances, placed, picks_bound)
     return as_pairs(strip_metadata(rows)).drop("embedding")
 
 

@@ -28,7 +28,8 @@ BLOCK_ROWS = 2048
 def matrix(column: pa.ChunkedArray, rows: pa.ChunkedArray | None = None) -> np.ndarray:
     """A list column of equal lengths as a 2-d array; `rows` names the rows in errors.
 
-    A null vector, a null inside one or a length of its own is an error: flattened, it would shift all rows after it.
+    A null vector, a null inside one or a length of its own is an error: flattened, it would shift all rows after it. So is a
+    value that is infinite or not a number, which has no place in an order of gains.
     """
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -42,7 +43,14 @@ def matrix(column: pa.ChunkedArray, rows: pa.ChunkedArray | None = None) -> np.n
     if len(odd):
         named = [rows[int(i)].as_py() if rows is not None else int(i) for i in odd[:5]]
         raise ValueError(f"embeddings must be whole vectors of one width; {len(odd)} are not, e.g. of rows {named}")
-    return flat.to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    made = flat.to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    # A sum is finite only if all of its values are.
+    odd = np.flatnonzero(~np.isfinite(made.sum(axis=1, dtype=np.float64)))
+    odd = odd[~np.isfinite(made[odd]).all(axis=1)]
+    if len(odd):
+        named = [rows[int(i)].as_py() if rows is not None else int(i) for i in odd[:5]]
+        raise ValueError(f"embeddings must be finite; {len(odd)} are not, e.g. of rows {named}")
+    return made
 
 
 def _grid(df: DataFrame, keys: list[str], block: Column, blocks: Column, carry: list[str]):

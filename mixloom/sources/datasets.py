@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mixloom.cluster import small, stored
 from mixloom.operators.checks import PAIR_COLUMNS, require_columns
-from mixloom.operators.ranking import index_bucket, positions
+from mixloom.operators.ranking import PLACE_BITS
 from mixloom.operators.selection import assemble
 
 
@@ -18,10 +18,10 @@ def load_submixtures(
 ) -> DataFrame:
     """Read each named source, keep one split of it, tag its rows with the name.
 
-    Parquet rows without a `row_idx` get their position among the rows kept: files in name order, rows in file order.
-    Where files are kept or left whole (split folders, or no split) that needs row counts per file only. Where `split` is
-    a column inside the files, positions are worked out on narrow keys and joined to the rows. Other formats have no
-    row order; bring a `row_idx` or number the rows with `with_row_idx`.
+    Parquet rows without a `row_idx` get their position among the rows kept: files in name order, rows in file order. A scan of
+    narrow columns counts the kept rows of every piece of a file that a task reads; what lies before a piece is broadcast,
+    and a row's place in it is a running count in its task, so no row is shuffled. Other formats have no row order; bring a
+    `row_idx` or number the rows with `with_row_idx`.
     """
     sources = {name: spark.read.format(fmt).load(path) for name, path in paths.items()}
     kept = F.lit(True) if split is None else F.col("split") == split
@@ -31,30 +31,28 @@ def load_submixtures(
             for name, rows in sources.items()
         )
     located = assemble(
-        rows.select(
+        rows.where(kept).select(
             F.lit(name).alias("submixture"),
             *(c for c in rows.columns if c != "split" or split is None),
             F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.row_index").alias("_row"),
-            F.coalesce(kept, F.lit(False)).alias("_kept"),
+            F.col("_metadata.file_block_start").alias("_piece"),
+            F.monotonically_increasing_id().alias("_id"),
         )
         for name, rows in sources.items()
     )
-    before = Window.partitionBy("submixture").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = stored(
-        located.groupBy("submixture", "_file")
-        .agg(F.count(F.lit(1)).alias("_all"), F.count_if("_kept").alias("_rows"))
-        .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    piece = ["submixture", "_file", "_piece"]
+    before = Window.partitionBy("submixture").orderBy("_file", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = stored(
+        located.groupBy(*piece)
+        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .select(*piece, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
-    cut = files.where("_rows > 0 AND _rows < _all").limit(1).count()
-    rows = located.where("_kept").drop("_kept")
-    if not cut:
-        placed = rows.join(small(files.select("submixture", "_file", "_start")), ["submixture", "_file"])
-        return placed.withColumn("row_idx", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
-    keys = rows.select("submixture", "_file", "_row")
-    bucket = F.struct("_file", index_bucket("_row").alias("b"))
-    numbers = positions(keys, ["submixture"], bucket, ["_file", "_row"], "row_idx")
-    return rows.join(numbers, ["submixture", "_file", "_row"]).drop("_file", "_row")
+    placed = located.join(small(pieces), piece)
+    # Both scans must deal the pieces over tasks alike, as they do under the same settings.
+    alike = F.shiftright("_id", PLACE_BITS) == F.shiftright("_first", PLACE_BITS)
+    number = F.when(alike, F.col("_start") + F.col("_id") - F.col("_first"))
+    number = F.coalesce(number, F.raise_error(F.lit("files were read in other pieces than they were counted")).cast("bigint"))
+    return placed.withColumn("row_idx", number).drop("_file", "_piece", "_id", "_first", "_start")
 
 
 def load_instruction_dataset(

@@ -386,6 +386,7 @@ UNION ALL SELECT 'null_inputs', count(*) FILTER (inputs IS NULL) FROM inst
 UNION ALL SELECT 'null_targets', count(*) FILTER (targets IS NULL) FROM inst
 UNION ALL SELECT 'null_embedding', count(*) FILTER (embedding IS NULL) FROM inst
 UNION ALL SELECT 'ragged_embedding', coalesce(sum(n) - max(n), 0)::BIGINT FROM (SELECT len(embedding) AS w, count(*) AS n FROM inst WHERE embedding IS NOT NULL GROUP BY w)
+UNION ALL SELECT 'not_finite_embedding', count(*) FILTER (list_bool_or([v IS NULL OR NOT isfinite(v) FOR v IN embedding])) FROM inst
 UNION ALL SELECT 'repeated_row', count(*) - count(DISTINCT (submixture, row_idx)) FROM inst
 UNION ALL SELECT 'num_tasks', CAST(count(DISTINCT ({TASK})) <= 10 AS BIGINT) FROM known
 UNION ALL SELECT 'num_instances', CAST(count(*) < {ROWS} AS BIGINT) FROM known""",
