@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from mixloom.config import GROUP_KEY, SUBMIXTURES, MixtureConfig
 
@@ -27,20 +29,52 @@ def _missing(rows: DataFrame | None, submixtures: Sequence[str]) -> set[str]:
     return set(submixtures) - {r["submixture"] for r in wanted.distinct().collect()}
 
 
+MANIFEST = "submixture string, rows bigint, inputs string, shape string"
+
+
+def fingerprint(df: DataFrame) -> str:
+    """What a frame holds, whatever its order and partitioning: its columns, its rows and the sum of their hashes."""
+    hashed = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+    rows, total = df.agg(F.count(F.lit(1)), hashed).head()
+    return f"{','.join(sorted(df.columns))}:{rows}:{total or 0}"
+
+
+def _manifest(spark: SparkSession, path: str) -> list:
+    try:
+        return spark.read.schema(MANIFEST).parquet(path).collect()
+    except AnalysisException:
+        return []
+
+
 def stage(
     spark: SparkSession,
     name: str,
     build: Callable[[], DataFrame],
     root: str,
     submixtures: Sequence[str] = SUBMIXTURES,
+    inputs: str = "",
 ) -> DataFrame:
-    """The stage's artifact if it covers all submixtures, else `build()`, written first."""
-    path = f"{root}/{name}"
-    done = _existing(spark, path)
-    if _missing(done, submixtures):
-        build().write.mode("overwrite").partitionBy("submixture").parquet(path)
-        done = _existing(spark, path)
-    return done
+    """The stage's artifact if it is complete and was made from the same inputs, else `build()`, written first.
+
+    A manifest names all submixtures, empty ones too, with their rows, what the inputs were (`inputs`, e.g. of `fingerprint`) and
+    the columns. It is emptied before the artifact is written and filled after, so an interrupted stage is built again. Where
+    nothing is known of the inputs, a submixture without rows counts as missing.
+    """
+    path, listed = f"{root}/{name}", f"{root}/{name}.manifest"
+    manifest = _manifest(spark, listed)
+    known = {r["submixture"] for r in manifest if r["rows"] or inputs}
+    if set(submixtures) - known or any(r["inputs"] != inputs for r in manifest):
+        spark.createDataFrame([], MANIFEST).write.mode("overwrite").parquet(listed)
+        made = build()
+        made.write.mode("overwrite").partitionBy("submixture").parquet(path)
+        shape = StructType([*(f for f in made.schema if f.name != "submixture"), StructField("submixture", StringType())])
+        done = spark.read.schema(shape).parquet(path)
+        rows = {r["submixture"]: r["count"] for r in done.groupBy("submixture").count().collect()}
+        names = sorted({*submixtures, *rows})
+        manifest = [Row(submixture=s, rows=rows.get(s, 0), inputs=inputs, shape=shape.json()) for s in names]
+        spark.createDataFrame(manifest, MANIFEST).coalesce(1).write.mode("overwrite").parquet(listed)
+    shape = StructType.fromJson(json.loads(manifest[0]["shape"]))
+    return spark.read.schema(shape).parquet(path)
 
 
 def write_ordering(ordering: DataFrame, objective: str, root: str) -> str:

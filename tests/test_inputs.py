@@ -1,14 +1,18 @@
 """Inputs that must fail or be numbered right: null and ragged vectors, split columns, mixed settings, folders."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mixloom import MixtureConfig, cluster
-from mixloom.operators import checks, similarity
+from mixloom.operators import checks, exact, selection, similarity
 from mixloom.plans import mixture
-from mixloom.sources import datasets
+from mixloom.sources import artifacts, datasets
 
 
 def lists(rows):
@@ -103,3 +107,93 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         cluster.shared_dir(Session())
+
+
+def test_values_that_are_no_numbers_are_named(spark, instances):
+    for value in ("NaN", "Infinity"):
+        wrong = F.array(*[F.lit(float(value))] * 4)
+        odd = instances.withColumn("embedding", F.when(F.col("row_idx") == 3, wrong).otherwise(F.col("embedding")))
+        rules = {r["rule"]: r["violations"] for r in checks.violations(odd, MixtureConfig(4, 30)).collect()}
+        assert rules["not_finite_embedding"] == 1
+    x = pa.chunked_array([pa.array([[1.0, 2.0], [float("nan"), 1.0], [1.0, float("inf")]])])
+    with pytest.raises(ValueError, match=r"finite; 2 are not.*\[8, 9\]"):
+        similarity.matrix(x, pa.chunked_array([pa.array([7, 8, 9])]))
+    rows = spark.createDataFrame([(i, [1.0, float(i) if i != 4 else float("nan")]) for i in range(6)], "row_idx bigint, embedding array<double>")
+    with pytest.raises(Exception, match="finite"):
+        exact.exact_picks(rows, "gc", 6).collect()
+
+
+def test_split_columns_are_numbered_without_a_text_shuffle(spark, tmp_path):
+    rows = spark.range(5000).select(
+        F.col("id").alias("doc"), F.md5(F.col("id").cast("string")).alias("inputs"), F.when(F.col("id") % 7 == 0, "b").otherwise("a").alias("split")
+    )
+    rows.repartitionByRange(3, "doc").sortWithinPartitions("doc").write.option("parquet.block.size", 20_000).parquet(f"{tmp_path}/x")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        loaded = datasets.load_submixtures(spark, {"x": f"{tmp_path}/x"}, split="a")
+        plan = loaded._jdf.queryExecution().executedPlan().toString()
+        got = {r["doc"]: r["row_idx"] for r in loaded.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = [i for i in range(5000) if i % 7]
+    assert got == {doc: place for place, doc in enumerate(wanted)}
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_many_picks_are_filtered_at_the_scan(spark, monkeypatch):
+    rows = spark.range(-200, 90_000).select(
+        (F.when(F.col("id") % 2 == 0, "s").otherwise("t")).alias("submixture"), F.col("id").alias("row_idx"), F.md5(F.col("id").cast("string")).alias("inputs"),
+        F.lit("y").alias("targets"),
+    )
+    picks = rows.where(F.pmod(F.xxhash64("row_idx"), F.lit(50)) == 0).select("submixture", "row_idx")
+    wanted = sorted(map(tuple, picks.collect()))
+    monkeypatch.setattr(selection, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(cluster.small, "__defaults__", (None, 10))
+    for limit in (selection.BITMAPS_LIMIT, 1000):
+        monkeypatch.setattr(selection.only_picked, "__defaults__", (limit,))
+        found = selection.select_rows(rows, picks)
+        assert sorted((r["submixture"], r["row_idx"]) for r in found.collect()) == wanted
+        train = selection.train_split(rows, picks, picks_bound=2_000_000)
+        assert sorted((r["submixture"], r["row_idx"]) for r in train.collect()) == wanted
+        plan = train._jdf.queryExecution().executedPlan().toString()
+        assert ("getbit" in plan.lower() or "bit_get" in plan.lower()) == (limit > 1000)
+    same = selection.only_picked(rows, picks, selection.BITMAPS_LIMIT)
+    assert sorted((r["submixture"], r["row_idx"]) for r in same.collect()) == wanted
+
+
+def test_stages_are_reused_only_when_complete(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "submixture string, n bigint")
+    calls = []
+
+    def build(frame=rows):
+        calls.append(1)
+        return frame
+
+    def run(inputs="1", frame=rows, names=("a", "b", "none")):
+        made = artifacts.stage(spark, "st", lambda: build(frame), str(tmp_path), names, inputs)
+        return sorted((r["submixture"], r["n"]) for r in made.collect())
+
+    assert run() == run() == [("a", 1), ("a", 2), ("b", 3)] and len(calls) == 1
+    assert run(inputs="2") and len(calls) == 2
+    assert run(inputs="2", names=("a", "new")) and len(calls) == 3
+
+    def broken():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        artifacts.stage(spark, "st", broken, str(tmp_path), ("a",), "3")
+    assert run(inputs="2", names=("a",)) and len(calls) == 4  # an interrupted stage is not complete
+    assert run(inputs="4", frame=rows.limit(0)) == run(inputs="4") == [] and len(calls) == 5
+    one, two = (artifacts.fingerprint(f) for f in (rows, rows.repartition(3)))
+    assert one == two != artifacts.fingerprint(rows.where("n < 3"))
+
+
+def test_queries_remain_without_optional_libraries():
+    code = (
+        "import sys, warnings; warnings.simplefilter('ignore')\n"
+        "for name in ('ahocorasick', 'public_tokenizers', 'xxhash'): sys.modules[name] = None\n"
+        "import __spark_entry__ as e; print(len(e.queries()), e.llm)"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0 and said.stdout.split()[-1] == "None" and int(said.stdout.split()[0]) >= 89, said.stderr
