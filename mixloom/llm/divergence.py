@@ -32,7 +32,7 @@ TOP_TERMS = 10
 # Prefix bytes of the passes before the last one.
 LEVELS = (4, 8)
 # Rows that a task holds before it adds them up, and after that before it sends them on.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 19
 # Cells of a block of terms, and sources of a side of a tile.
 BLOCK_CELLS = 100_000
 TILE_SOURCES = 256
@@ -134,34 +134,36 @@ def prefix_documents(docs: DataFrame, size: int, passing: Passing) -> DataFrame:
 
 def term_counts(docs: DataFrame, passing: Passing) -> DataFrame:
     """(lang, source, term, docs, times): documents that hold a passing term, and how often it occurs in them."""
-    names = ["lang", "source", "term", "docs", "times"]
+    keys, names = ["group", "term"], ["group", "term", "docs", "times"]
 
     def merged(parts: list[pa.Table]) -> pa.Table:
-        whole = pa.concat_tables(parts).group_by(names[:3]).aggregate([("docs", "sum"), ("times", "sum")])
-        return whole.select([*names[:3], "docs_sum", "times_sum"]).rename_columns(names)
-
-    def sent(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield from table.combine_chunks().to_batches(max_chunksize=1 << 16)
+        whole = pa.concat_tables(parts).group_by(keys).aggregate([("docs", "sum"), ("times", "sum")])
+        return whole.select([*keys, "docs_sum", "times_sum"]).rename_columns(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, known = [], 0, {}
+
+        def sent(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            langs, sources = (pa.array(column, pa.string()) for column in zip(*known))
+            for batch in table.to_batches(max_chunksize=1 << 14):
+                group, term, count, times = batch.columns
+                own = [langs.take(group), sources.take(group), term.cast(pa.string()), count, times]
+                yield pa.RecordBatch.from_arrays(own, ["lang", "source", *names[1:]])
+
         for batch in batches:
             langs = _row_langs(batch.column(0))
-            keys = pa.Table.from_arrays([batch.column(0), batch.column(1)], names[:2])
-            group = keys.append_column("i", pa.array(np.arange(len(keys)))).group_by(names[:2]).aggregate([("i", "list")])
-            groups, number = group.select(names[:2]), np.zeros(len(keys), np.int64)
-            for g, rows in enumerate(group["i_list"].to_pylist()):
-                number[rows] = g
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            group = np.array([known.setdefault(pair, len(known)) for pair in pairs], np.int64)
             for start, stop in slices(batch.column(2)):
                 found = counted(batch.column(2).slice(start, stop - start), NO_LETTER)
                 at = np.flatnonzero(passing.pairs(found, langs[start:stop]))
                 if not len(at):
                     continue
-                pair, cell = np.unique(number[start:stop][found.row[at]] * len(found.terms) + found.term[at], return_inverse=True)
-                own = groups.take(pa.array(pair // len(found.terms))).combine_chunks()
+                count = len(found.terms)
+                pair, cell = np.unique(group[start:stop][found.row[at]] * count + found.term[at], return_inverse=True)
                 times = np.bincount(cell, weights=found.times[at]).astype(np.int64)
-                term = found.terms.take(pa.array(pair % len(found.terms))).cast(pa.binary()).cast(pa.string())
-                columns = [own["lang"], own["source"], term, pa.array(np.bincount(cell)), pa.array(times)]
+                term = found.terms.take(pa.array(pair % count)).cast(pa.binary())
+                columns = [pa.array(pair // count), term, pa.array(np.bincount(cell)), pa.array(times)]
                 parts.append(pa.Table.from_arrays(columns, names))
                 held += len(pair)
                 if held > HELD_ROWS:
