@@ -466,6 +466,37 @@ def mixture_sweep(spark, sf):
     return mixture.sweep(instances(spark, sf), SWEEP)
 
 
+# Datasets of one sweep: settings with their own shuffle, task objective, or name that another setting has too.
+WRITTEN = [
+    MixtureConfig(4, 60, "random", "random"),
+    MixtureConfig(4, 60, "random", "random", task_seed=5, ordering_seed=7, shuffle_seed=11),
+    MixtureConfig(NUM_TASKS, 120, "gc", "fl"),
+    MixtureConfig(5, 90, "gc", "random", ordering_seed=7),
+    MixtureConfig(5, 90, "fl", "fl", shuffle_seed=11),
+]
+
+
+def written_sweep(spark, sf):
+    """The datasets of several settings, from stored vectors and a loaded ordering, written by one job and read back."""
+    root = scratch_path(spark, "sweep")
+    rows = instances(spark, sf)
+    artifacts.write_ordering(ordering.order_instances(rows, "fl"), "fl", root)
+    built = mixture.build_sweep(
+        rows.drop("embedding"),
+        WRITTEN,
+        samples.conversation_pairs(spark, sf, validation=True),
+        vectors=rows.select(*GROUP_KEY, "row_idx", "embedding"),
+        orderings={"fl": artifacts.load_ordering(spark, "fl", root, SUBMIXTURES)},
+    )
+    paths = artifacts.write_mixtures(built.train, built.validation, f"{root}/mixtures", built.grid)
+    columns = ("submixture", "row_idx", "pos", "prompt", "response")
+    return selection.assemble(
+        part.select(F.lit(i).alias("config_id"), F.lit(name).alias("split"), *columns)
+        for i, path in enumerate(paths)
+        for name, part in datasets.load_instruction_dataset(spark, path).items()
+    )
+
+
 def baseline_mixture(kind):
     def run(spark, sf):
         return mixture.baseline_mixture(instances(spark, sf), kind, config("random", "random"))
@@ -641,6 +672,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mixture_from_loaded_ordering": mixture_from_loaded_ordering,
         "document_mixture_gc_fl": document_mixture("gc", "fl"),
         "mixture_sweep": mixture_sweep,
+        "written_sweep": written_sweep,
         "baseline_equal": baseline_mixture("equal"),
         "baseline_proportional": baseline_mixture("proportional"),
         "embedded_prompts": embedded_prompts,
@@ -663,4 +695,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**registered_sql.statements(SWEEP), **(llm.oracle_sql() if llm else {})}
+    return {**registered_sql.statements(SWEEP, WRITTEN), **(llm.oracle_sql() if llm else {})}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mixloom.cluster import BROADCAST_ROWS, small, stored
 from mixloom.config import GROUP_KEY, ROW_KEY, SHUFFLE_SEED
-from mixloom.functions.columns import seeded_digest, whole
+from mixloom.functions.columns import of_setting, seeded_digest, whole
 from mixloom.operators.prepare import as_pairs, known_templates, strip_metadata
 from mixloom.operators.ranking import digest_bucket, positions
 
@@ -100,6 +100,21 @@ def train_split(
     return as_pairs(strip_metadata(rows)).drop("embedding")
 
 
+def train_splits(instances: DataFrame, picks: DataFrame, seeds: Sequence[int], picks_bound: int | None = None) -> DataFrame:
+    """(taken, prompt, response, ...): each row that any setting picks once, so its texts are read and moved once.
+
+    `picks` is a stored frame of (config_id, row key), `seeds` the shuffle seed of each setting, `taken` an array of
+    (config_id, pos) by config_id, with no more entries than there are settings; `picks_bound` bounds the rows of `picks`.
+    """
+    keyed = picks.select("config_id", *ROW_KEY).withColumn("_digest", seeded_digest(of_setting(seeds), *ROW_KEY))
+    placed = positions(keyed, ["config_id"], digest_bucket("_digest"), ["_digest", *ROW_KEY])
+    takes = placed.groupBy(*ROW_KEY).agg(F.array_sort(F.collect_list(F.struct("config_id", "pos"))).alias("taken"))
+    if picks_bound is None or picks_bound > BROADCAST_ROWS:
+        takes = stored(takes)
+    rows = _joined(instances.drop("taken"), takes, picks_bound)
+    return as_pairs(strip_metadata(rows)).drop("embedding")
+
+
 def validation_split(validation: DataFrame) -> DataFrame:
     """All validation rows of all submixtures, neither selected nor shuffled."""
     return as_pairs(strip_metadata(validation)).drop("embedding")

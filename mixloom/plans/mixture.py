@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +21,7 @@ from mixloom.operators.budgets import (
 from mixloom.operators.checks import refuse_nulls, require_columns
 from mixloom.operators.ordering import order_instances, random_leaders
 from mixloom.operators.prepare import task_profile
-from mixloom.operators.selection import select_subset, train_split, validation_split, whole_groups
+from mixloom.operators.selection import select_subset, train_split, train_splits, validation_split, whole_groups
 from mixloom.operators.tasks import select_tasks
 
 GROUPS_PER_TASK = len(TEMPLATE_TYPES)
@@ -54,6 +54,17 @@ class GroupBudgets:
         return self.split.select("pick", *TASK_KEY, "gain", F.col("task_budget").alias("budget")).distinct()
 
 
+@dataclass
+class Sweep:
+    """Mixtures of many settings. `rows` (config_id, group..., row_idx) are narrow and stored; `train` is lazy and holds each
+    picked row once, `taken` naming its settings and its position in each."""
+
+    grid: list[MixtureConfig]
+    rows: DataFrame
+    train: DataFrame
+    validation: DataFrame | None = None
+
+
 def profile_of(instances: DataFrame, cfg: MixtureConfig) -> DataFrame:
     """Stored profile of all tasks. Everything about tasks is derived from it, not from the rows."""
     needs_vectors = cfg.task_objective != "random"
@@ -145,12 +156,15 @@ def build_mixture(
     return Mixture(budgets.tasks, rows, train, held_out)
 
 
-def sweep(instances: DataFrame, grid: Iterable[MixtureConfig]) -> DataFrame:
+def sweep(
+    instances: DataFrame, grid: Iterable[MixtureConfig], orderings: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
     """(config_id, group..., row_idx) of many settings at once; config_id is the place in the grid.
 
     Greedy orders are nested, so each task objective (and seed) runs once, to the largest `num_tasks`, and each instance
-    objective (with its seed and chunks) once, to the largest budget any of its settings gives a group. All settings must
-    name the same submixtures.
+    objective (with its seed and chunks) once, to the largest budget any of its settings gives a group. Objectives with a
+    loaded ordering in `orderings` are not run. All settings must name the same submixtures, and each must hold the
+    rows it wants and split all of them over the templates.
     """
     grid = list(grid)
     if not grid:
@@ -161,6 +175,10 @@ def sweep(instances: DataFrame, grid: Iterable[MixtureConfig]) -> DataFrame:
     needs_vectors = any(c.task_objective != "random" for c in grid)
     profile = stored(task_profile(instances, grid[0].submixtures, vectors=needs_vectors))
     split = stored(_sweep_budgets(spark, profile, grid))
+    given = {r["config_id"]: r["given"] for r in split.groupBy("config_id").agg(F.sum("budget").alias("given")).collect()}
+    lost = [i for i, c in enumerate(grid) if given.get(i, 0) != c.num_instances]
+    if lost:
+        raise ValueError(f"template budgets of settings {lost} add up to {[given.get(i, 0) for i in lost]}")
     bound = GROUPS_PER_TASK * sum(c.num_tasks for c in grid)
     parts = [whole_of_sweep(instances, split, bound)]
     partial = split.where("budget > 0 AND budget < rows")
@@ -171,17 +189,19 @@ def sweep(instances: DataFrame, grid: Iterable[MixtureConfig]) -> DataFrame:
     for (objective, seed, threshold, chunk_rows), settings in orders.items():
         given = partial.where(F.col("config_id").isin(settings))
         quotas = given.groupBy(*GROUP_KEY).agg(F.max("budget").alias("quota"))
-        ordering = order_instances(
-            instances,
-            objective,
-            quotas,
-            bound,
-            given.agg(F.max("rows")).head()[0] or 0,
-            given.select(*GROUP_KEY, "rows").distinct(),
-            seed,
-            threshold,
-            chunk_rows,
-        )
+        ordering = (orderings or {}).get(objective)
+        if ordering is None:
+            ordering = order_instances(
+                instances,
+                objective,
+                quotas,
+                bound,
+                given.agg(F.max("rows")).head()[0] or 0,
+                given.select(*GROUP_KEY, "rows").distinct(),
+                seed,
+                threshold,
+                chunk_rows,
+            )
         chosen = select_subset(ordering, given, bound)
         parts.append(chosen.select("config_id", *GROUP_KEY, "row_idx"))
     result = parts[0]
@@ -190,6 +210,40 @@ def sweep(instances: DataFrame, grid: Iterable[MixtureConfig]) -> DataFrame:
     return result
 
 
+def build_sweep(
+    instances: DataFrame,
+    grid: Iterable[MixtureConfig],
+    validation: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    orderings: Mapping[str, DataFrame] | None = None,
+) -> Sweep:
+    """The mixtures of many settings, with their texts, for `write_mixtures`.
+
+    What `build_mixture` does for one setting, at the cost of one profile, one ordering per instance objective and one scan of
+    the texts: the picks of all settings are stored as keys, each setting's are counted, then every picked row is read once
+    with the settings that take it and its position in each. `vectors` and `orderings` (by instance objective) stand in as there.
+    """
+    grid = list(grid)
+    keyed = instances if vectors is None else vectors
+    loaded = orderings or {}
+    needs_vectors = any(
+        c.task_objective != "random" or (c.instance_objective != "random" and c.instance_objective not in loaded) for c in grid
+    )
+    require_columns(instances, [*ROW_KEY, "inputs", "targets"])
+    require_columns(keyed, [*GROUP_KEY, "row_idx", *(["embedding"] if needs_vectors else [])])
+    keyed = refuse_nulls(keyed, ["embedding"] if needs_vectors else [])
+    instances = refuse_nulls(instances, ["inputs", "targets"])
+    rows = stored(sweep(keyed, grid, loaded))
+    counted = rows.groupBy("config_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(*ROW_KEY).alias("keys"))
+    found = {r["config_id"]: (r["rows"], r["keys"]) for r in counted.collect()}
+    for i, c in enumerate(grid):
+        picked, keys = found.get(i, (0, 0))
+        if picked != c.num_instances or keys != picked:
+            raise ValueError(f"setting {i} has {picked} rows with {keys} keys instead of {c.num_instances}")
+    train = train_splits(instances, rows, [c.shuffle_seed for c in grid], sum(c.num_instances for c in grid))
+    return Sweep(grid, rows, train, None if validation is None else validation_split(validation))
+
+
 def whole_of_sweep(instances: DataFrame, split: DataFrame, bound: int) -> DataFrame:
     taken = split.where("budget > 0 AND budget = rows").select("config_id", *GROUP_KEY)
     rows = instances.select(*GROUP_KEY, "row_idx")

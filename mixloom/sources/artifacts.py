@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from mixloom.config import GROUP_KEY, SUBMIXTURES, MixtureConfig
+from mixloom.functions.columns import of_setting, whole
+
+
+# Train rows of a file that `write_mixtures` writes.
+FILE_ROWS = 100_000
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
@@ -112,6 +117,47 @@ def write_mixture(train: DataFrame, validation: DataFrame, root: str, cfg: Mixtu
     return path
 
 
+def dataset_names(grid: Sequence[MixtureConfig]) -> list[str]:
+    """A name of its own for every setting; those that differ in nothing a name shows carry their place in the grid."""
+    names: list[str] = []
+    for i, cfg in enumerate(grid):
+        names.append(f"{cfg.name}-{i}" if cfg.name in names else cfg.name)
+    return names
+
+
+def write_mixtures(train: DataFrame, validation: DataFrame, root: str, grid: Sequence[MixtureConfig]) -> list[str]:
+    """Write the datasets of a sweep in one job and return their paths, in the order of the grid.
+
+    `train` is that of `build_sweep`. A row goes to each dataset whose setting takes it. Positions are dense, so they say which
+    file a row belongs to and nothing is sampled; files follow the shuffled order and hold up to FILE_ROWS rows of the sweep.
+    Columns `mixture`, `split` and `pos` of the inputs are replaced; a dataset of the same name is overwritten.
+    """
+    names = dataset_names(grid)
+    starts = [0]
+    for cfg in grid:
+        starts.append(starts[-1] + cfg.num_instances)
+    texts = [c for c in train.columns if c not in ("taken", "config_id", "pos", "mixture", "split")]
+    each = train.select(F.explode("taken").alias("_to"), *texts).select("_to.config_id", "_to.pos", *texts)
+    place = (of_setting(starts).cast("bigint") + F.col("pos")).cast("bigint")
+    dealt = each.repartitionById(-(-starts[-1] // FILE_ROWS), whole(place, FILE_ROWS).cast("int"))
+    held_out = validation.drop("config_id", "pos", "mixture", "split")
+    held_out = held_out.withColumn("config_id", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
+    rows = dealt.withColumn("split", F.lit("train")).unionByName(
+        held_out.withColumn("split", F.lit("validation")), allowMissingColumns=True
+    )
+    # Names are never null, so the writer keeps this order instead of sorting again.
+    named = rows.withColumn("mixture", F.coalesce(of_setting(names), F.lit(""))).drop("config_id")
+    ordered = named.sortWithinPartitions("mixture", "split", "pos")
+    writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("mixture", "split").parquet(root)
+    paths = [f"{root}/mixture={name}" for name in names]
+    if validation.isEmpty():
+        # A partition without rows leaves no folder, but every dataset has both splits.
+        for path in paths:
+            validation.limit(0).write.mode("overwrite").parquet(f"{path}/split=validation")
+    return paths
+
+
 def write_metrics(metrics: DataFrame, path: str) -> str:
     """One JSON line per epoch."""
     metrics.coalesce(1).write.mode("overwrite").json(path)

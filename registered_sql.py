@@ -283,8 +283,8 @@ def _padded(column: str, fill_value: int, missing: str) -> str:
 GAINS = f"gains AS (SELECT {TASK}, avg(length(inputs)) / 1000 - 1 AS gain, count(*) AS total FROM docs GROUP BY {TASK})"
 
 
-def _sweep(grid) -> str:
-    """Every setting on its own, from the same parts."""
+def _sweep(grid, result: str = "SELECT * FROM chosen", *more: str) -> str:
+    """Every setting on its own, from the same parts; `result` reads their rows."""
     parts = []
     for i, cfg in enumerate(grid):
         body = ",\n".join(
@@ -304,7 +304,18 @@ def _sweep(grid) -> str:
         for f, seed in sorted({(c.instance_objective, c.ordering_seed) for c in grid})
     ]
     union = " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(grid)))
-    return _with(BASE, totals().strip(), *orders, *parts, recursive=True) + union
+    return _with(BASE, *more, totals().strip(), *orders, *parts, f"chosen AS ({union})", recursive=True) + result
+
+
+def _written_sweep(grid) -> str:
+    seeds = " ".join(f"WHEN {i} THEN '{c.shuffle_seed}:'" for i, c in enumerate(grid))
+    digest = f"md5(concat(CASE config_id {seeds} END, submixture, ':', CAST(row_idx AS VARCHAR)))"
+    result = f"""SELECT config_id, 'train' AS split, submixture, row_idx,
+ row_number() OVER (PARTITION BY config_id ORDER BY {digest}) - 1 AS pos, inputs AS prompt, targets AS response
+FROM chosen JOIN known USING (submixture, row_idx)
+UNION ALL SELECT config_id, 'validation', submixture, row_idx, NULL, inputs, targets
+FROM pairs, range({len(grid)}) t(config_id) WHERE conv_id % 10 = 0"""
+    return _sweep(grid, result, PAIRS)
 
 
 def _baseline(ratio: str) -> str:
@@ -337,8 +348,8 @@ def _chunked(objective: str) -> str:
     return _with(BASE, chunk_order(objective, 20, 16).strip(), recursive=True) + f"SELECT {GROUP}, rank, row_idx, {GAIN} FROM co"
 
 
-def statements(grid) -> dict[str, str]:
-    """All statements; `grid` holds the settings of the sweep."""
+def statements(grid, written) -> dict[str, str]:
+    """All statements; `grid` holds the settings of the sweep, `written` those of the datasets."""
     index = _with(BASE) + (
         f"SELECT {GROUP}, row_idx, row_number() OVER (PARTITION BY {GROUP} ORDER BY row_idx) - 1 AS place FROM known"
     )
@@ -482,6 +493,7 @@ WHERE row_idx IN (SELECT vec_id FROM embeddings)""",
             "gc", "fl", 24, 80, samples.DOCUMENT_SUBMIXTURES, DOCUMENT_BASE
         ),
         "mixture_sweep": _sweep(grid),
+        "written_sweep": _written_sweep(written),
         "baseline_equal": _baseline("1.0::DOUBLE"),
         "baseline_proportional": _baseline("total::DOUBLE"),
         "embedded_prompts": _with(DOCS, EMBEDDED.strip())

@@ -169,6 +169,57 @@ def test_written_mixture_is_a_prepared_dataset(spark, instances):
         datasets.load_instruction_dataset(spark, root)
 
 
+def test_a_sweep_writes_what_its_settings_build_alone(spark, instances):
+    root = scratch_path(spark, "sweep")
+    grid = [cfg(3, 100), cfg(2, 60, "random", "gc", shuffle_seed=5), cfg(3, 100, task_seed=4), cfg(4, 150, "fl", "random")]
+    assert artifacts.dataset_names(grid)[2] == f"{grid[2].name}-2"
+    # Columns that clash with those of the datasets.
+    wide = instances.withColumns({"taken": F.lit(1), "split": F.lit("old"), "mixture": F.lit(2)})
+    held_out = wide.where("row_idx < 5")
+    built = mixture.build_sweep(wide, grid, held_out)
+    paths = artifacts.write_mixtures(built.train, built.validation, root, grid)
+    for c, path in zip(grid, paths):
+        splits = datasets.load_instruction_dataset(spark, path)
+        alone = mixture.build_mixture(instances, c).train
+        got, wanted = (sorted((r["pos"], r["submixture"], r["row_idx"], r["prompt"]) for r in t.collect()) for t in (splits["train"], alone))
+        assert got == wanted and splits["validation"].count() == held_out.count()
+    # Written again without validation rows: both splits are there, and other datasets stay.
+    again = mixture.build_sweep(instances, grid[:1], instances.limit(0))
+    first = artifacts.write_mixtures(again.train, again.validation, root, grid[:1])
+    assert datasets.load_instruction_dataset(spark, first[0])["validation"].count() == 0
+    assert datasets.load_instruction_dataset(spark, paths[1])["validation"].count() == held_out.count()
+
+
+def test_a_sweep_reads_texts_once_and_keeps_the_order_of_files(spark, instances, monkeypatch):
+    root = scratch_path(spark, "sweep")
+    instances.write.parquet(f"{root}/in")
+    rows = spark.read.parquet(f"{root}/in")
+    grid = [cfg(3, 100, "random", "random"), cfg(4, 150, "random", "random", ordering_seed=3)]
+    built = mixture.build_sweep(rows, grid, rows.where("row_idx < 3"))
+    plan = built.train._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    monkeypatch.setattr(artifacts, "FILE_ROWS", 30)
+    paths = artifacts.write_mixtures(built.train, built.validation, f"{root}/out", grid)
+    for c, path in zip(grid, paths):
+        train = spark.read.parquet(f"{path}/split=train").select("pos", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+        files = {}
+        for r in sorted(train.collect(), key=lambda r: (r["file"], r["at"])):
+            files.setdefault(r["file"], []).append(r["pos"])
+        assert [p for f in sorted(files) for p in files[f]] == list(range(c.num_instances))
+        assert max(map(len, files.values())) <= 30
+
+
+def test_a_sweep_refuses_a_setting_that_cannot_be_met(instances):
+    with pytest.raises(ValueError, match="fewer rows"):
+        mixture.build_sweep(instances, [cfg(3, 100), cfg(1, 5000)])
+    doubled = instances.unionByName(instances.where("row_idx < 200"))
+    with pytest.raises(ValueError, match="keys instead of"):
+        mixture.build_sweep(doubled, [cfg(5, 600, "random", "random")])
+    with pytest.raises(Exception, match="null targets"):
+        bad = instances.withColumn("targets", F.lit(None).cast("string"))
+        mixture.build_sweep(bad, [cfg(3, 100, "random", "random")]).train.collect()
+
+
 def test_file_positions_are_dense(spark, instances):
     root = scratch_path(spark, "sources")
     paths = {s: f"{root}/{s}" for s in NAMES}
