@@ -13,9 +13,8 @@ from mixloom.llm.hashing import Rolling, mixed, windows, words
 # Share of a text's word characters that may lie inside repeated n-grams, by n, and inside repeated lines.
 NGRAM_LIMITS = ((5, 0.25), (7, 0.22), (10, 0.20))
 LINE_LIMIT = 0.30
-# Symbols of the base rule as bytes, and how many a word may have on average.
+# Symbols that are counted, as bytes.
 SYMBOLS = b"#*$%&|<>"
-SYMBOL_LIMIT = 0.1
 MIN_WORDS = 10
 BASE_WINDOW = 5
 BASE_REPEAT_PERCENT = 20
@@ -56,7 +55,7 @@ def _per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def repetition_kernel(ngram_limits: Sequence[tuple[int, float]], line_limit: float, symbol_limit: float):
+def repetition_kernel(ngram_limits: Sequence[tuple[int, float]], line_limit: float):
     rolling = Rolling()
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
@@ -105,7 +104,7 @@ def repetition_kernel(ngram_limits: Sequence[tuple[int, float]], line_limit: flo
         line_share = _per_row(np.where(later, line_chars, 0), line_first) / base
 
         failed = (n_words < MIN_WORDS) | (100 * n_repeat_words > BASE_REPEAT_PERCENT * n_words)
-        good = (line_share <= line_limit) & (marks <= symbol_limit * n_words)
+        good = line_share <= line_limit
         ngram_share = np.zeros(len(n_words))
         for size, limit in ngram_limits:
             share = _per_row(np.where(covered[size], chars, 0), first) / base
@@ -124,25 +123,24 @@ def quality(
     text: str = "text",
     ngram_limits: Sequence[tuple[int, float]] = NGRAM_LIMITS,
     line_limit: float = LINE_LIMIT,
-    symbol_limit: float = SYMBOL_LIMIT,
 ) -> DataFrame:
     """Add counts, shares of repeated characters and the verdict `kept` to every document.
 
     Words are runs of characters other than ASCII white space. `n_repeat_words` counts words in five-word windows that
     the text has twice or more, the first included; `n_dup_lines` lines with a word that equal an earlier line.
     `base_failed` is the base rule. `kept` also needs, for every (n, limit), at most that share of word characters inside
-    n-grams that the text repeats, at most `line_limit` of them inside repeats of lines, and at most `symbol_limit`
-    symbols per word. An empty or null text fails.
+    n-grams that the text repeats, and at most `line_limit` of them inside repeats of lines. Symbols are counted, but decide
+    nothing. An empty or null text fails.
     """
     limits = tuple(ngram_limits)
-    return with_columns(docs, text, FIELDS, lambda: repetition_kernel(limits, line_limit, symbol_limit))
+    return with_columns(docs, text, FIELDS, lambda: repetition_kernel(limits, line_limit))
 
 
 def passing(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that `quality` keeps, with their own columns."""
 
     def kernel():
-        judge = repetition_kernel(NGRAM_LIMITS, LINE_LIMIT, SYMBOL_LIMIT)
+        judge = repetition_kernel(NGRAM_LIMITS, LINE_LIMIT)
         return lambda column: judge(column)[KEPT]
 
     return filtered(docs, text, kernel)
