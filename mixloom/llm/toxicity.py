@@ -29,8 +29,7 @@ EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "sore loser
 # Labelled rows to learn from, by label; the share of them that fits the curve instead of the lexicon.
 TRAIN_ROWS = {1: 3000, 0: 4000}
 CURVE_SHARE = 0.3
-# Learned terms: the most that are kept, and in how many different surroundings of toxic texts each must occur.
-LEXICON_TERMS = 5000
+# In how many different surroundings of toxic texts a learned term must occur, and its least weight.
 MIN_PLACES = 3
 MIN_WEIGHT = 1.5
 THRESHOLD = 0.7
@@ -116,8 +115,9 @@ def held_out(doc_id: str = "doc_id", parts: int = 3, part: int = 1) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: Mapping[int, int] = TRAIN_ROWS) -> DataFrame:
     """(doc_id, text, toxic, curve) of at most rows[label] labelled documents, those with the lowest hash of their id.
 
-    `curve` marks the share that fits the curve. A document labelled both ways counts as toxic. Only ids are sorted and
-    broadcast, at most as many as `rows` allows, so no text is shuffled.
+    `curve` marks the share that fits the curve. A document labelled both ways counts as toxic; of rows with one doc_id the
+    smallest text counts. Only ids are sorted and broadcast, at most as many as `rows` allows; of the texts, those chosen
+    are shuffled, once per task at most.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -128,7 +128,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: Mapping[int, int]
         chosen = part if chosen is None else chosen.unionByName(part)
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1000)) < int(1000 * CURVE_SHARE)
     chosen = chosen.withColumn("curve", part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "toxic", "curve").agg(F.min("text").alias("text"))
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
@@ -166,7 +167,6 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     weight = F.log((F.col("bad") + 0.1) / ((F.col("n") - F.col("bad") + 0.5) * rate))
     sure = weight - F.lit(1.0) / F.sqrt(F.col("bad"))
     top = counts.where(F.col("bad") >= MIN_PLACES).select("term", sure.alias("weight")).where(F.col("weight") >= MIN_WEIGHT)
-    top = top.orderBy(F.desc("weight"), "term").limit(LEXICON_TERMS)
     return lexicon | {r["term"]: float(r["weight"]) for r in top.collect()}
 
 
