@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from urllib.parse import unquote
 
 import ahocorasick
 import pyarrow as pa
@@ -27,6 +28,8 @@ VOCABULARY = {
     ),
 }
 SOFT_LIMIT = 2
+# How often percent-encoding is undone, as an encoded sign may be encoded again.
+DECODINGS = 2
 # The rules of the registered query, (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -45,6 +48,15 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join([chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host]), tail[:end]
 
 
+def decoded(url: str) -> str:
+    """The url without percent-encoding; bytes that are no UTF-8 become signs that belong to no word."""
+    for _ in range(DECODINGS):
+        if "%" not in url:
+            break
+        url = unquote(url)
+    return url
+
+
 class UrlFilter:
     """Verdicts of one rule set and vocabulary."""
 
@@ -84,7 +96,7 @@ class UrlFilter:
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, int, int]:
         host, path = split_url(url)
         rule, verdict = self.rule(host, path)
-        strict, soft = self.hits((url or "").lower())
+        strict, soft = self.hits(decoded(url or "").lower())
         if verdict is None:
             verdict = "block" if strict or len(soft) >= self.soft_limit else "allow"
         return host, path, rule, verdict, len(strict), len(soft)
@@ -100,7 +112,7 @@ def url_verdicts(
     """Add host, path, the rule that fits, the verdict and the numbers of strict and soft terms to every row.
 
     A rule fits its host and all subdomains if the path begins with the rule's path; the longest rule wins. Without a
-    rule the vocabulary decides over the whole url, with query and fragment: one strict term or `soft_limit` different soft
+    rule the vocabulary decides over the whole url, percent-decoded, with query and fragment: one strict term or `soft_limit` different soft
     ones block. A null url, or one without `://`, has empty host and path, so no rule fits; a null url is allowed.
     """
     rules, vocabulary = tuple(rules), dict(vocabulary)
