@@ -191,17 +191,21 @@ def fit(
     families: Mapping[str, list[str]] = FAMILIES,
     buckets: int = BUCKETS,
 ) -> LanguageModel | None:
-    """Train on about `rows` rows per language, chosen by the hash of their text; all rows where there are fewer."""
+    """Train on about `rows` different texts per language, chosen by their hash; on all of them where there are fewer.
+
+    Copies of a text count once, so they take no room in the sample. The different texts are counted by sketches.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
     if not counts:
         return None
     scale = 1 << 30
     cut = F.lit(0)
     for name, n in counts.items():
-        cut = F.when(F.col("lang") == name, F.lit(int(scale * min(1.0, rows / n)))).otherwise(cut)
-    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < cut)
+        cut = F.when(F.col("lang") == name, F.lit(int(scale * min(1.0, rows / max(1, n))))).otherwise(cut)
+    chosen = known.withColumn("_hash", F.xxhash64("text")).where(F.pmod("_hash", F.lit(scale)) < cut)
+    chosen = chosen.groupBy("lang", "_hash").agg(F.min("text").alias("text")).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = NgramHasher(buckets)
