@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mixloom.llm.arrow import gathered, kept, with_columns
-from mixloom.llm.pretokens import Ranges, classes, finder, word_shape
+from mixloom.llm.pretokens import Ranges, classes, finder, range_set, unlike, word_shape
 
 # Pre-tokens, and pairs of tokens, that a worker remembers before it starts anew.
 CACHE_ENTRIES = 1_000_000
@@ -180,6 +180,7 @@ class WordCodec:
     def __init__(self, source: bytes, known: dict[str, Ranges]):
         self.model = BpeModel(source)
         self.find = finder(word_shape, known)
+        self.unlike = re.compile(f"[{range_set(known['unlike'])}]").search if known.get("unlike") else None
         specials = sorted(self.model.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.words = _Words(self.model)
@@ -190,6 +191,12 @@ class WordCodec:
         self.blob = np.frombuffer(b"".join(pieces), np.uint8)
 
     def _plain(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.find(text.lower())
+        if self.unlike and self.unlike(text):
+            from tokenizers.normalizers import NFC, Lowercase
+
+            return self.find(Lowercase().normalize_str(NFC().normalize_str(text)))
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Lower-cased one character at a time, so a final sigma has no form of its own.
@@ -226,7 +233,7 @@ def _read(path: str) -> bytes:
 def bpe_kernel(source: bytes, results: Callable):
     """`results(ids, first, decoded)` turns a slice's ids into the added columns; first: where each text begins."""
 
-    known = classes()
+    known = classes() | {"unlike": unlike()}
 
     def kernel():
         codec = kept(("word codec", hashlib.sha256(source).digest()), lambda: WordCodec(source, known))

@@ -6,8 +6,11 @@ Unicode versions differ between libraries, so the classes are asked from the tok
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+
 # Contractions that both tokenizers split off, and Unicode's white space.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WHITE = (
@@ -34,7 +37,25 @@ def classes() -> dict[str, Ranges]:
     return {"L": _runs(r"\p{L}+"), "N": _runs(r"\p{N}+")}
 
 
-def _set(ranges: Ranges, limit: int) -> str:
+def unlike() -> Ranges:
+    """Code points that the library may lower-case or compose in another way than Python.
+
+    These are the ones whose lower case differs, and those that Python's Unicode version does not know: what it knows is composed
+    alike by all later versions.
+    """
+    from tokenizers.normalizers import Lowercase
+
+    points = np.array([*range(0xD800), *range(0xE000, 0x110000)])
+    lowered = Lowercase().normalize_str("\n".join(map(chr, points.tolist()))).split("\n")
+    # The new line itself is a code point too: it leaves one empty piece more.
+    lowered[0x0A : 0x0C] = ["\n"]
+    odd = [unicodedata.category(chr(p)) == "Cn" or chr(p).lower() != low for p, low in zip(points.tolist(), lowered, strict=True)]
+    odd = np.flatnonzero(odd)
+    runs = np.split(points[odd], np.flatnonzero(np.diff(points[odd]) > 1) + 1)
+    return tuple((int(r[0]), int(r[-1])) for r in runs if len(r))
+
+
+def range_set(ranges: Ranges, limit: int = 0x110000) -> str:
     return "".join(
         re.escape(chr(a)) + "-" + re.escape(chr(min(b, limit - 1))) for a, b in ranges if a < limit
     )
@@ -47,7 +68,7 @@ def finder(shape: Callable[[str, str, str], str], known: dict[str, Ranges]) -> C
     """
 
     def compiled(limit: int) -> Callable[[str], list[str]]:
-        return re.compile(shape(_set(known["L"], limit), _set(known["N"], limit), _set(WHITE, limit))).findall
+        return re.compile(shape(range_set(known["L"], limit), range_set(known["N"], limit), range_set(WHITE, limit))).findall
 
     near, far = compiled(PLANE), compiled(0x110000)
     astral = re.compile("[\U00010000-\U0010ffff]").search
