@@ -21,12 +21,16 @@ SLICE_BYTES = 1 << 20
 SLICE_ROWS = 1024
 
 
-def kept(key, make: Callable):
-    """What `make` gives, made once per Python worker: functions travel by value, so module globals would not last."""
+def kept(key: tuple, make: Callable):
+    """What `make` gives, made once per Python worker: functions travel by value, so module globals would not last.
+
+    Of every kind, key[0], a worker keeps the latest only.
+    """
     store = sys.modules.setdefault("_mixloom_llm_kept", types.ModuleType("_mixloom_llm_kept")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if store.get(key[0], (None,))[0] != key:
+        store.pop(key[0], None)
+        store[key[0]] = key, make()
+    return store[key[0]][1]
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
