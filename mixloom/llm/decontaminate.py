@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from mixloom.llm.arrow import filtered, gathered, slices, strings
@@ -46,11 +47,15 @@ EPSILON = 1e-9
 
 @dataclass
 class Texts:
-    """Shingles of the texts of a slice: hashes, weights, and the first word of every text."""
+    """Shingles of the texts of a slice: hashes, weights, and the first word of every text.
+
+    `short` has the texts of fewer words than a shingle: (row, words, hash of the whole sequence).
+    """
 
     shingles: np.ndarray
     weights: np.ndarray
     first: np.ndarray
+    short: tuple[tuple[int, int, int], ...] = ()
 
     @staticmethod
     def of(column: pa.Array, rolling: Rolling) -> Texts:
@@ -62,7 +67,12 @@ class Texts:
         letters = np.concatenate([[0], np.cumsum(found.ends - found.starts)])
         size = letters[SHINGLE_WORDS:] - letters[: len(letters) - SHINGLE_WORDS] if len(shingles) else letters[:0]
         # A shingle weighs by its letters: one of short, common words tells less.
-        return Texts(shingles, np.clip(size // 6, 1, MOST_WEIGHT), found.first)
+        count, short = np.diff(found.first), []
+        for n in range(1, SHINGLE_WORDS):
+            rows = np.flatnonzero(count == n)
+            if len(rows):
+                short += [(r, n, k) for r, k in zip(rows.tolist(), windows(hashes, n)[found.first[rows]].tolist())]
+        return Texts(shingles, np.clip(size // 6, 1, MOST_WEIGHT), found.first, tuple(short))
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -152,11 +162,18 @@ class Benchmark:
     def __init__(self, ids: list, texts: list[str], radius: int = RADIUS):
         self.rolling = Rolling()
         self.ids, self.items = [], []
+        brief: list[tuple[tuple[int, int], object]] = []
         for i, text in zip(ids, texts):
             item = Texts.of(pa.array([text], pa.large_string()), self.rolling)
             if len(item.shingles):
                 self.ids.append(i)
                 self.items.append(item)
+            brief += [((n, key), i) for _, n, key in item.short]
+        # Items of fewer words than a shingle, by their whole sequence; they are numbered after the others.
+        self.brief: dict[tuple[int, int], list[int]] = {}
+        for at, i in brief:
+            self.brief.setdefault(at, []).append(len(self.ids))
+            self.ids.append(i)
         sizes = np.array([len(t.shingles) for t in self.items], np.int64)
         self.ladder: list[int] = []
         size = float(sizes.min()) if len(sizes) else math.inf
@@ -222,6 +239,11 @@ class Benchmark:
     def leaks(self, column: pa.Array, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(row, item, first word, distance, similarity): of every row and item the most similar window, if it passes."""
         text = Texts.of(column, self.rolling)
+        same = [(row, item, 0, 0, 1.0) for row, n, key in text.short for item in self.brief.get((n, key), ())]
+        return sorted(same + self._windows(text, threshold))
+
+    def _windows(self, text: Texts, threshold: float) -> list[tuple[int, int, int, int, float]]:
+        """The same for rows and items that have shingles."""
         if not self.items or not len(text.shingles):
             return []
         # Only rows that share enough with the items, without the shingles that reach into the next row.
@@ -274,12 +296,12 @@ class Benchmark:
 
 
 def benchmark_parts(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[DataFrame]:
-    """The items, in as many parts as keep each below ITEM_BYTES on average; null and empty texts are left out."""
+    """The different items, in as many parts as keep each below ITEM_BYTES on average; null and empty texts are left out."""
     known = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
-    known = known.where(F.length("text") > 0)
+    known = known.where(F.length("text") > 0).distinct()
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / ITEM_BYTES))
-    return [known.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p) for p in range(parts)]
+    return [known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) for p in range(parts)]
 
 
 def _loaded(part: DataFrame, radius: int) -> tuple[list, list[str], int]:
@@ -295,7 +317,10 @@ def leaks(
     Words are runs without ASCII white space, A-Z lower-cased; shingles have five words and weigh by their letters. A
     document holds an item if a window of the item's size has a weighted Jaccard similarity of at least `similarity` with
     it and a fingerprint of the document is within `radius` of the item's, `distance` at the nearest; the most similar
-    window counts, of equal ones the first. Texts and items of fewer than five words hold nothing. Items go to the tasks in parts of ITEM_BYTES, each by a pass over the documents.
+    window counts, of equal ones the first. A text of one to four words is one shingle, the whole sequence: it is held by texts of the
+    same words only. Null texts, and those without words, hold nothing and are held by nothing; a null item_id is an id like others. Rows
+    that repeat an item's id and text count once, repeated documents each. Items go to the tasks in parts of ITEM_BYTES, each by a
+    pass over the documents.
     """
     shape = StructType(
         [docs.schema["doc_id"].__class__("doc_id", docs.schema["doc_id"].dataType)]
@@ -313,12 +338,13 @@ def leaks(
                     rows = batch.slice(start, stop - start)
                     found = benchmark.leaks(rows.column(1), similarity)
                     docs_ = rows.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                    items_ = pa.array([benchmark.ids[f[1]] for f in found], pa.int64())
-                    rest = [pa.array([f[i] for f in found], kind) for i, kind in _KINDS]
+                    items_ = pa.array([benchmark.ids[f[1]] for f in found], kind)
+                    rest = [pa.array([f[i] for f in found], of) for i, of in _KINDS]
                     yield pa.RecordBatch.from_arrays([docs_, items_, *rest], shape.names)
 
         return docs.select("doc_id", text).mapInArrow(run, shape)
 
+    kind = to_arrow_type(items.schema["item_id"].dataType)
     parts = [search(p) for p in benchmark_parts(items)]
     found = parts[0]
     for more in parts[1:]:
