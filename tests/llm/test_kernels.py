@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,9 @@ from tokenizers import Tokenizer  # noqa: E402
 
 from mixloom.llm import arrow, bpe, chat, decontaminate, hashing, html, jaccard, language, quality, tokens  # noqa: E402
 from mixloom.llm import toxicity, urls  # noqa: E402
-from mixloom.llm.pretokens import classes  # noqa: E402
+from mixloom.llm.pretokens import classes, unlike  # noqa: E402
+
+ODD = unlike()
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SOUP = st.text(st.sampled_from(list("ab cdAB\n\t\x1c\x85 éßñΣςİ1234.,'s|#中😀") + ["́", "﻿"]), max_size=60)
@@ -77,7 +80,7 @@ def plain_quality(text):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), SOUP, SENTENCES), min_size=1, max_size=5))
 def test_quality_counts(texts):
-    kernel = quality.repetition_kernel(quality.NGRAM_LIMITS, quality.LINE_LIMIT, quality.SYMBOL_LIMIT)
+    kernel = quality.repetition_kernel(quality.NGRAM_LIMITS, quality.LINE_LIMIT)
     out = kernel(large(texts))
     got = list(zip(*[column.tolist() for column in out[:6]]))
     assert got == [plain_quality(t) for t in texts]
@@ -88,10 +91,10 @@ def test_quality_verdicts():
     clean = " ".join(f"word{i}" for i in range(60))
     repeated = clean + "\n" + clean
     lines = "\n".join(["buy this now"] * 8 + [f"other line {i}" for i in range(3)])
-    kernel = quality.repetition_kernel(quality.NGRAM_LIMITS, quality.LINE_LIMIT, quality.SYMBOL_LIMIT)
+    kernel = quality.repetition_kernel(quality.NGRAM_LIMITS, quality.LINE_LIMIT)
     assert kernel(large([clean, repeated, lines, " ".join(f"w{i}***" for i in range(40))]))[
         quality.KEPT
-    ].tolist() == [True, False, False, False]
+    ].tolist() == [True, False, False, True]
 
 
 # Tokenizers
@@ -105,7 +108,7 @@ def known():
 @pytest.fixture(scope="module")
 def word_codec(known):
     with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
-        return bpe.WordCodec(f.read(), known)
+        return bpe.WordCodec(f.read(), known | {"unlike": ODD})
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +137,17 @@ def test_backtracking_equals_the_library(word_codec, word_library):
         assert word_codec.decode(ids).decode() == word_library.decode(wanted, skip_special_tokens=False), text
 
 
+def test_every_code_point_encodes_as_in_the_library(word_codec, word_library):
+    points = [*range(0x80, 0xD800), *range(0xE000, 0x110000)]
+    known_here = [c for c in points if unicodedata.category(chr(c)) not in ("Cn", "Co", "Lo")]
+    unknown = [c for c in points if any(a <= c <= b and c - a < 400 for a, b in ODD)]
+    assert {0x1C89, 0x10D53, 0x16EA4} <= set(unknown)
+    for some in (known_here, unknown):
+        for at in range(0, len(some), 500):
+            text = " ".join(f"a{chr(c)}B" for c in some[at : at + 500])
+            assert np.frombuffer(word_codec.encode(text), np.uint32).tolist() == word_library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_pretokens_stay_linear(word_codec, word_library):
     for text in ("a" * 20_000, "ab" * 5_000, "é" * 3_000):
         wanted = word_library.encode(text, add_special_tokens=False).ids
@@ -383,7 +397,7 @@ def test_leaks_of_a_slice():
     filler = lambda n: " ".join(word() for _ in range(n))
     texts = [filler(200), None, "", items[3], f"{filler(5000)} {items[1].upper()}\n{items[4]} {filler(50)}", items[0], "one two"]
     found = [(row, benchmark.ids[item], place, round(alike, 3)) for row, item, place, _, alike in benchmark.leaks(large(texts), 0.8)]
-    assert found == [(3, 103, 0, 1.0), (4, 101, 5000, 1.0), (4, 104, 5015, 1.0), (5, 100, 0, 1.0)]
+    assert found == [(3, 103, 0, 1.0), (4, 101, 5000, 1.0), (4, 104, 5015, 1.0), (5, 100, 0, 1.0), (6, 106, 0, 1.0)]
 
 
 def test_a_long_item_beside_short_ones():
@@ -452,3 +466,28 @@ def test_leaks_of_documents_shorter_than_an_item():
     wanted = {(row, item): w for row, t in enumerate(texts) for item, w in plain_leaks(benchmark, t, 0.8).items()}
     found = {(row, item): (place, alike) for row, item, place, _, alike in benchmark.leaks(large(texts), 0.8)}
     assert found == wanted and {r for r, _ in found} > {0, 1, 3}
+
+
+def test_short_items_are_held_by_equal_texts_only():
+    items = ["red green blue tea", "Yes", "yes", " ", "one two three four five six seven"]
+    benchmark = decontaminate.Benchmark(["a", None, "c", "d", "e"], items)
+    texts = ["Red  green\nblue TEA", "red green blue", "yes", None, "", "say yes to red green blue tea", items[4], "yes yes"]
+    found = [(row, benchmark.ids[i], first, far, alike) for row, i, first, far, alike in benchmark.leaks(large(texts), 0.8)]
+    assert found == [(0, "a", 0, 0, 1.0), (2, None, 0, 0, 1.0), (2, "c", 0, 0, 1.0), (6, "e", 0, 0, 1.0)]
+    only_short = decontaminate.Benchmark([1], ["yes"])
+    assert [f[:2] for f in only_short.leaks(large(["Yes", "a b c d e f g", None]), 0.8)] == [(0, 0)]
+
+
+def test_percent_encoded_terms_are_seen():
+    judge = urls.UrlFilter(urls.RULES, urls.VOCABULARY, urls.SOFT_LIMIT).judge
+    blocked = ["http://a.com/%73ex", "http://a.com/best%20sex", "http://a.com/?q=%2573ex", "http://a.com/%70oker/free%2Fbets"]
+    allowed = ["http://a.com/es%73ex", "http://a.com/%", "http://a.com/%zz%e9sussex", "%73ussex", "http://a.com/sex%74on"]
+    assert [judge(u)[3] for u in blocked + allowed] == ["block"] * 4 + ["allow"] * 5
+    assert judge("http://x.net/%73")[:2] == ("x.net", "/%73")
+
+
+def test_a_worker_keeps_the_latest_of_a_kind():
+    made = []
+    for key in (("k", 1), ("k", 1), ("k", 2), ("other", 1), ("k", 2), ("k", 1)):
+        arrow.kept(key, lambda key=key: made.append(key))
+    assert made == [("k", 1), ("k", 2), ("other", 1), ("k", 1)]

@@ -310,6 +310,41 @@ def test_leaks_in_parts_are_the_same(spark, monkeypatch):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_keep_the_type_of_ids_and_bound_repeated_items(spark, monkeypatch):
+    long = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([("d1", long), ("d2", "yes"), ("d3", None)], "doc_id string, text string")
+    items = [(f"i{n}", long) for n in range(40)] + [("i0", long)] * 3 + [("short", "Yes"), (None, None), ("none", "")]
+    items = spark.createDataFrame(items, "item_id string, text string")
+    wanted = sorted([("d1", f"i{n}") for n in range(40)] + [("d2", "short")])
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()) == wanted
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 1000)
+    parts = decontaminate.benchmark_parts(items)
+    # Copies of one text are dealt over the parts like others.
+    assert max(p.count() for p in parts) < 20 and sum(p.count() for p in parts) == 41
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()) == wanted
+    assert [r["doc_id"] for r in decontaminate.clean_documents(docs, items).collect()] == ["d3"]
+
+
+def test_copies_take_no_room_in_the_language_sample(spark, monkeypatch):
+    copies = [("en", "the same words again and again")] * 500
+    others = [("en", f"the cat and dog number {i} sat there") for i in range(60)] + [("de", f"der hund und die katze {i} sind da") for i in range(60)]
+    docs = spark.createDataFrame(copies + others, "lang string, text string").repartition(4)
+    seen = []
+    monkeypatch.setattr(language, "train", lambda x, names, families: seen.append(list(names)))
+    language.fit(docs, rows=1000)
+    assert sorted(seen[0]) == ["de"] * 60 + ["en"] * 61
+    language.fit(docs, rows=20)
+    assert all(8 <= seen[1].count(name) <= 40 for name in ("en", "de"))
+
+
+def test_repeated_ids_take_no_room_in_the_toxic_sample(spark):
+    rows = [(1, f"text {n % 7}") for n in range(300)] + [(2, "b"), (3, None), (None, "c"), (4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, None)], "doc_id bigint, toxic int")
+    found = toxicity.labelled_sample(docs, labels).collect()
+    assert sorted((r["doc_id"], r["text"], r["toxic"]) for r in found) == [(1, "text 0", 1), (2, "b", 0), (3, None, 0)]
+
+
 def test_pipeline_against_plain_stages(spark, documents):
     docs = [r for r in documents.collect()]
     good = {r["doc_id"] for r in quality.quality(documents).where("kept").collect()}
