@@ -7,7 +7,7 @@ to per-row sums, so that pairs of instances are never emitted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from mixloom.cluster import small, stored
 from mixloom.config import GROUP_KEY
@@ -23,6 +24,12 @@ from mixloom.functions.greedy import unit_rows
 from mixloom.operators.prepare import known_templates
 
 BLOCK_ROWS = 2048
+# Rows around which blocks form; more parts of one pivot's rows than there can be; an angle within which a bound is not trusted.
+PIVOTS = 64
+MOST_PARTS = 1 << 32
+MARGIN = 1e-6
+# Vectors, or lists of blocks, that may be broadcast.
+VECTOR_ROWS = 16_384
 
 
 def matrix(column: pa.ChunkedArray, rows: pa.ChunkedArray | None = None) -> np.ndarray:
@@ -102,23 +109,11 @@ def similarity_sums(df: DataFrame, keys: Sequence[str] = GROUP_KEY) -> DataFrame
     return rows.join(small(stored(totals)), keys).select(*keys, "row_idx", product.alias("sim_sum"))
 
 
-def positive_sums(df: DataFrame, keys: Sequence[str] = GROUP_KEY, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(group..., row_idx, positive_sum): the positive part of each row's similarities to all rows of its group.
+def _positive_cells(spread: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """(group..., row_idx, _positive) of every cell, for rows (..., embedding, _b, _low, _high) sent to cells of two blocks.
 
-    Exact for any group size: rows are hashed into blocks of about `block_rows`, so the work of a hot group spreads over
-    the cells of half a grid; similarities are symmetric, so a cell serves the rows of both its blocks.
+    Similarities are symmetric, so a cell serves the rows of both its blocks.
     """
-    keys = list(keys)
-    rows = known_templates(df) if "template_type" in keys else df
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_n"))
-    sized = rows.select(*keys, "row_idx", "embedding").join(small(stored(sizes)), keys)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "row_idx"])
-    block = F.pmod(F.xxhash64("row_idx"), F.col("_n")).cast("int")
-    spread = sized.withColumn("_b", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
-    spread = spread.select(
-        *keys, "row_idx", "embedding", "_b", F.least("_b", "_other").alias("_low"), F.greatest("_b", "_other").alias("_high")
-    )
 
     def cell(rows: pa.Table) -> pa.Table:
         x = unit_rows(matrix(rows["embedding"], rows["row_idx"]))
@@ -131,12 +126,113 @@ def positive_sums(df: DataFrame, keys: Sequence[str] = GROUP_KEY, block_rows: in
             sums[low], sums[~low] = s.sum(axis=1), s.sum(axis=0)
         return rows.select([*keys, "row_idx"]).append_column("_positive", pa.array(sums))
 
-    return (
-        spread.groupBy(*keys, "_low", "_high")
-        .applyInArrow(cell, f"{schema}, _positive double")
-        .groupBy(*keys, "row_idx")
-        .agg(F.sum("_positive").alias("positive_sum"))
+    return spread.groupBy(*keys, "_low", "_high").applyInArrow(cell, f"{schema}, _positive double")
+
+
+def nearest_pivots(rows: DataFrame, keys: list[str], count: int = PIVOTS) -> DataFrame:
+    """`rows` with `_pivot`, the nearest of `count` rows that their hash chooses; -1 for a zero vector, which is near to none."""
+    chosen = rows.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64(*keys, "row_idx"), *keys, "row_idx")
+    chosen = chosen.select("row_idx", "embedding").limit(count).toArrow()
+    pivots = unit_rows(matrix(chosen["embedding"], chosen["row_idx"]))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                x = unit_rows(matrix(table["embedding"], table["row_idx"]))
+                near = np.where(x.any(axis=1), (x @ pivots.T).argmax(axis=1), -1)
+                yield from table.append_column("_pivot", pa.array(near, pa.int32())).to_batches()
+
+    return rows.mapInArrow(assign, StructType([*rows.schema.fields, StructField("_pivot", IntegerType())]))
+
+
+def blocks_of(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    """Stored rows with their `_block`: those with one nearest pivot lie together, in as many blocks as `block_rows` asks for."""
+    near = stored(nearest_pivots(rows, keys))
+    by = [*keys, "_pivot"]
+    parts = near.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_parts"))
+    part = F.pmod(F.xxhash64("row_idx"), F.col("_parts"))
+    block = (F.col("_pivot").cast("bigint") * MOST_PARTS + part).cast("bigint")
+    return near.join(small(stored(parts)), by).withColumn("_block", block).drop("_parts")
+
+
+def block_bounds(blocked: DataFrame, keys: list[str], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(group..., _block, _open, _linear), stored, a few per block: what its rows meet in the other blocks of the group.
+
+    All rows of a block lie within an angle of its centroid. Where these angles keep two blocks on one side of the right angle,
+    all of their similarities are positive, and the sum with a whole block is a product with its `_linear` total, or none is.
+    `_open` lists the blocks of which neither is known.
+    """
+
+    def measure(rows: pa.Table) -> pa.Table:
+        x = unit_rows(matrix(rows["embedding"], rows["row_idx"]))
+        total = x.sum(axis=0)
+        length = np.sqrt(total @ total)
+        radius = np.arccos(np.clip((x @ (total / length)).min(), -1, 1)) if length > 0 else np.pi
+        made = rows.select([*keys, "_block"]).slice(0, 1)
+        made = made.append_column("_total", pa.array([total.tolist()], pa.list_(pa.float64())))
+        return made.append_column("_radius", pa.array([float(radius)]))
+
+    measured = stored(
+        blocked.groupBy(*keys, "_block").applyInArrow(measure, f"{schema}, _block bigint, _total array<double>, _radius double")
     )
+    counts = measured.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_chunks"))
+    chunked = measured.join(small(stored(counts)), keys)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = left.select([*keys, "_block"])
+        if not len(left) or not len(right):
+            far, linear = [[]] * len(left), [[]] * len(left)
+        else:
+            totals = matrix(right["r__total"])
+            angle = np.arccos(np.clip(unit_rows(matrix(left["_total"])) @ unit_rows(totals).T, -1, 1))
+            reach = left["_radius"].to_numpy()[:, None] + right["r__radius"].to_numpy()
+            positive = angle + reach <= np.pi / 2 - MARGIN
+            unknown = ~positive & (angle - reach < np.pi / 2 + MARGIN)
+            others = right["r__block"].to_numpy()
+            far = [others[row].tolist() for row in unknown]
+            linear = (positive.astype(np.float64) @ totals).tolist()
+        made = made.append_column("_open", pa.array(far, pa.list_(pa.int64())))
+        return made.append_column("_linear", pa.array(linear, pa.list_(pa.float64())))
+
+    chunk = F.pmod(F.xxhash64("_block"), F.col("_chunks"))
+    grid = _grid(chunked, keys, chunk, F.col("_chunks"), ["_block", "_total", "_radius"])
+    return stored(grid.applyInArrow(compare, f"{schema}, _block bigint, _open array<bigint>, _linear array<double>"))
+
+
+def positive_sums(df: DataFrame, keys: Sequence[str] = GROUP_KEY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(group..., row_idx, positive_sum): the positive part of each row's similarities to all rows of its group.
+
+    Exact for any group size. A group beyond `block_rows` is cut into blocks of rows that lie together: rows meet only those
+    blocks of which their angles do not tell that all similarities are positive, which is a linear sum, or none is.
+    """
+    keys = list(keys)
+    rows = known_templates(df) if "template_type" in keys else df
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_n"))
+    sizes = stored(sizes)
+    sized = rows.select(*keys, "row_idx", "embedding").join(small(sizes), keys)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    group = ", ".join(f"{c} {types[c]}" for c in keys)
+    schema = f"{group}, row_idx {types['row_idx']}"
+    alone = sized.where("_n = 1").drop("_n").withColumns({c: F.lit(0) for c in ("_b", "_low", "_high")})
+    found = _positive_cells(alone, keys, schema)
+    if not sizes.where("_n > 1").isEmpty():
+        blocked = blocks_of(sized.where("_n > 1").drop("_n"), keys, block_rows)
+        nothing = blocked.where("_pivot < 0").select(*keys, "row_idx", F.lit(0.0).alias("_positive"))
+        blocked = blocked.where("_pivot >= 0").drop("_pivot")
+        bounds = block_bounds(blocked, keys, group)
+        by = [*keys, "_block"]
+        linear = bounds.where(F.size("_linear") > 0).groupBy(*by)
+        linear = linear.agg(vector_to_array(Summarizer.sum(array_to_vector("_linear"))).alias("_linear"))
+        product = F.aggregate(F.arrays_zip(unit_vector().alias("_unit"), "_linear"), F.lit(0.0), lambda a, p: a + p["_unit"] * p["_linear"])
+        sums = blocked.join(small(stored(linear), limit=VECTOR_ROWS), by).select(*keys, "row_idx", product.alias("_positive"))
+        spread = blocked.join(small(bounds.select(*by, "_open"), limit=VECTOR_ROWS), by)
+        spread = spread.withColumn("_other", F.explode("_open")).select(
+            *keys, "row_idx", "embedding", F.col("_block").alias("_b"),
+            F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"),
+        )
+        found = found.unionByName(nothing).unionByName(sums).unionByName(_positive_cells(spread, keys, schema))
+    return found.groupBy(*keys, "row_idx").agg(F.sum("_positive").alias("positive_sum"))
 
 
 def group_similarity(

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mixloom import cluster
 from mixloom.config import GROUP_KEY
@@ -104,6 +105,44 @@ def test_group_similarity_by_blocks(spark):
             assert abs(got[r[3]]["positive_sum"] - positive) < 1e-9
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_positive_sums_skip_what_angles_tell(spark, clustered):
+    rng = np.random.default_rng(12)
+    axes = np.vstack([np.eye(6), -np.eye(6)]) * (10 if clustered else 0)
+    x = (axes[rng.integers(0, 12, 400)] + rng.normal(size=(400, 6))).astype(np.float32)
+    x[5] = x[6] = 0
+    x[8] = x[7]
+    rows = [("s", "t", "src", "zs_opt", i, [float(v) for v in row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "submixture string, task_name string, task_source string, template_type string, row_idx bigint, embedding array<float>")
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-300)
+    wanted = np.maximum(u @ u.T, 0).sum(axis=1)
+    got = {r["row_idx"]: r["positive_sum"] for r in similarity.positive_sums(df, block_rows=20).collect()}
+    assert len(got) == 400 and all(abs(got[i] - wanted[i]) < 1e-9 for i in got)
+    keys = list(GROUP_KEY)
+    blocked = similarity.blocks_of(df.select(*keys, "row_idx", "embedding"), keys, 20).where("_pivot >= 0")
+    bounds = similarity.block_bounds(blocked, keys, ", ".join(f"{c} string" for c in keys), 7)
+    blocks, cells = bounds.agg(F.count_distinct("_block"), F.sum(F.size("_open"))).head()
+    if clustered:
+        # Opposite axes and the same one are told, right angles are not; those that are told lie in bounds alone.
+        assert cells < blocks * blocks
+    else:
+        assert cells <= blocks * blocks
+
+
+def test_few_cells_are_left_where_vectors_keep_apart(spark):
+    rng = np.random.default_rng(3)
+    # Two bundles in opposite directions and wide shells inside them: every pair of blocks is on one side.
+    side = np.where(rng.random(600) < 0.5, 1.0, -1.0)
+    x = np.column_stack([10 * side, rng.normal(size=(600, 4))])
+    rows = [("s", "t", "zs_opt", i, [float(v) for v in row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "submixture string, task_name string, template_type string, row_idx bigint, embedding array<double>")
+    keys = list(GROUP_KEY)
+    blocked = similarity.blocks_of(df, keys, 20).where("_pivot >= 0")
+    bounds = similarity.block_bounds(blocked, keys, ", ".join(f"{c} string" for c in keys))
+    blocks, cells = bounds.agg(F.count_distinct("_block"), F.sum(F.size("_open"))).head()
+    assert blocks > 20 and cells < blocks * blocks / 3
+
+
 @pytest.fixture(scope="module")
 def profile(spark):
     rng = np.random.default_rng(9)
