@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mixloom.llm.arrow import gathered, kept, with_columns
-from mixloom.llm.pretokens import Ranges, classes, finder, range_set, unlike, word_shape
+from mixloom.llm.pretokens import Ranges, classes, finder, holder, unlike, word_shape
 
 # Pre-tokens, and pairs of tokens, that a worker remembers before it starts anew.
 CACHE_ENTRIES = 1_000_000
@@ -180,7 +180,7 @@ class WordCodec:
     def __init__(self, source: bytes, known: dict[str, Ranges]):
         self.model = BpeModel(source)
         self.find = finder(word_shape, known)
-        self.unlike = re.compile(f"[{range_set(known['unlike'])}]").search if known.get("unlike") else None
+        self.unlike = holder(known["unlike"]) if known.get("unlike") else None
         specials = sorted(self.model.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.words = _Words(self.model)

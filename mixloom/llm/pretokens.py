@@ -61,6 +61,16 @@ def range_set(ranges: Ranges, limit: int = 0x110000) -> str:
     )
 
 
+def holder(ranges: Ranges) -> Callable[[str], object]:
+    """A function that tells whether a text has a code point of `ranges`.
+
+    Ranges beyond the first plane make a search slow, so one range for all of them comes first.
+    """
+    first = re.compile(f"[{range_set(ranges, PLANE)}\U00010000-\U0010ffff]").search
+    every = re.compile(f"[{range_set(ranges)}]").search
+    return lambda text: first(text) and every(text)
+
+
 def finder(shape: Callable[[str, str, str], str], known: dict[str, Ranges]) -> Callable[[str], list[str]]:
     """A function from a text to its pre-tokens. `shape(letters, numbers, white)` gives the pattern.
 
