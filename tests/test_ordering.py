@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mixloom import cluster
 from mixloom.config import GROUP_KEY
 from mixloom.functions.greedy import greedy
-from mixloom.operators import exact, facility, ordering, similarity, tasks
+from mixloom.operators import exact, facility, ordering, passes, similarity, tasks
 
 SCHEMA = (
     "submixture string, task_name string, template_type string, row_idx bigint, embedding array<float>"
@@ -230,3 +230,27 @@ def test_picks_leave_the_driver(spark, monkeypatch):
         found = exact.exact_picks(df, objective, 120, 8).orderBy("place").collect()
         assert [r["row_idx"] for r in found] == places.tolist()
     assert max(held) < 16 + 8
+
+
+@pytest.mark.parametrize("objective", ["gc", "logdet"])
+@pytest.mark.parametrize("heads", [40, 400])
+def test_large_groups_are_ordered_together(spark, objective, heads, monkeypatch):
+    """Picks are made in tasks, in all groups at once: no row of a group comes to the driver, ties and quotas included."""
+    monkeypatch.setattr(passes, "SPARE", 2)
+    monkeypatch.setattr(ordering, "exact_picks", None)
+    rng = np.random.default_rng(14)
+    rows, wanted = [], {}
+    for name, n, quota in (("a", 60, None), ("b", 41, 9), ("c", 33, 100)):
+        x = rng.normal(size=(n, 5))
+        x[7], x[20], x[30] = x[3], x[3], 0.0
+        rows += [("s", name, "zs_opt", 100 * len(wanted) + i, v.tolist(), quota) for i, v in enumerate(x)]
+        places, gains = greedy(x, objective, min(n, quota or n))
+        wanted[name] = [(100 * len(wanted) + p, round(g, 7)) for p, g in zip(places.tolist(), gains)]
+    schema = "submixture string, task_name string, template_type string, row_idx bigint, embedding array<double>, quota bigint"
+    df = cluster.stored(spark.createDataFrame(rows, schema).repartition(3))
+    found = {}
+    for r in sorted(passes.group_picks(df, objective, part_rows=25, head_rows=heads).collect(), key=lambda r: r["place"]):
+        found.setdefault(r["task_name"], []).append((r["row_idx"], round(r["gain"], 7)))
+    assert found == wanted
+    whole, apart = (in_order(ordering.order_instances(df.drop("quota"), objective, one_task_rows=n)) for n in (100, 20))
+    assert whole == apart
