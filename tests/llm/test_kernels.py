@@ -491,3 +491,23 @@ def test_a_worker_keeps_the_latest_of_a_kind():
     for key in (("k", 1), ("k", 1), ("k", 2), ("other", 1), ("k", 2), ("k", 1)):
         arrow.kept(key, lambda key=key: made.append(key))
     assert made == [("k", 1), ("k", 2), ("other", 1), ("k", 1)]
+
+
+def test_the_word_cache_stays_small_and_changes_no_ids(monkeypatch):
+    """Two generations of bounded size; a frequent word survives, a rare one is worked out again."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, "rb") as f:
+        codec = bpe.WordCodec(f.read(), classes() | {"unlike": unlike()})
+    assert 2 * bpe.CACHE_ENTRIES <= 200_000 and bpe.PAIR_ENTRIES <= 200_000
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 16)
+    monkeypatch.setattr(bpe, "PAIR_ENTRIES", 16)
+    library = Tokenizer.from_file(path)
+    for i in range(120):
+        text = f"the rare{'xyzqv'[i % 5]}{chr(97 + i % 26)}q word{chr(97 + i % 23)}zz comes"
+        wanted = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(codec.encode(text), np.uint32).tolist() == wanted
+        assert len(codec.words) + len(codec.words.before) <= 32 and len(codec.model.pairs) <= 16
+        assert "the" in codec.words or "the" in codec.words.before
