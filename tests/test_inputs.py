@@ -197,3 +197,24 @@ def test_queries_remain_without_optional_libraries():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
     assert said.returncode == 0 and said.stdout.split()[-1] == "None" and int(said.stdout.split()[0]) >= 89, said.stderr
+
+
+def test_written_sources_have_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """More documents are more files, with the same row numbers."""
+    import __spark_entry__ as entry
+
+    docs = [(i, ("en", "de", "fr", "es")[i % 4], f"s{i % 3}", f"text {i}") for i in range(400)]
+    schema = "doc_id bigint, lang string, source string, text string"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    dealt = []
+    by_range = type(spark.range(1)).repartitionByRange
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *c: (dealt.append(n), by_range(self, n, *c))[1])
+    found = {}
+    for rows in (25_000, 20):
+        monkeypatch.setattr(entry, "FILE_ROWS", rows)
+        for name in ("load_submixtures_split_column", "load_submixtures"):
+            found[name, rows] = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()))
+    assert [n for n in dealt if isinstance(n, int)] and max(n for n in dealt if isinstance(n, int)) == 20
+    for name in ("load_submixtures_split_column", "load_submixtures"):
+        assert found[name, 25_000] == found[name, 20] and len(found[name, 20]) == 360
