@@ -237,7 +237,7 @@ def test_picks_leave_the_driver(spark, monkeypatch):
 def test_large_groups_are_ordered_together(spark, objective, heads, monkeypatch):
     """Picks are made in tasks, in all groups at once: no row of a group comes to the driver, ties and quotas included."""
     monkeypatch.setattr(passes, "SPARE", 2)
-    monkeypatch.setattr(ordering, "exact_picks", None)
+    monkeypatch.setattr(ordering, "facility_picks", None)
     rng = np.random.default_rng(14)
     rows, wanted = [], {}
     for name, n, quota in (("a", 60, None), ("b", 41, 9), ("c", 33, 100)):
@@ -254,3 +254,20 @@ def test_large_groups_are_ordered_together(spark, objective, heads, monkeypatch)
     assert found == wanted
     whole, apart = (in_order(ordering.order_instances(df.drop("quota"), objective, one_task_rows=n)) for n in (100, 20))
     assert whole == apart
+
+
+@pytest.mark.parametrize("one_task", [200, 1000])
+def test_facility_location_orders_blocks_apart_in_tasks(spark, one_task, monkeypatch):
+    """Clusters that have come apart need no cycle for every pick; ties and quotas stay as in one task."""
+    monkeypatch.setattr(facility, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(4)
+    centres = np.eye(12)
+    x = centres[rng.integers(0, 12, 500)] + 0.02 * rng.normal(size=(500, 12))
+    x[77], x[301] = x[5], x[5]
+    df = cluster.stored(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_idx bigint, embedding array<double>").repartition(4))
+    places, gains = greedy(x, "fl", 400)
+    run = facility.Facility(df, one_task)
+    found = run.picks(400, exact.Picks(spark)).orderBy("place").collect()
+    assert [r["row_idx"] for r in found] == places.tolist()
+    assert np.allclose([r["gain"] for r in found], gains, atol=1e-8)
+    assert run.cycles == 0 if one_task == 1000 else 0 < run.cycles < 30, run.cycles
