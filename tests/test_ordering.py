@@ -271,3 +271,22 @@ def test_facility_location_orders_blocks_apart_in_tasks(spark, one_task, monkeyp
     assert [r["row_idx"] for r in found] == places.tolist()
     assert np.allclose([r["gain"] for r in found], gains, atol=1e-8)
     assert run.cycles == 0 if one_task == 1000 else 0 < run.cycles < 30, run.cycles
+
+
+def test_blocks_of_a_large_group_do_not_grow_in_number(spark, monkeypatch):
+    """A row is sent to every open block, so few rows per block would send each row to as many cells as the group has rows."""
+    rows = rows_of({"a": 600, "b": 7}, seed=5)
+    df = spark.createDataFrame(rows, SCHEMA)
+    bounds, counts = similarity.block_bounds, []
+
+    def counted(blocked, keys, *a):
+        counts.extend(r["n"] for r in blocked.groupBy(*keys).agg(F.count_distinct("_block").alias("n")).collect())
+        return bounds(blocked, keys, *a)
+
+    monkeypatch.setattr(similarity, "block_bounds", counted)
+    got = {r["row_idx"]: r["positive_sum"] for r in similarity.positive_sums(df, block_rows=2).collect()}
+    x = np.array([r[4] for r in rows if r[1] == "a"], dtype=np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    wanted = np.maximum(u @ u.T, 0).sum(axis=1)
+    assert len(got) == 607 and all(abs(got[r[3]] - w) < 1e-9 for r, w in zip(rows, wanted))
+    assert max(counts) <= similarity.PIVOTS + similarity.FULL_BLOCKS
