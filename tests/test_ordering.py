@@ -290,3 +290,36 @@ def test_blocks_of_a_large_group_do_not_grow_in_number(spark, monkeypatch):
     wanted = np.maximum(u @ u.T, 0).sum(axis=1)
     assert len(got) == 607 and all(abs(got[r[3]] - w) < 1e-9 for r, w in zip(rows, wanted))
     assert max(counts) <= similarity.PIVOTS + similarity.FULL_BLOCKS
+
+
+@pytest.mark.parametrize("near_rows", [1, 7, 100])
+def test_logdet_picks_among_near_rows_are_the_greedy_ones(near_rows, monkeypatch):
+    """What is left aside inside a task is bounded like what parts keep back; ties, zeros and quotas included."""
+    monkeypatch.setattr(passes._LogDet, "near_rows", near_rows)
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(90, 5))
+    x[7], x[20], x[30] = x[3], x[3], 0.0
+    x[40:60] = x[39]
+    ids = np.arange(90) * 3
+    for count in (1, 37, 90):
+        places, gains = greedy(x, "logdet", count)
+        found, made = passes.sure_picks(passes._LogDet(similarity.unit_rows(x), []), ids, count, -np.inf)
+        assert found == (3 * places).tolist() and np.allclose(made, gains, atol=1e-9)
+    # The state after the picks is the one a next cycle starts from.
+    scored = passes._LogDet(similarity.unit_rows(x), [])
+    found, _ = passes.sure_picks(scored, ids, 30, -np.inf)
+    u = similarity.unit_rows(x)[np.array(found) // 3]
+    assert np.allclose(scored.state().reshape(5, 5), np.linalg.inv(np.eye(5) + u.T @ u))
+
+
+def test_a_group_of_bounded_bytes_is_ordered_in_one_cycle(spark, monkeypatch):
+    """Gains of log-determinant are all alike at first, so a part of the rows would give a pick or two per cycle."""
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(18_000, 3))
+    rows = spark.createDataFrame([("s", "a", "zs_opt", i, v.tolist(), 30) for i, v in enumerate(x)], SCHEMA.replace("float", "double") + ", quota bigint")
+    cycles = []
+    best = passes.F.explode
+    monkeypatch.setattr(passes.F, "explode", lambda c: (cycles.append(1), best(c))[1])
+    found = passes.group_picks(cluster.stored(rows.repartition(4)), "logdet").orderBy("place").collect()
+    assert [r["row_idx"] for r in found] == greedy(x, "logdet", 30)[0].tolist()
+    assert len(cycles) == 1
