@@ -81,3 +81,37 @@ def test_gains_do_not_grow(objective):
 def test_ties_go_to_the_first_row(objective):
     x = np.tile(np.array([[3.0, 4.0]]), (5, 1))
     assert g.greedy(x, objective, 5)[0].tolist() == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("listed", [1, 3000, 60_000, 10**7])
+@pytest.mark.parametrize("cached", [0, 4096])
+def test_facility_location_from_lists_picks_the_same(listed, cached, monkeypatch):
+    """However early the similarities are listed: ties, zero and opposite vectors, coverage from outside and few picks included."""
+    monkeypatch.setattr(g, "LISTED", listed)
+    monkeypatch.setattr(g, "CACHED_ROWS", cached)
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(220, 6))
+    x = g.unit_rows(np.concatenate([x, x[:60], -x[60:90], np.zeros((4, 6))]))
+    n = len(x)
+    for covered in (np.zeros(n), rng.random(n)):
+        # Plain greedy over the whole matrix.
+        s, cover, free, wanted, rises = x @ x.T, covered.copy(), np.ones(n, bool), [], []
+        for _ in range(n):
+            gain = np.maximum(s - cover[:, None], 0.0).sum(axis=0)
+            j = int(np.where(free, np.round(gain, 9), -np.inf).argmax())
+            wanted.append(j)
+            rises.append(gain[j])
+            free[j], cover = False, np.maximum(cover, s[:, j])
+        for k in (1, 40, n):
+            places, gains = g.facility_location(x, k, covered)
+            assert places.tolist() == wanted[:k] and np.allclose(gains, rises[:k], atol=1e-9)
+
+
+def test_a_full_order_works_out_gains_a_few_times_only(monkeypatch):
+    """Gains of all rows cost the square of their number; an order must not cost that again for every few picks."""
+    cells = []
+    sums = g._clipped_sums
+    monkeypatch.setattr(g, "_clipped_sums", lambda c, at, rows, *a: (cells.append(len(at) * len(rows)), sums(c, at, rows, *a))[1])
+    x = g.unit_rows(np.random.default_rng(22).normal(size=(1000, 16)))
+    g.facility_location(x, 1000)
+    assert sum(cells) < 5 * 1000 * 1000
