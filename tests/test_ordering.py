@@ -323,3 +323,22 @@ def test_a_group_of_bounded_bytes_is_ordered_in_one_cycle(spark, monkeypatch):
     found = passes.group_picks(cluster.stored(rows.repartition(4)), "logdet").orderBy("place").collect()
     assert [r["row_idx"] for r in found] == greedy(x, "logdet", 30)[0].tolist()
     assert len(cycles) == 1
+
+
+def test_few_vectors_come_to_the_driver(spark, monkeypatch):
+    """Whatever the number of blocks, a cycle brings no more vectors than bytes allow; the picks stay the greedy ones."""
+    monkeypatch.setattr(facility, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(facility, "HEADS", 50)
+    monkeypatch.setattr(facility, "FRESH_BYTES", 1)
+    brought = []
+    bring = facility.Facility._brought
+    monkeypatch.setattr(facility.Facility, "_brought", lambda self, *a: (found := bring(self, *a), brought.append(len(found[2])))[0])
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(120, 5))
+    x[7], x[20], x[30] = x[3], x[3], 0.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_idx bigint, embedding array<double>")
+    places, gains = greedy(x, "fl", 2)
+    found = exact.exact_picks(cluster.stored(df.repartition(3)), "fl", 2).orderBy("place").collect()
+    assert [r["row_idx"] for r in found] == places.tolist()
+    assert np.allclose([r["gain"] for r in found], gains, atol=1e-8)
+    assert 0 < max(brought) <= 50
