@@ -115,3 +115,65 @@ def test_a_full_order_works_out_gains_a_few_times_only(monkeypatch):
     x = g.unit_rows(np.random.default_rng(22).normal(size=(1000, 16)))
     g.facility_location(x, 1000)
     assert sum(cells) < 5 * 1000 * 1000
+
+
+def test_first_picks_follow_gains_instead_of_making_them_anew(monkeypatch):
+    """Few picks of a large set cost a few times the square of its rows, not that again for every other pick."""
+    monkeypatch.setattr(g, "CACHED_ROWS", 0)
+    made = [0]
+    sums, rough = g._clipped_sums, getattr(g, "_Rough", None)
+    monkeypatch.setattr(g, "_clipped_sums", lambda c, at, rows, *a: (made.__setitem__(0, made[0] + len(at) * len(rows)), sums(c, at, rows, *a))[1])
+    if rough:
+        rest = rough.sums
+        monkeypatch.setattr(rough, "sums", lambda self, at, rows, *a: (made.__setitem__(0, made[0] + len(at) * len(rows)), rest(self, at, rows, *a))[1])
+    n = 3000
+    x = g.unit_rows(np.random.default_rng(23).normal(size=(n, 48)))
+    places, gains = g.facility_location(x, 40)
+    assert made[0] < 5 * n * n
+    s, cover, free = x @ x.T, np.zeros(n), np.ones(n, bool)
+    for j, made_gain in zip(places.tolist(), gains):
+        gain = np.maximum(s - cover[:, None], 0.0).sum(axis=0)
+        assert j == int(np.where(free, np.round(gain, 9), -np.inf).argmax()) and abs(gain[j] - made_gain) < 1e-8
+        free[j], cover = False, np.maximum(cover, s[:, j])
+
+
+@pytest.mark.parametrize("width", [3, 64, 300])
+def test_rough_sums_are_wrong_by_no_more_than_they_say(width):
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(1300, width))
+    x[700:1000] = x[:300] + 1e-4 * rng.normal(size=(300, width))
+    x = g.unit_rows(np.concatenate([x, x[:50], np.zeros((3, width))]))
+    s, every = x @ x.T, np.arange(len(x))
+    rough = g._Rough(x)
+    found, error = rough.positive()
+    assert (np.abs(found - np.maximum(s, 0.0).sum(axis=0)) <= error).all()
+    low, gap = s[:, 5].clip(0.0), rng.random(len(x))
+    for at, rows in ((every, every), (every[3:600], every[::3])):
+        for most in (None, gap[rows]):
+            found, error = rough.sums(at, rows, low[rows], most)
+            wanted = np.minimum(np.maximum(s[np.ix_(rows, at)] - low[rows, None], 0.0), np.inf if most is None else most[:, None]).sum(axis=0)
+            assert (np.abs(found - wanted) <= error).all() and (error < 0.03 * len(rows)).all()
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_large_sets_have_the_picks_of_plain_greedy(first, monkeypatch):
+    """Clusters of unlike size, copies, zero rows: gains far below the best are left aside, bounds stay above, ties go to the first."""
+    monkeypatch.setattr(g, "CACHED_ROWS", 0)
+    monkeypatch.setattr(g, "LISTED", 40_000)
+    monkeypatch.setattr(g, "EXACT", 20)
+    rng = np.random.default_rng(25)
+    x = rng.normal(size=(700, 24))
+    x[100:400] = x[0] + 0.2 * rng.normal(size=(300, 24))
+    x[400:450] = x[1] + 0.2 * rng.normal(size=(50, 24))
+    x[450:520] = x[2]
+    x[690:] = 0.0
+    x = g.unit_rows(x)
+    n, s = len(x), x @ x.T
+    cover, free, wanted = np.zeros(n), np.ones(n, bool), []
+    for _ in range(n):
+        gain = np.where(free, np.round(np.maximum(s - cover[:, None], 0.0).sum(axis=0), 9), -np.inf)
+        wanted.append(int(gain.argmax()))
+        free[wanted[-1]], cover = False, np.maximum(cover, s[:, wanted[-1]])
+    known = np.maximum(s, 0.0).sum(axis=0) if first else None
+    for k in (3, 60, n):
+        assert g.facility_location(x, k, None, known)[0].tolist() == wanted[:k]
