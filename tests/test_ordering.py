@@ -342,3 +342,22 @@ def test_few_vectors_come_to_the_driver(spark, monkeypatch):
     assert [r["row_idx"] for r in found] == places.tolist()
     assert np.allclose([r["gain"] for r in found], gains, atol=1e-8)
     assert 0 < max(brought) <= 50
+
+
+def test_groups_of_much_work_lie_in_tasks_of_their_own(spark, monkeypatch):
+    """By bytes or hash, groups whose work grows with the square of their rows would meet in one task."""
+    monkeypatch.setattr(ordering, "DEALT_ROWS", 0, raising=False)
+    rows = rows_of({f"t{i}": 20 + i for i in range(12)})
+    rows += [("s", None, "zs_opt", 1000 + i, r[4]) for i, r in enumerate(rows[:25])]
+    got = ordering.order_instances(spark.createDataFrame(rows, SCHEMA), "fl").withColumn("task", F.spark_partition_id())
+    tasks_of = {}
+    for r in got.collect():
+        tasks_of.setdefault(r["task_name"], set()).add(r["task"])
+    assert len(tasks_of) == 13 and all(len(t) == 1 for t in tasks_of.values())
+    assert len(set.union(*tasks_of.values())) == 13
+    # The largest come first.
+    assert tasks_of["t11"] == {0}
+    quotas = spark.createDataFrame([("s", f"t{i}", "zs_opt", 3 + i) for i in range(12)], ", ".join(f"{c} string" for c in GROUP_KEY) + ", quota bigint")
+    cut = in_order(ordering.order_instances(spark.createDataFrame(rows, SCHEMA), "fl", quotas, 12, 40))
+    whole = in_order(got)
+    assert cut == {("s", f"t{i}", "zs_opt"): whole["s", f"t{i}", "zs_opt"][: 3 + i] for i in range(12)}
