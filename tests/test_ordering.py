@@ -361,3 +361,41 @@ def test_groups_of_much_work_lie_in_tasks_of_their_own(spark, monkeypatch):
     cut = in_order(ordering.order_instances(spark.createDataFrame(rows, SCHEMA), "fl", quotas, 12, 40))
     whole = in_order(got)
     assert cut == {("s", f"t{i}", "zs_opt"): whole["s", f"t{i}", "zs_opt"][: 3 + i] for i in range(12)}
+
+
+def test_groups_beyond_the_limit_share_their_first_gains(spark, monkeypatch):
+    """Groups that are work for one task need no blocks and no jobs of their own; ties, quotas, zero rows and a null key included."""
+    monkeypatch.setattr(ordering, "facility_picks", None)
+    rng = np.random.default_rng(26)
+    rows = []
+    for k, (name, n) in enumerate((("a", 70), ("b", 41), (None, 33), ("small", 12))):
+        x = rng.normal(size=(n, 5))
+        x[7], x[9], x[10] = x[3], x[3], 0.0
+        rows += [("s", name, "zs_opt", 100 * k + i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    alone, apart = (ordering.order_instances(df, "fl", one_task_rows=n).collect() for n in (1000, 20))
+    key = lambda r: (r["task_name"] or "", r["rank"], r["row_idx"], round(r["gain"], 8))
+    assert sorted(map(key, apart)) == sorted(map(key, alone)) and len(apart) == 156
+    quotas = spark.createDataFrame([("s", "a", "zs_opt", 60), ("s", "b", "zs_opt", 5)], ", ".join(f"{c} string" for c in GROUP_KEY) + ", quota bigint")
+    cut = ordering.order_instances(df, "fl", quotas, 2, one_task_rows=20).collect()
+    most = {"a": 60, "b": 5}
+    assert sorted(map(key, cut)) == sorted(key(r) for r in alone if r["rank"] <= most.get(r["task_name"], 0))
+
+
+def test_sums_by_grid_send_a_row_to_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SIDE", 7)
+    rows = rows_of({"a": 101, "b": 5}, seed=8)
+    rows.append(("s", "b", "zs_opt", 999, [0.0] * 6))
+    df = cluster.stored(spark.createDataFrame(rows, SCHEMA).select("task_name", "row_idx", "embedding"))
+    cells = []
+    made = similarity._positive_cells
+    monkeypatch.setattr(similarity, "_positive_cells", lambda spread, *a: (cells.append(spread.count()), made(spread, *a))[1])
+    for block_rows in (30, 1000):
+        got = {r["row_idx"]: r["positive_sum"] for r in similarity.grid_sums(df, ["task_name"], block_rows).collect()}
+        assert len(got) == 107
+        for name in ("a", "b"):
+            part = [r for r in rows if r[1] == name]
+            x = np.array([r[4] for r in part], dtype=np.float32).astype(float)
+            u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            assert all(abs(got[r[3]] - w) < 1e-9 for r, w in zip(part, np.maximum(u @ u.T, 0).sum(axis=1)))
+    assert cells == [4 * 101 + 6, 107]
